@@ -1,6 +1,8 @@
-"""All queries on the driver's tables and their SQL."""
+"""All queries on the driver's tables and their SQL, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import geography_queries, pricing_queries, quality_queries, text_queries, window_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "geography_queries", "pricing_queries", "quality_queries", "text_queries", "window_queries"]
