@@ -88,7 +88,7 @@ class CountTree:
         new = old[: start - begin] + insert + old[stop - begin :]
         cut = leaves(new, self.size)
         room = last - first + 1
-        cut = [*cut[: room - 1], "".join(cut[room - 1 :])] + [""] * max(0, room - len(cut))
+        cut = [*cut[: room - 1], "".join(cut[room - 1 :])] if len(cut) > room else [*cut, *[""] * (room - len(cut))]
         self.n_encoded += len(new)
         for i, (text, ids) in enumerate(zip(cut, self.encode(cut))):
             self._set(first + i, text, len(ids))

@@ -34,6 +34,7 @@ from .shared import written
 @dataclass
 class Index:
     centroids: np.ndarray
+    n_probe: int  #: lists a query probes
     codebooks: np.ndarray  #: parts x codewords x width
 
 
@@ -52,8 +53,12 @@ def _nearest(data: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(data[i : i + 8192] @ c.T - half, axis=1) for i in range(0, len(data), 8192)]) if len(data) else np.zeros(0, np.int64)
 
 
-def fitted(vectors: DataFrame, n: int, width: int, *, sample_rows: int = 8_192, n_parts: int = 16, codewords: int = 64, rounds: int = 8) -> Index:
-    """Fit on about sample_rows vectors (by a hash of vec_id). The number of lists follows the square root of n."""
+def fitted(vectors: DataFrame, n: int, width: int, *, sample_rows: int = 8_192, n_parts: int = 16, codewords: int = 64, rounds: int = 8, target: float = 0.97, k: int = 20) -> Index:
+    """Fit on about sample_rows vectors (by a hash of vec_id). The number of lists follows the square root of n.
+
+    How many lists to probe is measured: enough for the share `target` of the k nearest sample vectors of sample
+    queries. Clustered vectors need few lists, vectors without structure most.
+    """
     share = min(1.0, sample_rows / max(n, 1))
     rows = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < F.lit(share) * 1_000_003).select("vec_id", "v").collect()
     rows.sort(key=lambda r: (r["vec_id"], r["v"]))
@@ -64,7 +69,17 @@ def fitted(vectors: DataFrame, n: int, width: int, *, sample_rows: int = 8_192,
     rest = data - c[_nearest(data, c)]
     n_parts = max(p for p in range(1, n_parts + 1) if width % p == 0)
     books = [_means(part, codewords, rounds, rng) for part in np.split(rest, n_parts, axis=1)]
-    return Index(c, np.array(books))
+    return Index(c, _probes_needed(data, c, target, k), np.array(books))
+
+
+def _probes_needed(data: np.ndarray, c: np.ndarray, target: float, k: int) -> int:
+    asked = data[:: max(1, len(data) // 300)]
+    near = np.argsort(-(asked @ data.T), axis=1, kind="stable")[:, : k + 1]
+    order = np.argsort(-(asked @ c.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(c))[None, :], 1)
+    places = np.sort(np.take_along_axis(place, _nearest(data, c)[near], 1).ravel())
+    return int(places[min(len(places) - 1, int(target * len(places)))]) + 1
 
 
 def coded(vectors: DataFrame, index: Index) -> DataFrame:
@@ -115,7 +130,12 @@ def _searched(index: Index, k: int, rerank: int):
                 score = np.repeat((q @ center)[:, None], len(ids), axis=1)
                 for p, (part, book) in enumerate(zip(np.split(q, parts, axis=1), index.codebooks)):
                     score += (part @ book.T.astype(np.float64))[:, codes[:, p]]
-                best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
+                score[asked["vec_id"].to_numpy()[at : at + 256, None] == ids[None, :]] = -np.inf
+                if keep < len(ids):  # all that reach the last kept score, ties included; the smaller vec_ids of the ties stay
+                    floor = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
+                    best = [np.sort(np.concatenate([np.flatnonzero(s > f), np.flatnonzero(s == f)[: keep - int((s > f).sum())]])) for s, f in zip(score, floor)]
+                else:
+                    best = [np.arange(len(ids))] * len(score)
                 for row, query, vector in zip(best, asked["vec_id"].iloc[at : at + 256], q):
                     row = row[ids[row] != query]
                     exact = data[row] @ vector
@@ -136,7 +156,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def nearest(embeddings: DataFrame, is_query: Column, *, k: int = 20, n_probe: int = 24, rerank: int = 200, cell_rows: int = 4_000, cell_queries: int = 2_000, small: int = 200) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 60, cell_rows: int = 4_000, cell_queries: int = 2_000, small: int = 200) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row. Up to `small` vectors, all lists are probed."""
     vectors = usable(embeddings)
     common = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
@@ -146,7 +166,7 @@ def nearest(embeddings: DataFrame, is_query: Column, *, k: int = 20, n_probe: in
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     index = fitted(vectors, n, width)
     lists = written(coded(vectors, index), "lists")
-    asked = written(_probes(vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), index, n_probe if n > small else len(index.centroids)), "probes")
+    asked = written(_probes(vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), index, index.n_probe if n > small else len(index.centroids)), "probes")
     sizes = lists.groupBy("list").count().withColumnRenamed("count", "rows")
     # one row a list: at most the number of centroids, which is bounded
     cells = written(sizes.join(asked.groupBy("list").count().withColumnRenamed("count", "queries"), "list").select("list", F.ceil(F.col("rows") / cell_rows).cast("int").alias("nr"), F.ceil(F.col("queries") / cell_queries).cast("int").alias("nq")), "cells")
