@@ -125,7 +125,7 @@ def license_report(docs: DataFrame, **options) -> DataFrame:
     real = F.col("begin") >= 0
     base = real & F.col("phrase") & (F.size("places") > 0)
     # a phrase may share several prefix words with a block: its block counts once
-    once = m.groupBy("_row", "begin", "label", "phrase").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("places").alias("places"), F.max(F.col("overlap") / F.col("n_template")).alias("share"))
+    once = m.groupBy("_row", "begin", "label", "phrase").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("places").alias("places"), F.max(F.try_divide(F.col("overlap"), F.col("n_template"))).alias("share"))
     met = F.when(real & (~F.col("phrase") | (F.size("places") > 0)), F.col("label"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     return (
