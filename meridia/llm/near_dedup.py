@@ -4,14 +4,15 @@
    set, band keys of its minima, and the low bits of all minima packed into a few integers.
 2. Documents with equal sets form a class at once; only the class's smallest doc_id goes on.
 3. Band keys that several classes share give candidates. First each class meets the leader it shares most bands
-   with; confirmed links are merged into components. Then, in bands that still hold several components, every
-   pair across components is a candidate. Bands with very many such pairs first meet one leader at a time, which
-   merges most of them; what is left is compared in full. Links inside a component need no test, so a group of
+   with, and confirmed links are merged into components. A band inside one component is settled: a group of
    thousands of copies costs one test for each copy.
-4. Candidates pass if the similarity that their packed bits show, corrected for chance agreement of b-bit values,
-   is within five standard errors of the threshold, and are then decided on the full sets.
+4. Bands that still hold several components join their members into clusters. Within a cluster all pairs across
+   components are compared: by packed bits, corrected for chance agreement of b-bit values, down to five standard
+   errors below the threshold, and then on the full sets. This happens inside tasks: a cluster is cut into blocks
+   of bounded size, each pair of blocks is a task, and only the links that join components leave it. So no list
+   of pairs is ever made, and no pair of a cluster is left out.
 
-With 32 bands of 5 minima a pair at the threshold 0.8 is no candidate with probability 3e-6, at 0.85 with 7e-9.
+With 64 bands of 7 minima a pair at the threshold 0.8 is no candidate with probability 3e-7, at 0.85 with 1e-11.
 
 Cases: documents with fewer words than a shingle have one shingle, all their words; those without words are in a
 class of their own; a null doc_id is returned with its count, without a component, and kept; rows that repeat a
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +34,12 @@ from . import words as W
 from .components import components
 from .shared import dropped, parts, text_bytes, written
 
-BANDS, ROWS, BITS = 32, 5, 2
+BANDS, ROWS, BITS = 64, 7, 2
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-#: Pairs across components that one band may give at once before leaders go first, and how often leaders go first.
-WIDE_BAND, LEADER_ROUNDS = 20_000, 4
+#: Rows and bytes of a block of a cluster; a task holds two blocks.
+BLOCK_ROWS, BLOCK_BYTES = 1_000, 48_000_000
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 _SIGNATURE_DDL = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>"
@@ -135,17 +137,69 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b").distinct()
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose packed bits allow the threshold: matches are J + (1 - J) / 2^b of all minima, with a binomial error."""
+def _least_agreement(percent: int) -> float:
+    """How many of all minima must agree in their low bits: J + (1 - J) / 2^b of them at the threshold, less five errors."""
     total, chance = BANDS * ROWS, 1 / 2**BITS
     share = percent / 100 * (1 - chance) + chance
-    least = total * share - 5 * (total * share * (1 - share)) ** 0.5
+    return total * share - 5 * (total * share * (1 - share)) ** 0.5
+
+
+_FIELDS = int.from_bytes(b"\x55" * 8, "big")
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose packed bits allow the threshold."""
     s = classes.select("rep", "bits", "n_shingles")
     both = pairs.join(s.toDF("a", "ba", "na"), "a").join(s.toDF("b", "bb", "nb"), "b")
-    mask = int.from_bytes(b"\x55" * 8, "big") if BITS == 2 else -1
-    unlike = lambda x, y: F.bit_count((x.bitwiseXOR(y).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1))).bitwiseAND(F.lit(mask)))
-    agree = F.lit(total) - F.aggregate(F.zip_with("ba", "bb", unlike), F.lit(0), lambda acc, v: acc + v)
-    return both.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (agree >= least)).select("a", "b").distinct()
+    unlike = lambda x, y: F.bit_count((x.bitwiseXOR(y).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1))).bitwiseAND(F.lit(_FIELDS)))
+    agree = F.lit(BANDS * ROWS) - F.aggregate(F.zip_with("ba", "bb", unlike), F.lit(0), lambda acc, v: acc + v)
+    return both.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (agree >= _least_agreement(percent))).select("a", "b").distinct()
+
+
+def links_across(rep: np.ndarray, component: np.ndarray, block: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], percent: int, within: bool) -> list[tuple[int, int]]:
+    """Links between members of different components that suffice to join all that are linked.
+
+    within: all members are one block; else only pairs of different blocks are compared.
+    """
+    size = np.array([len(s) for s in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    end = np.cumsum(size)
+    own = [flat[e - n : e] for e, n in zip(end.tolist(), size.tolist())]
+    root = {c: c for c in component.tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    mark, out, least = np.zeros(len(names), np.int32), [], _least_agreement(percent)
+    for i in range(len(rep)):
+        other = np.arange(i) if within else np.flatnonzero(block[:i] != block[i])
+        other = other[(component[other] != component[i]) & (np.minimum(size[other], size[i]) * 100 >= np.maximum(size[other], size[i]) * percent)]
+        if len(other):
+            x = bits[other] ^ bits[i]
+            other = other[BANDS * ROWS - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_FIELDS)).sum(axis=1) >= least]
+        if len(other):
+            mark[own[i]] = 1
+            n = size[other]
+            both = np.add.reduceat(mark[np.concatenate([own[j] for j in other])], np.cumsum(n) - n)
+            mark[own[i]] = 0
+            for j in other[both * 100 >= (n + size[i] - both) * percent].tolist():
+                a, b = top(component[i].item()), top(component[j].item())
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(rep[j]), int(rep[i])))
+    return out
+
+
+def _joined(percent: int):
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep").reset_index(drop=True)
+        bits = np.array(rows["bits"].tolist(), np.int64).view(np.uint64).reshape(len(rows), -1)
+        found = links_across(rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy(), bits, [np.frombuffer(x, np.uint64) for x in rows["shingles"]], percent, rows["i"].iloc[0] == rows["j"].iloc[0])
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return join
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -164,39 +218,31 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     texts = read.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
     sets = written(texts.mapInArrow(_full_sets(shingle), "doc_id long, k1 long, k2 long, shingles binary").join(wanted.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]), "sets")
 
+    n = members.count()
     best = members.filter("rep <> leader").groupBy("rep", "leader").count().groupBy("rep").agg(F.max(F.struct("count", -F.col("leader"))).alias("s")).select((-F.col("s.col2")).alias("a"), F.col("rep").alias("b"))
-    tried = written(best, "tried")
-    edges = written(_confirmed(_plausible(tried, classes, percent), sets, percent), "edges")
-    found = components(edges)
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = members.join(found.toDF("rep", "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        placed = written(placed, "placed")
-        per = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("rep").alias("first"))
-        mixed = written(
-            per.groupBy("key").agg(F.count("*").alias("n_components"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.min(F.struct("c", "first", "component")).alias("small"))
-            .filter("n_components > 1").select("key", "pairs", F.col("small.first").alias("leader"), F.col("small.component").alias("leader_component")),
-            "mixed",
-        )
-        wide = F.col("pairs") > (WIDE_BAND if turn < LEADER_ROUNDS else float("inf"))
-        open_keys = placed.join(mixed, "key")
-        star = open_keys.filter(wide & (F.col("component") != F.col("leader_component"))).select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
-        narrow = written(open_keys.filter(~wide).select("key", "rep", "component"), "narrow")
-        l, r = narrow.toDF("key", "a", "ca"), narrow.toDF("key", "b", "cb")
-        across = l.join(r, "key").filter("a < b and ca <> cb").select("a", "b")
-        pairs = written(star.unionByName(across).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        any_wide = bool(mixed.filter(wide).limit(1).count())
-        if pairs.limit(1).count():
-            new = written(_confirmed(_plausible(pairs, classes, percent), sets, percent), "edges")
-            edges, tried = edges.unionByName(new), tried.unionByName(pairs)
-            if new.limit(1).count():
-                found = components(edges)
-        dropped(placed, mixed, narrow)
-        if not any_wide:
-            break
+    tried = written(best, "tried", n)
+    edges = written(_confirmed(_plausible(tried, classes, percent), sets, percent), "edges", n)
+    found = components(edges, n)
+    placed = written(members.join(found.toDF("rep", "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "placed", n)
+    several = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).filter("lo < hi").select("key", "first"), "several", n)
+    left = written(placed.join(several, "key").select("rep", "component", "first").distinct(), "open", n)
+    n_left = left.count()
+    if n_left:
+        clusters = components(left.select(F.col("first").alias("a"), F.col("rep").alias("b")), n_left)
+        open_reps = left.select("rep", "component").distinct().join(clusters.toDF("rep", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+        open_reps = written(open_reps.join(sets.select(F.col("doc_id").alias("rep"), F.octet_length("shingles").alias("size")), "rep"), "open-reps", n_left)
+        blocks = open_reps.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("n_blocks"))
+        cut = open_reps.join(written(blocks, "blocks", n_left), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+        tasks = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("cluster", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "rep", "component", "block")
+        full = tasks.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep").join(classes.select("rep", "bits"), "rep")
+        new = written(full.groupBy("cluster", "i", "j").applyInPandas(_joined(percent), "a long, b long"), "edges", n_left)
+        if new.limit(1).count():
+            found = components(edges.unionByName(new), n)
+    dropped(placed, several, left)
     by_set = written(classes.select("k1", "k2", "rep").join(found.toDF("rep", "component"), "rep", "left").groupBy("k1", "k2").agg(F.min(F.coalesce("component", "rep")).alias("component")), "by-set")
     dropped(sets, members, wanted)
     joined = signed.select("doc_id", "n_shingles", "k1", "k2").join(by_set, ["k1", "k2"], "left")
-    component = F.when((F.col("n_shingles") == 0) | F.col("component").isNull(), F.col("doc_id")).otherwise(F.least("component", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.when((F.col("n_shingles") == 0) | F.col("component").isNull(), F.col("doc_id")).otherwise(F.least("component", "doc_id")))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 

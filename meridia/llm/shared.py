@@ -19,9 +19,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df below the shared folder and read it back: its lineage ends here and survives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df below the shared folder and read it back: its lineage ends here and survives lost executors.
+
+    rows: about how many rows there are, where that is known: few rows are then written by few tasks.
+    """
     path = shared_folder(df.sparkSession, name)
+    if rows is not None:
+        tasks = 6 + rows // 50_000
+        df = df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._shared_path = path

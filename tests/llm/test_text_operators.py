@@ -48,8 +48,8 @@ def test_near_duplicates_of_few_and_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == table(spark, []).columns
 
 
-def test_many_components_in_one_band_are_compared_in_full(spark, corpus, monkeypatch):
-    monkeypatch.setattr(near_dedup, "WIDE_BAND", 1)
+def test_blocks_of_a_cluster_are_all_compared(spark, corpus, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 3)
     sets = {i: brute.shingles(t, 2) for i, t in corpus}
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, corpus), shingle=2).collect()}
     assert got == brute.components(sets)
