@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, parts, written
+from .shared import Bitmap, bitmap, dropped, parts, written
 
 _FIELD = re.compile(r"\S*\d\S*")
 _LINES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("leaf", pa.int64()), ("n_tokens", pa.int32()), ("first", pa.bool_())])
@@ -71,42 +71,24 @@ def _split(depth: int):
     return split
 
 
-def _texts(bitmap, depth: int):
+def _texts(shared, depth: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        several = bitmap.value
+        several: Bitmap = shared.value
         for whole in batches:
             for batch in parts(whole, "text"):
                 found = {}
                 for text in batch.column("text").to_pylist():
                     for line in (text or "").split("\n"):
                         if tokens := masked(line):
-                            leaf = leaf_of(tokens, depth)
-                            bit = (leaf & ((1 << 64) - 1)) >> (64 - LEAF_BITS)
-                            if several[bit >> 3] >> (bit & 7) & 1:
-                                found[" ".join(tokens)] = leaf
+                            found[" ".join(tokens)] = leaf_of(tokens, depth)
+                kept = several.has(np.array(list(found.values()), np.int64))
+                found = {t: leaf for (t, leaf), k in zip(found.items(), kept.tolist()) if k}
                 keys = [_key(t) for t in found]
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(found.values()), pa.int64()), pa.array(list(found), pa.string())], names=["k1", "k2", "leaf", "masked"])
 
     return read
 
 
-def _bitmap(leaves: DataFrame):
-    """The leaves as a bitmap; tasks set bits, the driver joins at most 64 bitmaps of fixed size."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (LEAF_BITS - 3), np.uint8)
-        for b in batches:
-            at = np.asarray(b.column("leaf")).view(np.uint64) >> np.uint64(64 - LEAF_BITS)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-        part = np.flatnonzero(bits.reshape(-1, 256).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([bits[p * 256 : p * 256 + 256].tobytes() for p in part.tolist()], pa.binary())], names=["part", "bits"])
-
-    bits = np.zeros(1 << (LEAF_BITS - 3), np.uint8)
-    for r in leaves.select("leaf").coalesce(64).mapInArrow(mark, "part long, bits binary").toLocalIterator():
-        bits[r["part"] * 256 : r["part"] * 256 + 256] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    return leaves.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-
 def line_templates(docs: DataFrame, *, depth: int = 4, min_docs: int = 2, similarity: float = 0.7, short_tokens: int = 5, short_min_docs: int = 5) -> tuple[DataFrame, DataFrame]:
     """(lines, templates): every line's key, and for each distinct line its template, the template's documents and first one.
 
@@ -117,7 +99,8 @@ def line_templates(docs: DataFrame, *, depth: int = 4, min_docs: int = 2, simila
     lines = written(read.mapInArrow(_split(depth), _LINES_DDL), "lines")
     distinct = written(lines.filter("first").groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.first("leaf").alias("leaf"), F.first("n_tokens").alias("n_tokens")), "distinct-lines")
     several = written(distinct.filter(F.col("n_tokens") >= short_tokens).groupBy("leaf").count().filter("count > 1").select("leaf"), "several")
-    texts = written(read.mapInArrow(_texts(_bitmap(several), depth), "k1 long, k2 long, leaf long, masked string").groupBy("k1", "k2").agg(F.first("leaf").alias("leaf"), F.first("masked").alias("masked")).join(several, "leaf", "left_semi"), "line-texts")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(several, "leaf", LEAF_BITS))
+    texts = written(read.mapInArrow(_texts(shared, depth), "k1 long, k2 long, leaf long, masked string").groupBy("k1", "k2").agg(F.first("leaf").alias("leaf"), F.first("masked").alias("masked")).join(several, "leaf", "left_semi"), "line-texts")
 
     tokens = texts.join(distinct.select("k1", "k2", "n_docs"), ["k1", "k2"]).select("leaf", "k1", "k2", "n_docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     tokens = written(tokens, "tokens")

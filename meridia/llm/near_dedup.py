@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import dropped, parts, text_bytes, written
+from .shared import Bitmap, bitmap, dropped, parts, text_bytes, written
 
 BANDS, ROWS, BITS = 64, 7, 2
 _rng = np.random.default_rng(77)
@@ -40,6 +40,8 @@ _MULTIPLY = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 #: Rows and bytes of a block of a cluster; a task holds two blocks.
 BLOCK_ROWS, BLOCK_BYTES = 1_000, 48_000_000
+#: Bits of the largest bitmap of candidates: 16 MB.
+MOST_BITS = 27
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 _SIGNATURE_DDL = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>"
@@ -111,9 +113,11 @@ def _signatures(size: int):
     return sign
 
 
-def _full_sets(size: int):
+def _full_sets(size: int, shared):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        wanted: Bitmap = shared.value
+        for every in batches:
+            whole = every.filter(pa.array(wanted.has(np.asarray(every.column("place")))))
             for batch in parts(whole, "text", 1_500_000):
                 sets = shingle_sets(batch, size)
                 _, k1, k2 = _keys(sets)
@@ -215,8 +219,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     dropped(buckets)
 
     wanted = written(members.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep"), "wanted")
-    texts = read.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    sets = written(texts.mapInArrow(_full_sets(shingle), "doc_id long, k1 long, k2 long, shingles binary").join(wanted.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]), "sets")
+    # texts stay where they are read: a bitmap of bounded size tells nearly all that are not wanted, the join below the rest
+    bits = min(MOST_BITS, max(16, (16 * wanted.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("rep").alias("place")), "place", bits))
+    texts = read.filter("doc_id is not null").withColumn("place", F.xxhash64("doc_id"))
+    sets = written(texts.mapInArrow(_full_sets(shingle, shared), "doc_id long, k1 long, k2 long, shingles binary").join(wanted.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]), "sets")
 
     n = members.count()
     best = members.filter("rep <> leader").groupBy("rep", "leader").count().groupBy("rep").agg(F.max(F.struct("count", -F.col("leader"))).alias("s")).select((-F.col("s.col2")).alias("a"), F.col("rep").alias("b"))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -43,6 +44,26 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Bitmap:
+    """Which of 2**bits places some hashes fall on. A place that is set may be another hash's; one that is not set is nobody's."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> Bitmap:
+    """The bitmap of a column of 64-bit hashes. Executors join the bits; the driver gets 2**bits / 64 words at most, however many rows there are."""
+    at = F.shiftrightunsigned(F.col(column), 64 - bits)
+    rows = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
+    words[np.asarray(rows["word"])] = np.asarray(rows["bits"]).view(np.uint64)
+    return Bitmap(words, bits)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its row offsets; nulls are empty."""
     column = column.cast(pa.large_string())
