@@ -103,7 +103,7 @@ def _signatures(size: int):
                     keys = keys * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, j]
                 keys = W.mixed(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
                 per = 64 // BITS
-                low = (minima & ((1 << BITS) - 1)).astype(np.uint64).reshape(len(some), -1, per)
+                low = (minima & ((1 << BITS) - 1)).astype(np.uint64).reshape(len(some), BANDS * ROWS // per, per)
                 bits = (low << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
                 bands, packed = [None] * len(sets), [None] * len(sets)
                 for j, i in enumerate(some.tolist()):
