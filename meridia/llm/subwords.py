@@ -3,7 +3,8 @@
 A text is cut only where a cut cannot change its ids: before a blank that has a non-blank character on
 both sides. Both tokenizer families used here start a new pre-token there, so the ids of a text are the
 ids of its pieces in order. Pieces repeat heavily in real corpora, so each Python worker keeps a bounded
-table of the pieces it has met; pieces beyond the bound are encoded again each time, never dropped.
+table of the pieces it has met; pieces beyond the bound are encoded again each time, never dropped. The texts of a
+call are numbered, encoded and gathered together, so that nothing but a table lookup is done for each piece.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Pieces that a worker remembers, and the longest piece that is worth remembering.
-KEEP_PIECES, KEEP_CHARS = 1_000_000, 48
+#: Pieces and ids that a worker remembers, and the longest piece that is worth remembering.
+KEEP_PIECES, KEEP_IDS, KEEP_CHARS = 1_000_000, 8_000_000, 48
 #: Pieces in one library call.
 BLOCK = 50
 
@@ -29,6 +30,20 @@ def encoder(path: str, kind: str) -> "SubwordEncoder":
     return _LOADED[path, kind]
 
 
+class _Numbers(dict):
+    """Piece to its number. A piece it lacks gets the next number and waits to be encoded."""
+
+    def __init__(self, encoder: "SubwordEncoder", before: str):
+        super().__init__()
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, piece: str) -> int:
+        fresh = self.encoder.fresh
+        self[piece] = number = self.encoder.held + len(fresh)
+        fresh.append((self, piece))
+        return number
+
+
 class SubwordEncoder:
     """ids(texts) gives one int32 array for each text, equal to Tokenizer.encode(text, add_special_tokens=False)."""
 
@@ -44,10 +59,12 @@ class SubwordEncoder:
         self.mark = "\n" if self.keeps_blanks else "\x01"
         self.joint = "\n" if self.keeps_blanks else " \x01 "
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        #: Piece to its number, for pieces as they stand and for those that had a blank before them.
-        self.known: dict[bool, dict[str, int]] = {False: {}, True: {}}
+        #: Pieces as they stand, and pieces that had a blank before them.
+        self.whole, self.after_blank = _Numbers(self, ""), _Numbers(self, " ")
+        self.fresh: list[tuple[_Numbers, str]] = []
+        #: The ids of piece i are flat[ends[i - 1]:ends[i]].
         self.flat, self.size = np.zeros(1 << 16, np.int32), 0
-        self.ends, self.held = np.zeros(1 << 16, np.int64), 1  # number 0 stays free: its end is where 1 begins
+        self.ends, self.held = np.zeros(1 << 16, np.int64), 1
 
     def pieces(self, text: str) -> tuple[list[str], bool]:
         """The pieces, and whether each but the first has lost the blank before it."""
@@ -58,81 +75,60 @@ class SubwordEncoder:
     def _encode(self, pieces: list[str]) -> list[np.ndarray]:
         """The library's ids of each piece. Plain pieces go in blocks with the mark between them."""
         out: list = [None] * len(pieces)
-        plain = [i for i, p in enumerate(pieces) if self.mark not in p and p.strip() and "<|" not in p]
-        odd = set(range(len(pieces))) - set(plain)
+        odd, plain = [], []
+        for i, p in enumerate(pieces):
+            (odd if self.mark in p or "<|" in p or not p or p.isspace() else plain).append(i)
         blocks = [plain[at : at + BLOCK] for at in range(0, len(plain), BLOCK)]
-        for block, got in zip(blocks, self.tokenizer.encode_batch_fast([self.joint.join(pieces[i] for i in b) for b in blocks], add_special_tokens=False)):
+        for block, got in zip(blocks, self.tokenizer.encode_batch_fast([self.joint.join([pieces[i] for i in b]) for b in blocks], add_special_tokens=False)):
             ids = np.array(got.ids, np.int32)
             marks = np.flatnonzero(ids == self.mark_id[0])
             if len(self.mark_id) != 1 or len(marks) != len(block) - 1:
-                odd.update(block)
+                odd += block
                 continue
             begin = 0
             for i, end in zip(block, [*marks.tolist(), len(ids)]):
                 out[i] = ids[begin:end]
                 begin = end + 1
-        for i in odd:
-            out[i] = np.array(self.tokenizer.encode(pieces[i], add_special_tokens=False).ids, np.int32)
+        for i, got in zip(odd, self.tokenizer.encode_batch_fast([pieces[i] for i in odd], add_special_tokens=False)):
+            out[i] = np.array(got.ids, np.int32)
         return out
 
-    def _remember(self, table: dict[str, int], piece: str, ids: np.ndarray) -> None:
-        end = len(ids) + (begin := self.size)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-        if self.held == len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-        self.flat[begin:end] = ids
-        table[piece] = self.held
-        self.ends[self.held] = self.size = end
-        self.held += 1
-
-    def _learn(self, table: dict[str, int], blank: str, fresh: list[str]) -> dict[str, np.ndarray]:
-        """Encode pieces that the table lacks; what it has no room for is returned."""
-        passing = {}
-        for piece, got in zip(fresh, self._encode([blank + p for p in fresh])):
-            if len(piece) <= KEEP_CHARS and self.held < KEEP_PIECES:
-                self._remember(table, piece, got)
-            else:
-                passing[piece] = got
-        return passing
+    def _append(self, ids: list[np.ndarray]) -> None:
+        n = np.array([len(x) for x in ids])
+        while self.size + n.sum() > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.held + len(n) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[self.size : self.size + n.sum()] = np.concatenate(ids)
+        self.ends[self.held : self.held + len(n)] = self.size + np.cumsum(n)
+        self.held, self.size = self.held + len(n), self.size + int(n.sum())
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if t else ([], False) for t in texts]
-        fresh: dict[bool, dict] = {False: {}, True: {}}
-        found = []
-        for ps, bare in cut:
-            at = list(map(self.known[bare].get, ps))
-            if bare:
-                at[0] = self.known[False].get(ps[0])
-            if None in at:
-                for i, x in enumerate(at):
-                    if x is None:
-                        fresh[bare and i > 0][ps[i]] = None
-            found.append(at)
-        passing = {bare: self._learn(self.known[bare], " " if bare else "", list(new)) for bare, new in fresh.items()}
-        out = []
-        for (ps, bare), at in zip(cut, found):
-            loose = []
-            if None in at:
-                for i, x in enumerate(at):
-                    if x is None:
-                        own = bare and i > 0
-                        at[i] = self.known[own].get(ps[i], 0)
-                        if ps[i] in passing[own]:
-                            loose.append((i, passing[own][ps[i]]))
-            out.append(self._gather(np.array(at, np.int64)) if not loose else self._mixed(at, loose))
-        return out
-
-    def _gather(self, at: np.ndarray) -> np.ndarray:
-        if not len(at):
-            return np.zeros(0, np.int32)
-        begin = self.ends[at - 1]
-        n = self.ends[at] - begin
-        return self.flat[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-
-    def _mixed(self, at: list[int], loose: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        parts, done = [], 0
-        for i, ids in loose:
-            parts += [self._gather(np.array(at[done:i], np.int64)), ids]
-            done = i + 1
-        return np.concatenate([*parts, self._gather(np.array(at[done:], np.int64))])
+        held, size, numbers, bounds, kept = self.held, self.size, [], [0], False
+        try:
+            for text in texts:
+                if text:
+                    ps, bare = self.pieces(text)
+                    if bare:
+                        numbers.append(self.whole[ps[0]])
+                        numbers.extend(map(self.after_blank.__getitem__, ps[1:]))
+                    else:
+                        numbers.extend(map(self.whole.__getitem__, ps))
+                bounds.append(len(numbers))
+            if self.fresh:
+                self._append(self._encode([table.before + p for table, p in self.fresh]))
+            at = np.array(numbers, np.int64)
+            begin = self.ends[at - 1]
+            n = self.ends[at] - begin
+            done = np.concatenate([[0], np.cumsum(n)])
+            flat = self.flat[np.repeat(begin - done[:-1], n) + np.arange(done[-1])]
+            kept = self.held <= KEEP_PIECES and self.size <= KEEP_IDS
+        finally:  # what there is no room for, and what could not be encoded, is forgotten
+            for table, p in self.fresh:
+                if not kept or len(p) > KEEP_CHARS:
+                    del table[p]
+            self.fresh = []
+            if not kept:
+                self.held, self.size = held, size
+        cut = done[bounds].tolist()
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
