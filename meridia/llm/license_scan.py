@@ -57,7 +57,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD), lambda w: w != "")
 
 
-def _templates(templates: dict[str, str], phrases: dict[str, str], containment: float) -> list[Template]:
+def words_needed(t: Template) -> int:
+    """How many of its distinct words a block must hold."""
+    return math.ceil(t.containment * len(set(t.words)) - 1e-9)
+
+
+def templates_of(templates: dict[str, str], phrases: dict[str, str], containment: float) -> list[Template]:
+    """Templates and phrases as words; those without words are left out."""
     import re
 
     cut = lambda t: tuple(w for w in re.split(NOT_WORD, t.translate(str.maketrans(UPPER, LOWER))) if w)
@@ -78,7 +84,7 @@ def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Columns: _row, doc_id, n_words, label, phrase (boolean), begin (first word of the block), overlap (of distinct
     words), n_template, places (word positions of a phrase, else null).
     """
-    known = _templates(TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases, containment)
+    known = templates_of(TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases, containment)
     vocabulary = sorted({w for t in known for w in t.words}) or [""]
     seen = word_frequencies(docs, vocabulary, text_col)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
@@ -86,7 +92,7 @@ def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     index, sizes, need = [], [], {}
     for t in known:
         own = sorted(set(t.words), key=rank.__getitem__)
-        need[t] = math.ceil(t.containment * len(own) - 1e-9)
+        need[t] = words_needed(t)
         sizes.append(len(t.words))
         for at, w in enumerate(own[: len(own) - need[t] + 1]):
             index.append(F.struct(F.lit(w).alias("w"), F.lit(at).alias("t_at"), F.lit(t.label).alias("label"), F.lit(t.phrase).alias("phrase"), F.array(*map(F.lit, own)).alias("own"), F.lit(need[t]).alias("need"), F.array(*map(F.lit, t.words)).alias("t_words")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, edit_counts, language_id, license_scan, line_dedup, near_dedup, packing, page_text, token_files, vector_search
+from . import decontaminate, edit_counts, language_id, license_scan, line_dedup, near_dedup, packing, page_text, sql, token_files, vector_search
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": sql.license_sql(),
+    "op2_line_dedup": sql.line_sql(),
     "op3_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
