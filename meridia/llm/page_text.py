@@ -1,16 +1,18 @@
 """Main text of web pages by deducing the template of each host.
 
-Each page is read into blocks of text with the path of elements around them. Tokens (an element path, or a path with
-its whole text) whose occurrence vectors over the pages of a host are equal form an equivalence class. A class is
-valid for the template if its tokens stand once in each page of at least `share` of the host's pages (and of
-min_pages); valid classes nest by their paths. Text in a valid class is template; what remains are slots. If the
-template, or the page, has an article element, its slots and the page's own blocks in it are the main text: inside
-an article nothing is dropped for being repeated, since copies of a page are not a template. Elsewhere the slots
+Each page is read into blocks of text with the path of elements around them. Pages of a host that show the same
+blocks are copies and count as one content, so that copies of a page are no template. Tokens (an element path, or a
+path with its whole text) that stand once in each of at least `share` of the host's contents (and of min_pages) and
+whose occurrence vectors over the contents are equal form an equivalence class. A class is judged in the parts that
+lie in one slot each: the slot of a token is the nearest element around it that a valid class of more contents holds
+(or the page). A part is valid if it has min_size tokens, a text counting its words; larger classes are judged first,
+and elements of parts that are not valid hold no slot. Text in a valid part is template, inside an article too; what
+remains are slots. If the page has an article or main element, the slots in it are the main text; elsewhere the slots
 outside menus, headers, footers, sidebars, notices, adverts, forms and comments remain.
 
-Occurrence vectors are never gathered: a token's vector is summed up as a 128-bit fingerprint over pages, so a host
-with a third of all pages is aggregated before the shuffle. A host's valid tokens are at most the tokens of an average
-page divided by `share`.
+Occurrence vectors are never gathered: a token's vector is summed up as a 128-bit fingerprint over contents, so a host
+with a third of all pages is aggregated before the shuffle. A host's frequent tokens, which meet in one place to be
+judged, are at most the tokens of an average page divided by `share`.
 
 Cases: null, empty or text-free html gives ''; markup that ends early is read as far as it goes; repeated page_ids give a row
 each; a null url is a host of its own name ''; ties do not arise; an empty table gives no rows; other columns are not
@@ -41,8 +43,8 @@ WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo n
 #: The same outside an article only: inside one they hold its title.
 OUTER_WORDS = frozenset("header masthead topbar".split())
 
-_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("has_article", pa.bool_()), ("zones", pa.list_(pa.int8())), ("keys", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
-_PAGE_DDL = "page_id long, url string, host string, has_article boolean, zones array<tinyint>, keys array<long>, texts array<string>, tokens array<long>, counts array<int>"
+_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("has_article", pa.bool_()), ("zones", pa.list_(pa.int8())), ("keys", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("content", pa.int64()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("parents", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+_PAGE_DDL = "page_id long, url string, host string, has_article boolean, zones array<tinyint>, keys array<long>, texts array<string>, content long, tokens array<long>, counts array<int>, parents array<long>, sizes array<int>"
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -158,27 +160,69 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p = parsed(html)
                 shown = [(z, f"{path}\n{text}", text) for z, path, text in p.found]
                 tokens: dict[int, int] = {}
-                for name, n in [*p.paths.items(), *((k, 1) for z, k, _ in shown)]:
-                    tokens[h] = tokens.get(h := _hash(name), 0) + n
+                around: dict[int, tuple[int, int]] = {}
+                for path, n in p.paths.items():
+                    tokens[h] = tokens.get(h := _hash(path), 0) + n
+                    around[h] = (_hash(path.rpartition("/")[0]), 1)
+                for z, path, text in p.found:
+                    tokens[h] = tokens.get(h := _hash(f"{path}\n{text}"), 0) + 1
+                    around[h] = (_hash(path), len(text.split()))
                 shown = [x for x in shown if x[0]]
+                content = _hash("\n\n".join(k for _, k, _ in shown))
                 host = m[1].lower() if (m := _HOST.match(url or "")) else ""
-                rows.append((page_id, url, host, p.has_article, [x[0] for x in shown], [_hash(x[1]) for x in shown], [x[2].encode("utf-8", "replace").decode() for x in shown], list(tokens), list(tokens.values())))
+                rows.append((page_id, url, host, p.has_article, [x[0] for x in shown], [_hash(x[1]) for x in shown], [x[2].encode("utf-8", "replace").decode() for x in shown], content, list(tokens), list(tokens.values()), *map(list, zip(*(around[h] for h in tokens)))) if tokens else (page_id, url, host, p.has_article, [], [], [], content, [], [], [], []))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PAGE)], schema=_PAGE)
 
 
-def host_templates(pages: DataFrame, *, share: float = 0.6, min_pages: int = 4) -> DataFrame:
-    """host, n_pages, classes, valid: the tokens of its valid equivalence classes.
+def valid_parts(tokens: list[dict], min_size: int) -> list[list[int]]:
+    """The tokens of each valid part of a host's equivalence classes.
 
-    pages: rows of parsed pages. A class is a host's tokens with one fingerprint; classes counts the valid ones.
+    tokens: token, parent, n (contents), total (occurrences), size, f1 and f2 of every frequent token of the host.
     """
-    page = F.struct("page_id", "url")
-    vector = [F.sum((F.xxhash64(F.lit(s), page) * 1).cast("decimal(38,0)") * F.col("count")).alias(f"f{s}") for s in (1, 2)]
-    each = pages.select("host", "page_id", "url", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("counts").alias("count"))))
-    tokens = each.groupBy("host", "token").agg(F.count("*").alias("n"), F.sum("count").alias("total"), *vector)
-    n_pages = written(pages.groupBy("host").agg(F.count("*").alias("n_pages")), "host-pages")
-    often = written(tokens.filter((F.col("n") >= min_pages) & (F.col("n") == F.col("total"))), "frequent-tokens").join(n_pages, "host").filter(F.col("n") >= share * F.col("n_pages"))
-    classes = often.groupBy("host", "f1", "f2").agg(F.collect_list("token").alias("tokens"), F.first("n_pages").alias("n_pages"))
-    return classes.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.count("*").alias("classes"), F.flatten(F.collect_list("tokens")).alias("valid"))
+    parent = {t["token"]: t["parent"] for t in tokens}
+    classes: dict[tuple, list[dict]] = {}
+    for t in tokens:
+        if t["n"] == t["total"]:
+            classes.setdefault((-t["n"], t["f1"], t["f2"]), []).append(t)
+    valid: set[int] = set()
+    out = []
+    for key in sorted(classes):
+        found: dict[int | None, list[dict]] = {}
+        for t in classes[key]:
+            slot = t["parent"]
+            while slot in parent and slot not in valid:
+                slot = parent[slot]
+            found.setdefault(slot if slot in valid else None, []).append(t)
+        new = [[t["token"] for t in part] for part in found.values() if sum(t["size"] for t in part) >= min_size]
+        valid.update(t for part in new for t in part)
+        out += new
+    return out
+
+
+def _judge(min_size: int):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts_of = [valid_parts(t, min_size) for t in b.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("n_pages"), pa.array([len(x) for x in parts_of], pa.int64()), pa.array([[t for part in x for t in part] for x in parts_of], pa.list_(pa.int64()))], names=["host", "n_pages", "classes", "valid"])
+
+    return judge
+
+
+def host_templates(pages: DataFrame, *, share: float = 0.6, min_pages: int = 4, min_size: int = 3) -> DataFrame:
+    """host, n_pages (different contents), classes, valid: the tokens of the valid parts of its equivalence classes.
+
+    pages: rows of parsed pages. classes counts the valid parts.
+    """
+    vector = [F.sum((F.xxhash64(F.lit(s), "content") * 1).cast("decimal(38,0)") * F.col("count")).alias(f"f{s}") for s in (1, 2)]
+    # of the copies of a page, which may differ in what is beside the content, the least stands for all
+    once = pages.groupBy("host", "content").agg(F.min(F.struct("tokens", "counts", "parents", "sizes")).alias("p"))
+    each = once.select("host", "content", F.inline(F.arrays_zip(F.col("p.tokens").alias("token"), F.col("p.counts").alias("count"), F.col("p.parents").alias("parent"), F.col("p.sizes").alias("size"))))
+    tokens = each.groupBy("host", "token").agg(F.count("*").alias("n"), F.sum("count").alias("total"), F.min("parent").alias("parent"), F.min("size").alias("size"), *vector)
+    n_pages = written(pages.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n_pages")), "host-pages")
+    often = written(tokens.filter(F.col("n") >= min_pages), "frequent-tokens").join(n_pages, "host").filter(F.col("n") >= share * F.col("n_pages"))
+    token = F.struct("token", "parent", "n", "total", "size", F.col("f1").cast("string").alias("f1"), F.col("f2").cast("string").alias("f2"))
+    hosts = often.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.collect_list(token).alias("tokens"))
+    return hosts.mapInArrow(_judge(min_size), "host string, n_pages long, classes long, valid array<long>")
 
 
 def main_texts(pages: DataFrame, **options) -> DataFrame:
@@ -186,7 +230,7 @@ def main_texts(pages: DataFrame, **options) -> DataFrame:
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     seen = written(read.mapInArrow(_read, _PAGE_DDL), "pages")
     templates = written(host_templates(seen, **options), "host-templates")
-    joined = seen.drop("tokens", "counts").join(templates.select("host", "valid"), "host", "left")
-    slots = F.filter(F.arrays_zip("zones", "keys", "texts"), lambda b: F.when(F.col("has_article"), b["zones"] == 2).otherwise(F.col("valid").isNull() | ~F.array_contains("valid", b["keys"])))
+    joined = seen.drop("content", "tokens", "counts", "parents", "sizes").join(templates.select("host", "valid"), "host", "left")
+    slots = F.filter(F.arrays_zip("zones", "keys", "texts"), lambda b: (~F.col("has_article") | (b["zones"] == 2)) & (F.col("valid").isNull() | ~F.array_contains("valid", b["keys"])))
     text = F.array_join(F.col("slots.texts"), "\n\n")
     return joined.withColumn("slots", slots).select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.size("slots").cast("long").alias("n_slots"))

@@ -169,3 +169,28 @@ def test_template_text_of_a_host_without_articles_goes(spark):
     rows = [(i, f"http://h.org/{i}", f"<div><p>Welcome to our site</p><p>Story {i} is told here</p></div><p>All pages end so</p>") for i in range(6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["text"] for r in page_text.main_texts(df).collect()} == {f"Story {i} is told here" for i in range(6)}
+
+
+def test_template_text_inside_articles_goes_and_copies_are_no_template(spark):
+    line = "<p>Read all our other stories too</p>"
+    rows = [(i, f"http://a.org/{i}", f"<article><p>Story {i} is told here</p>{line}</article>") for i in range(6)]
+    rows += [(100 + i, f"http://b.org/{i}", f"<p>The very same story is on pages</p><p>It has {'two' if i < 8 else i} parts</p>") for i in range(10)]
+    word = lambda i: "<p>Chapter</p>" if i % 4 else "<p>Once</p>"
+    rows += [(200 + i, f"http://c.org/{i}", f"<div>{word(i)}<p>Tale {i}</p></div>{'<div><ul><li>Our weekly tale letter</li></ul></div>' if i % 5 else ''}") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_text.main_texts(df).collect()}
+    assert all(got[i] == f"Story {i} is told here" for i in range(6))
+    assert got[100] == "The very same story is on pages\n\nIt has two parts"
+    assert got[201] == "Chapter\n\nTale 1"
+
+
+def test_classes_are_judged_by_size_in_their_slots():
+    t = lambda token, parent, n, size=1, total=None, f=None: {"token": token, "parent": parent, "n": n, "total": total or n, "size": size, "f1": str(f or n), "f2": "0"}
+    page = [t(1, 0, 10), t(2, 1, 10), t(3, 1, 10), t(4, 2, 10, total=30), t(5, 3, 10, total=20)]
+    parts = lambda more: sorted(sorted(p) for p in page_text.valid_parts(page + more, 3))
+    assert parts([]) == [[1, 2, 3]]
+    # two words in two slots are too few in each, though together enough
+    assert parts([t(6, 4, 8, 2), t(7, 5, 8, 2)]) == [[1, 2, 3]]
+    assert parts([t(6, 4, 8, 2), t(7, 4, 8, 2), t(8, 5, 8, 1)]) == [[1, 2, 3], [6, 7]]
+    # an element of a rejected class holds no slot of its own
+    assert parts([t(6, 4, 8, 1), t(7, 6, 7, 2), t(8, 4, 7, 1)]) == [[1, 2, 3], [7, 8]]
