@@ -4,13 +4,16 @@ Features are byte bigrams and trigrams of the whole text (ASCII lower-cased; eve
 counts as a blank), hashed into DIMENSIONS. Document frequencies cover all labelled training rows. Vectors are
 log-scaled, weighted by inverse document frequency and normalised. Each language has several centroids, found by
 spherical k-means on a sample of its training rows. A text gets the language of the centroid with the largest
-cosine, which is the score. It is rejected where its distance is beyond that of the farthest training text of the
-language, with a margin: texts of no letters, and texts unlike any language.
+cosine, which is the score. It is rejected where the cosine is below `margin` times a low quantile of the cosines that
+the language's training texts have at its length: texts of no letters, and texts unlike any language. These cosines
+are measured on the sampled texts cut to each of LENGTHS letters, as short texts of any language lie far from every
+centroid. A text's length is its number of different n-grams, so that a word said a thousand times is a short text;
+between the measured lengths the least cosine is interpolated by their logarithms.
 
 The sample is the training rows with the smallest hash share of doc_id, about `per_language` for a language; that
 bound is a parameter. Counts of documents and n-grams cover all rows.
 
-Cases: null texts and texts without a letter are 'und' with score 0 and rejected; training rows without text or
+Cases: null texts and texts without a letter are 'und' with score 0 and rejected; training rows without a letter or
 language are left out; without any training row every text is 'und'; equal cosines go to the language that sorts
 first; repeated rows are judged each; a null doc_id is predicted but not learned from; other columns are kept by
 accepted and not read by predicted; an empty table gives no rows; texts of any length count whole.
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from .shared import parts, text_bytes
 
 DIMENSIONS = 4096
+#: Letters (bytes of letters) at which least cosines are measured.
+LENGTHS = (4, 16, 64, 256, 1024)
 _BLOCK_ROWS, _WINDOW = 500, 2_000_000
 _code = np.arange(256)
 _letter = (_code >= 0x80) | ((_code >= 0x61) & (_code <= 0x7A)) | ((_code >= 0x41) & (_code <= 0x5A))
@@ -62,6 +67,26 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
+def beginning(text: bytes, letters: int) -> bytes:
+    """The text up to its letter of that number; all of it if it has fewer."""
+    at = np.flatnonzero(_letter[np.frombuffer(text, np.uint8)])
+    return text[: int(at[letters - 1]) + 1] if len(at) >= letters else text
+
+
+def least_cosines(texts: list[bytes], c: np.ndarray, idf: np.ndarray, quantile: float) -> tuple[np.ndarray, np.ndarray]:
+    """(length, cosine): for the texts of at least each of LENGTHS letters, cut to it, the logarithm of their median number of n-grams and the quantile of their cosines."""
+    out = [(0.0, 0.0)]
+    for n in LENGTHS:
+        cut = [beginning(t, n) for t in texts if int(_letter[np.frombuffer(t, np.uint8)].sum()) >= n]
+        if cut:
+            counts = gram_counts(np.frombuffer(b"".join(cut), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in cut])]))
+            length = float(np.log(max(1.0, np.median((counts > 0).sum(axis=1)))))
+            cosine = float(np.quantile((vectors(counts, idf) @ c.T).max(axis=1), quantile))
+            if length > out[-1][0]:
+                out.append((length, max(cosine, out[-1][1])))
+    return tuple(np.array(out).T)
+
+
 def centroids(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; starts from the first row and then from rows far from all chosen."""
     chosen = [sample[0]]
@@ -82,7 +107,7 @@ class LanguageModel:
     languages: list[str]  #: of each centroid
     idf: np.ndarray
     matrix: np.ndarray
-    least: np.ndarray  #: cosine below which a centroid's texts are rejected
+    least: list[tuple[np.ndarray, np.ndarray]]  #: of each centroid, lengths and the cosines below which texts of these are rejected
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +129,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _blocks(batches):
         counts = gram_counts(*text_bytes(b.column("text"))).clip(max=65535).astype("<u2")
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["doc_id", "lang", "counts"])
+        begin = [beginning(t.encode(), LENGTHS[-1]) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(begin, pa.binary())], names=["doc_id", "lang", "counts", "begin"])
 
 
-def fitted(training: DataFrame, *, per_language: int = 300, clusters: int = 4, margin: float = 0.5) -> LanguageModel | None:
-    """Learn from rows (doc_id, text, lang). About per_language rows of each language come to the driver as counts."""
-    rows = training.filter("text is not null and lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+def fitted(training: DataFrame, *, per_language: int = 300, clusters: int = 4, margin: float = 0.5, quantile: float = 0.05) -> LanguageModel | None:
+    """Learn from rows (doc_id, text, lang). About per_language rows of each language come to the driver as counts and beginnings."""
+    rows = training.filter(F.col("text").cast("string").rlike(r"\p{L}")).filter("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not found:
         return None
@@ -117,16 +143,16 @@ def fitted(training: DataFrame, *, per_language: int = 300, clusters: int = 4, m
     idf = np.log((1 + df[-1]) / (1 + np.array([df[i] for i in range(DIMENSIONS)]))).astype(np.float32) + np.float32(0.05)
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in sorted(found.items())])
     few = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
-    sample = sorted((r["lang"], r["doc_id"], bytes(r["counts"])) for r in few.mapInArrow(_sampled, "doc_id long, lang string, counts binary").collect())
+    sample = sorted((r["lang"], r["doc_id"], bytes(r["counts"]), bytes(r["begin"])) for r in few.mapInArrow(_sampled, "doc_id long, lang string, counts binary, begin binary").collect())
     languages, matrix, least = [], [], []
     for lang in sorted({s[0] for s in sample}):
-        own = vectors(np.array([np.frombuffer(c, "<u2") for l, _, c in sample if l == lang]), idf)
+        own = vectors(np.array([np.frombuffer(c, "<u2") for l, _, c, _ in sample if l == lang]), idf)
         c = centroids(own, clusters)
-        best = (own @ c.T).max(axis=1)
+        length, cosine = least_cosines([t for l, _, _, t in sample if l == lang], c, idf, quantile)
         languages += [lang] * len(c)
         matrix.append(c)
-        least += [margin * float(best.min())] * len(c)
-    return LanguageModel(languages, idf, np.concatenate(matrix), np.array(least, np.float32))
+        least += [(length, margin * cosine)] * len(c)
+    return LanguageModel(languages, idf, np.concatenate(matrix), least)
 
 
 def judge(model: LanguageModel | None, batch: pa.RecordBatch) -> tuple[list[str], list[float], list[bool]]:
@@ -134,10 +160,14 @@ def judge(model: LanguageModel | None, batch: pa.RecordBatch) -> tuple[list[str]
     texts = batch.column("text").to_pylist()
     if model is None:
         return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-    cos = vectors(gram_counts(*text_bytes(batch.column("text"))), model.idf) @ model.matrix.T
+    counts = gram_counts(*text_bytes(batch.column("text")))
+    cos = vectors(counts, model.idf) @ model.matrix.T
     best = np.argmax(cos, axis=1)
     score = np.clip(cos[np.arange(len(best)), best], 0, 1)
-    far = score < model.least[best]
+    length = np.log(np.maximum((counts > 0).sum(axis=1), 1))
+    far = np.zeros(len(best), bool)
+    for j in set(best.tolist()):
+        far[best == j] = score[best == j] < np.interp(length[best == j], *model.least[j])
     said = [has_letter(t) for t in texts]
     return [model.languages[b] if s else "und" for b, s in zip(best, said)], [float(x) if s else 0.0 for x, s in zip(score, said)], [bool(f) or not s for f, s in zip(far, said)]
 

@@ -1,3 +1,4 @@
+import base64
 import random
 import zlib
 
@@ -117,6 +118,21 @@ def test_languages_are_told_apart(spark):
     assert language_id.predicted(table(spark, []), model).count() == 0
 
 
+def test_random_letters_are_rejected_and_short_texts_are_not(spark):
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(-1 - i, t, lang) for i, t in enumerate(["", " ", "12 !? ☂", "\n\n", "2024-01-01"] * 8) for lang in ("de", "en", "es", "fr")]
+    model = language_id.fitted(docs.filter(~language_id.held_out("doc_id")).unionByName(spark.createDataFrame(junk, docs.schema)), per_language=80)
+    words = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(200)) for _ in range(20)]
+    held = docs.filter(language_id.held_out("doc_id") & F.col("lang").isNotNull()).collect()
+    short = [" ".join(r["text"].split()[:n]) for r in held if len(r["text"].split()) >= 30 for n in (3, 6, 12)]
+    rows = [(i, t) for i, t in enumerate(words + [base64.b64encode(rng.randbytes(600)).decode() for _ in range(20)] + short)]
+    got = {r["doc_id"]: r["rejected"] for r in language_id.predicted(table(spark, rows), model).collect()}
+    assert all(got[i] for i in range(40))
+    assert sum(got[i] for i in range(40, len(rows))) <= 0.02 * len(short)
+    assert language_id.accepted(docs, model).count() >= 0.99 * docs.count()
+
+
 def test_gram_counts_do_not_depend_on_windows(monkeypatch):
     data = np.frombuffer("Ab cé, the end".encode() * 40, np.uint8)
     offsets = np.array([0, 5, 5, 200, len(data)])
