@@ -2,13 +2,13 @@
 
 Windows are 13 consecutive item words (an item of fewer words is one window). Their hashes are broadcast
 while the benchmark is within max_broadcast_bytes; a larger one is cut into blocks of that size, and all
-documents are scanned once for each block. Every hash hit is verified on the words themselves.
+documents are scanned once for each block: they are first written with a key for each row, by which the hits
+of the blocks meet, so that both ways give the same rows. Every hash hit is verified on the words themselves.
 
 Cases: a null or empty text has no words and is never contaminated; null or empty items are left out; an
 item_id that occurs twice counts once, and a null item_id marks words but is not listed; rows that repeat
-a doc_id are judged each on their own in one scan (and together, as one document, where blocks are
-needed); an empty benchmark or document table gives no hits or no rows; other columns of either table
-are neither read nor changed.
+a doc_id, or have none, are judged each on their own; an empty benchmark or document table gives no hits or
+no rows; other columns of either table are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -62,7 +62,9 @@ class NgramSet:
         return out
 
 
-def _scan(shared, id_col: str, text_col: str):
+def _scan(shared, id_col: str, text_col: str, row_col: str | None = None):
+    schema = _SPANS if row_col is None else _SPANS.append(pa.field("row", pa.int64()))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: NgramSet = shared.value
         for whole in batches:
@@ -82,7 +84,7 @@ def _scan(shared, id_col: str, text_col: str):
                     spans[r] = edge.tolist()
                     places[r] = [int(x) for s, e in zip(edge[::2], edge[1::2]) for x in (w.start[a + s] - offsets[r], w.end[a + e - 1] - offsets[r])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_col).cast(pa.int64()), pa.array(np.diff(w.bounds), pa.int64()), pa.array(spans, _SPANS.field(2).type), pa.array(places, _SPANS.field(3).type), pa.array([sorted({grams.ids[k] for k in x if grams.ids[k] is not None}) for x in items], _SPANS.field(4).type)], schema=_SPANS
+                    [batch.column(id_col).cast(pa.int64()), pa.array(np.diff(w.bounds), pa.int64()), pa.array(spans, _SPANS.field(2).type), pa.array(places, _SPANS.field(3).type), pa.array([sorted({grams.ids[k] for k in x if grams.ids[k] is not None}) for x in items], _SPANS.field(4).type), *([] if row_col is None else [batch.column(row_col)])], schema=schema
                 )
 
     return scan
@@ -94,18 +96,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // max_broadcast_bytes))
-    read = docs.select(id_col, text_col)
+    if n_blocks > 1:
+        keyed, row = _keyed(docs.select(id_col, text_col))
+        return _in_blocks(keyed, items, n_blocks, id_col, text_col, row, window).drop("row")
+    shared = spark.sparkContext.broadcast(NgramSet([tuple(r) for r in items.collect()], window))
+    return docs.select(id_col, text_col).mapInArrow(_scan(shared, id_col, text_col), _SPANS_DDL)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a key of each row, and the key's name."""
+    row = "_row"
+    while row in docs.columns:
+        row = "_" + row
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-documents"), row
+
+
+def _in_blocks(keyed: DataFrame, items: DataFrame, n_blocks: int, id_col: str, text_col: str, row: str, window: int) -> DataFrame:
+    """contamination() of keyed rows with the benchmark in blocks, and each row's key as row."""
     out = []
     for b in range(n_blocks):
-        own = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b)
-        shared = spark.sparkContext.broadcast(NgramSet([tuple(r) for r in own.collect()], window))
-        found = read.mapInArrow(_scan(shared, id_col, text_col), _SPANS_DDL)
-        out.append(found if n_blocks == 1 else written(found, "contamination-block"))
-    return out[0] if n_blocks == 1 else _merged(out)
+        own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b)
+        shared = keyed.sparkSession.sparkContext.broadcast(NgramSet([tuple(r) for r in own.collect()], window))
+        out.append(written(keyed.select(id_col, text_col, row).mapInArrow(_scan(shared, id_col, text_col, row), f"{_SPANS_DDL}, row long"), "contamination-block"))
+    return _merged(out)
 
 
 def _merged(blocks: list[DataFrame]) -> DataFrame:
-    """One row a document from its rows of all blocks; spans are joined where they overlap."""
+    """One row for each row key from its rows of all blocks; spans are joined where they overlap."""
     rows = blocks[0]
     for x in blocks[1:]:
         rows = rows.unionByName(x)
@@ -117,8 +134,8 @@ def _merged(blocks: list[DataFrame]) -> DataFrame:
     def paired(c):
         return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(c) - 1, F.lit(0))), lambda i: (i % 2 == 0) & (i < F.size(c))), lambda i: F.array(F.get(c, i), F.get(c, i + 1)))
 
-    got = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(paired(F.col(c)))).alias(c) for c in ("spans", "bytes")], F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return got.select("doc_id", "n_words", join(F.col("spans")).alias("spans"), join(F.col("bytes")).alias("bytes"), "items")
+    got = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(paired(F.col(c)))).alias(c) for c in ("spans", "bytes")], F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return got.select("doc_id", "n_words", join(F.col("spans")).alias("spans"), join(F.col("bytes")).alias("bytes"), "items", "row")
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -150,11 +167,14 @@ def _clean_only(shared, text_col: str):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, max_broadcast_bytes: int = 32_000_000, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, unchanged, in one pass without a shuffle (blocks need a join)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).filter("t is not null")
-    if items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] <= max_broadcast_bytes:
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    if size <= max_broadcast_bytes:
         shared = docs.sparkSession.sparkContext.broadcast(NgramSet([tuple(r) for r in items.collect()], window))
         return docs.mapInArrow(_clean_only(shared, "text"), docs.schema)
-    bad = judged(contamination(docs.filter(F.col("doc_id").isNotNull()), benchmark, max_broadcast_bytes=max_broadcast_bytes, window=window)).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    keyed, row = _keyed(docs)
+    found = _in_blocks(keyed, items, -(-size // max_broadcast_bytes), "doc_id", "text", row, window)
+    bad = judged(found.withColumn("doc_id", F.col("row"))).filter("contaminated").select(F.col("doc_id").alias(row))
+    return keyed.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def spans_removed(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -78,6 +78,17 @@ def test_contamination_equals_window_search(spark, bound):
     assert clean.columns == table(spark, []).columns
 
 
+def test_a_large_benchmark_gives_the_rows_of_a_small_one(spark):
+    run = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, "alpha beta gamma"), (None, "a clean text"), (None, None), (1, run), (1, "a clean text of the same id"), (1, run), (2, "alpha beta gamma " + "z " * 100), (2, "x " * 500)]
+    docs, items = table(spark, rows), spark.createDataFrame(ITEMS, "item_id long, text string")
+    order = lambda r: str(tuple(r))
+    for way in (lambda n: decontaminate.contamination(docs, items, max_broadcast_bytes=n), lambda n: decontaminate.decontaminated(docs, items, max_broadcast_bytes=n)):
+        small, large = (sorted(way(n).collect(), key=order) for n in (10**9, 60))
+        assert small == large
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in large) == sorted((d or -1, t or "") for d, t in rows if t not in (run, "alpha beta gamma"))
+
+
 def test_spans_are_removed_from_texts(spark):
     items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
     got = dict(map(tuple, decontaminate.spans_removed(table(spark, [(1, "é Alpha beta, gamma é"), (2, "none"), (3, None), (4, "alpha beta gamma")]), items).collect()))
