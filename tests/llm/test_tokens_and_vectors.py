@@ -67,6 +67,20 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.packed(packing.pieces(table(spark, []), tokenizer_path("word_bpe_49k.json"))).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing_keeps_binding_capacities(spark, rule):
+    rng = random.Random(9)
+    rows = [(i, "word " * rng.choice([0, 2, 40, 90])) for i in range(200)]
+    cut = packing.pieces(table(spark, rows), tokenizer_path("word_bpe_49k.json")).toPandas()
+    top = int(cut.length.max()) ** 2 + 50
+    for most in ({"max_documents": 3}, {"max_attention": top}, {"max_documents": 3, "max_attention": top}):
+        got = packing.packed(packing.pieces(table(spark, rows), tokenizer_path("word_bpe_49k.json")), weights=(1.0, 1.0, 1.0), rule=rule, **most).toPandas()
+        own = got.assign(cost=got.length**2).groupby("sequence_id").agg(n=("doc_id", "size"), tokens=("length", "sum"), cost=("cost", "sum"))
+        assert sorted(got.doc_id) == list(range(200)) and own.tokens.max() <= 4096
+        assert own.n.max() <= most.get("max_documents", 4096) and own.cost.max() <= most.get("max_attention", 4096**2)
+        assert len(own) > -(-got.length.sum() // 4096) + 1  # more sequences than tokens alone need
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(rule):
     lengths = np.array(sorted(random.Random(1).choices(range(1, 60), k=400), reverse=True))
