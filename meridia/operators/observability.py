@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,14 +138,41 @@ def open_alerts(findings: DataFrame, history: DataFrame, now, cooldown_minutes:
     return findings.join(recent.select("alert_type").distinct(), "alert_type", "left_anti")
 
 
+def _bucket_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, n, h) of each bucket from its (b, h, n) in order; no bucket is held in memory."""
+
+    def row(b: int, n: int, digest) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=["b", "n", "h"])
+
+    at, total, digest = None, 0, None
+    for batch in batches:
+        for b, h, n in zip(*(batch.column(c).to_pylist() for c in ("b", "h", "n"))):
+            if b != at:
+                if at is not None:
+                    yield row(at, total, digest)
+                at, total, digest = b, 0, hashlib.sha256()
+            line = ("\n" + h).encode()
+            digest.update(line if total else h.encode())
+            left = n - 1
+            while left:  # copies of a row, some thousands at a time
+                some = min(left, 4096)
+                digest.update(line * some)
+                left -= some
+            total += n
+    if at is not None:
+        yield row(at, total, digest)
+
+
 def dataset_digest(df: DataFrame, parts: list[Column], buckets: int = 4096) -> DataFrame:
     """An order-free SHA-256 of a table in two levels: rows' hashes in buckets, then the buckets' hashes.
 
-    Only one bucket's hashes (a 1/4096 of the rows) or all buckets' hashes meet in one place.
+    Copies of a row are counted first, so that they are one pair (hash, count) before they are dealt to buckets; the
+    sorted pairs of a bucket stream through its digest. Only the digests of all buckets meet in one place.
     """
     row = df.select(F.sha2(F.array_join(F.array(*[F.coalesce(p.cast("string"), F.lit("None")) for p in parts]), "|", ""), 256).alias("h"))
-    bucket = F.conv(F.substring("h", 1, 3), 16, 10).cast("int") % buckets
-    level = row.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
+    bucket = (F.conv(F.substring("h", 1, 3), 16, 10).cast("int") % buckets).cast("int")
+    pairs = row.groupBy("h").agg(F.count("*").alias("n")).select(bucket.alias("b"), "h", "n")
+    level = pairs.repartition("b").sortWithinPartitions("b", "h").mapInArrow(_bucket_digests, "b int, n long, h string")
     return level.agg(F.sum("n").alias("n_rows"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])), 256).alias("digest"))
 
 

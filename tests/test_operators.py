@@ -197,3 +197,16 @@ def test_scores_and_alerts(spark):
     assert one(spark, O.reproducibility(F.lit(True), F.lit(3), F.lit(2)), x=1) == 0.667 and one(spark, O.reproducibility(F.lit(True), F.lit(0), F.lit(0)), x=1) == 1.0
     assert one(spark, O.system_health(F.lit(11), F.lit(0)), x=1) == "degraded" and one(spark, O.quality_status(F.lit(0.9)), x=1) == "good"
     assert one(spark, O.mean_positive([F.lit(0.5), F.lit(0.0), F.lit(1.0)]), x=1) == 0.75
+
+
+def test_digest_of_copies_equals_a_plain_one_and_gathers_no_rows(spark):
+    rows = spark.range(50).unionByName(spark.range(10_000).selectExpr("7L as id")).unionByName(spark.range(3).selectExpr("cast(null as long) as id"))
+    plan = O.dataset_digest(rows, [F.col("id")])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1  # of the buckets' digests only
+    hashes = [hashlib.sha256(str(r["id"]).encode()).hexdigest() for r in rows.collect()]
+    for n in (4096, 16):
+        own = {}
+        for h in hashes:
+            own.setdefault(int(h[:3], 16) % n, []).append(h)
+        want = hashlib.sha256("\n".join(hashlib.sha256("\n".join(sorted(own[b])).encode()).hexdigest() for b in sorted(own)).encode()).hexdigest()
+        assert tuple(O.dataset_digest(rows, [F.col("id")], n).first()) == (10_053, want)
