@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Paths of the tables written inside each open scratch(), innermost last.
+_SCRATCH: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Only where that is unset (tests) a folder of this machine is used."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or _OWN.setdefault("base", "file://" + tempfile.mkdtemp(prefix="meridia-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below spark.checkpoint.dir. Only a local master may go without that setting (tests): executors do not share this machine's folders."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.setdefault("base", "file://" + tempfile.mkdtemp(prefix="meridia-"))
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete all intermediate tables written inside this block when it ends: read or write the results inside it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
 
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -35,13 +59,50 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for t in tables:
         if path := getattr(t, "_shared_path", None):
-            spark = t.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(t.sparkSession, path)
+
+
+def free_name(name: str, *taken: DataFrame) -> str:
+    """name, or name with leading underscores, such that none of the tables has such a column in any case of letters."""
+    known = {c.lower() for t in taken for c in t.columns}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without malloc_trim keeps what it has
+
+
+def frugal(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches; workers, which live on between tasks, give freed memory back after every input batch and at the end."""
+
+    @functools.wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> Iterator[pa.RecordBatch]:
+            for i, b in enumerate(batches):
+                if i:
+                    give_back()
+                yield b
+
+        yield from step(counted())
+        give_back()
+
+    return run
 
 
 class Bitmap:
@@ -74,7 +135,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about `most` bytes; a longer text stands alone."""
     if not batch.num_rows:
         return

@@ -32,19 +32,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r)"""
 
 
-def line_sql(*, depth: int = 4, min_docs: int = 2, similarity: float = 0.7, short_tokens: int = 5, short_min_docs: int = 5) -> str:
-    """The template tree as groupings: leaves by token count and first tokens, constants by leaf, place and token."""
+def line_sql(*, depth: int = 4, min_docs: int = 2, percent: int = 70, constant_percent: int = 10, short_tokens: int = 5, short_min_docs: int = 5) -> str:
+    """The template tree as groupings: leaves by token count and leading tokens, constants by leaf, place and token."""
     return rf"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS place FROM documents WHERE text IS NOT NULL),
-t AS (SELECT doc_id, place, line, list_filter(regexp_split_to_array(regexp_replace(line, '\S*\d\S*', '<*>', 'g'), '\s+'), lambda x: x <> '') AS w FROM l),
-lines AS (SELECT w, len(w) AS n, w[1:{depth}] AS head, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM t WHERE len(w) > 0 GROUP BY w),
-leaves AS (SELECT n, head FROM lines WHERE n >= {short_tokens} GROUP BY n, head HAVING count(*) > 1),
-tokens AS (SELECT w, n, head, n_docs, unnest(w) AS token, unnest(range(0, n)) AS place FROM lines JOIN leaves USING (n, head)),
-constants AS (SELECT n, head, place, token FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING sum(n_docs) >= {min_docs}),
-general AS (SELECT w, list(CASE WHEN c.token IS NULL THEN '<*>' ELSE tokens.token END ORDER BY tokens.place) AS template, count(c.token) / count(*) AS share
+t AS (SELECT doc_id, place, line, list_filter(regexp_split_to_array(line, '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM l),
+lines AS (SELECT w, len(w) AS n, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS shown, count(DISTINCT doc_id) AS n_docs FROM t WHERE len(w) >= {short_tokens} OR len(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9]'))) > 0 GROUP BY w),
+placed AS (SELECT *, least({depth}, (n + 1) // 2) AS lead, shown[1:least({depth}, (n + 1) // 2)] AS head FROM lines),
+leaves AS (SELECT n, head, sum(n_docs) AS leaf_docs FROM placed GROUP BY n, head),
+tokens AS (SELECT w, n, head, lead, n_docs, leaf_docs, unnest(shown) AS token, unnest(range(0, n)) AS place FROM placed JOIN leaves USING (n, head)),
+constants AS (SELECT n, head, place, token FROM tokens WHERE token <> '<*>' GROUP BY n, head, place, token HAVING (sum(n_docs) >= {min_docs} AND 100 * sum(n_docs) >= {constant_percent} * max(leaf_docs)) OR max(place) < max(lead)),
+general AS (SELECT w, list(CASE WHEN c.token IS NULL THEN '<*>' ELSE tokens.token END ORDER BY tokens.place) AS template, count(*) - count(c.token) AS fields, count(*) AS n
             FROM tokens LEFT JOIN constants c USING (n, head, place, token) GROUP BY w),
-named AS (SELECT lines.*, share IS NOT NULL AND share >= {similarity} AS is_general, CASE WHEN share >= {similarity} THEN template ELSE w END AS name FROM lines LEFT JOIN general USING (w)),
-totals AS (SELECT is_general, name, min(first_doc) AS t_first FROM named GROUP BY ALL HAVING sum(n_docs) >= CASE WHEN min(n) < {short_tokens} THEN {short_min_docs} ELSE {min_docs} END),
+named AS (SELECT w, n, fields > 0 AND (100 * fields <= {100 - percent} * n OR (fields = 1 AND n >= 3)) AS is_general, CASE WHEN fields > 0 AND (100 * fields <= {100 - percent} * n OR (fields = 1 AND n >= 3)) THEN template ELSE w END AS name FROM general),
+totals AS (SELECT is_general, name, min(doc_id) AS t_first FROM t JOIN named USING (w) GROUP BY ALL HAVING count(DISTINCT doc_id) >= CASE WHEN min(n) < {short_tokens} THEN {short_min_docs} ELSE {min_docs} END),
 judged AS (SELECT doc_id, place, line, t_first IS NOT NULL AND t_first <> doc_id AS lost FROM t LEFT JOIN (SELECT w, t_first FROM named JOIN totals USING (is_general, name)) USING (w)),
 clean AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '') AS text, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped FROM judged GROUP BY doc_id)
 SELECT d.doc_id, clean.text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped FROM documents d LEFT JOIN clean USING (doc_id)"""

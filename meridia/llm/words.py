@@ -19,7 +19,8 @@ _code = np.arange(256)
 ALNUM = (_code >= 0x80) | ((_code >= 0x30) & (_code <= 0x39)) | ((_code >= 0x41) & (_code <= 0x5A)) | ((_code >= 0x61) & (_code <= 0x7A))
 BLANKS = ~((_code == 0x20) | ((_code >= 0x09) & (_code <= 0x0D)))
 LOWER = np.where((_code >= 0x41) & (_code <= 0x5A), _code + 32, _code).astype(np.uint8)
-_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)[LOWER]
+_BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
+_VALUE = _BYTE[LOWER]
 _POWERS = np.ones(1, np.uint64)
 
 
@@ -30,7 +31,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     global _POWERS
     if n > len(_POWERS):
         steps = np.full(max(n, 2 * len(_POWERS), 64), 0x100000001B3, np.uint64)
@@ -48,8 +49,9 @@ class Words:
     bounds: np.ndarray  #: the words of text i are bounds[i]:bounds[i + 1]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> Words:
-    """All words of the texts data[offsets[i]:offsets[i + 1]]."""
+def words(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray, *, lower: bool = True) -> Words:
+    """All words of the texts data[offsets[i]:offsets[i + 1]]; lower: words that differ in A-Z alone hash alike."""
+    values = _VALUE if lower else _BYTE
     starts, ends, hashes, lo, n = [], [], [], 0, len(data)
     while lo < n:
         hi = min(lo + WINDOW, n)
@@ -73,7 +75,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> Words:
             order = np.searchsorted(at, s)
             length = np.diff(np.append(order, len(at)))
             place = np.arange(len(at)) - np.repeat(order, length)
-            value = _VALUE[chunk[at]] * _powers(int(length.max()))[place]
+            value = values[chunk[at]] * powers(int(length.max()))[place]
             starts.append(s + lo)
             ends.append(s + lo + length)
             hashes.append(mixed(np.add.reduceat(value, order) + length.astype(np.uint64) * _ODD))

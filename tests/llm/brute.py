@@ -52,31 +52,33 @@ def places(text, phrase):
     return [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
 
 
-def line_templates(rows, depth=4, min_docs=2, similarity=0.7, short_tokens=5, short_min_docs=5):
+def line_templates(rows, depth=4, min_docs=2, percent=70, constant_percent=10, short_tokens=5, short_min_docs=5):
     """rows: (doc_id, text); the texts after recurring templates are dropped."""
-    mask = lambda line: tuple(re.sub(r"\S*\d\S*", "<*>", line).split())
+    split = lambda line: tuple(x for x in re.split(r"[\x09-\x0D\x20]+", line) if x)
     docs = {}
     for doc_id, text in rows:
         for line in (text or "").split("\n"):
-            if mask(line):
-                docs.setdefault(mask(line), set()).add(doc_id)
+            if len(split(line)) >= short_tokens or not all(re.search("[0-9]", x) for x in split(line)):
+                docs.setdefault(split(line), set()).add(doc_id)
     leaves = {}
     for t in docs:
-        leaves.setdefault((len(t), t[:depth]), []).append(t)
-    template = {}
-    for (n, _), own in leaves.items():
-        for t in own:
-            template[t] = ("line", t)
-            if len(own) > 1 and n >= short_tokens:
-                common = tuple(x if x != "<*>" and sum(len(docs[o]) for o in own if o[i] == x) >= min_docs else "<*>" for i, x in enumerate(t))
-                if sum(c != "<*>" for c in common) / n >= similarity:
-                    template[t] = ("general", common)
+        shown = tuple("<*>" if re.search("[0-9]", x) else x for x in t)
+        leaves.setdefault((len(t), shown[: min(depth, (len(t) + 1) // 2)]), []).append((t, shown))
     group = {}
-    for t, g in template.items():
-        group.setdefault(g, []).append(t)
+    for (n, lead), own in leaves.items():
+        total = sum(len(docs[t]) for t, _ in own)
+        for t, shown in own:
+            name = list(shown)
+            for i in range(len(lead), n):
+                count = sum(len(docs[o]) for o, s in own if s[i] == shown[i])
+                if not (count >= min_docs and 100 * count >= constant_percent * total):
+                    name[i] = "<*>"
+            fields = name.count("<*>")
+            general = fields and (100 * fields <= (100 - percent) * n or (fields == 1 and n >= 3))
+            group.setdefault((True, tuple(name)) if general else (False, t), []).append(t)
     lost = {}
     for own in group.values():
-        n, first = sum(len(docs[t]) for t in own), min(min(docs[t]) for t in own)
-        if n >= (short_min_docs if len(own[0]) < short_tokens else min_docs):
-            lost.update({t: first for t in own})
-    return [(d, t if t is None else "\n".join(x for x in t.split("\n") if lost.get(mask(x), d) == d)) for d, t in rows]
+        having = set().union(*(docs[t] for t in own))
+        if len(having) >= (short_min_docs if len(own[0]) < short_tokens else min_docs):
+            lost.update({t: min(having) for t in own})
+    return [(d, t if t is None else "\n".join(x for x in t.split("\n") if lost.get(split(x), d) == d)) for d, t in rows]

@@ -146,7 +146,7 @@ def test_repeated_line_templates_go(spark):
     rows = []
     for i in range(40):
         own = [" ".join(f"{c}{'' if rng.random() < .9 else rng.randint(0, 9)}" for c in rng.choices("mnopqrstuvw", k=rng.randint(1, 9))) for _ in range(3)]
-        rows.append((i, "\n".join([*own, f"user {rng.choice(['ann', 'bob', 'cy'])} logged in from host {rng.randint(1, 99)} at noon", "a shared line that says the same everywhere" if i % 3 else "", f"Page {i} of 40"])))
+        rows.append((i, "\n".join([*own, f"user {rng.choice(['ann', 'bob', 'cy'])} logged in from host {rng.randint(1, 99)} at noon", "a shared line that says the same everywhere" if i % 3 else "", f"Page {i} of 40", f"Seen by {rng.choice(['ann', 'bob', 'cy'])}{'abcdefghij'[i % 10]}"])))
     rows += [(40, None), (41, ""), (42, "\n\n"), (43, rows[0][1]), (43, "new words in this row only"), (None, "a shared line that says the same everywhere")]
     got = [(r["doc_id"], r["text"]) for r in line_dedup.without_repeats(table(spark, rows)).collect()]
     want = brute.line_templates([r for r in rows if r[0] is not None]) + [rows[-1]]
@@ -157,6 +157,40 @@ def test_repeated_line_templates_go(spark):
     assert line_dedup.without_repeats(table(spark, [])).count() == 0
 
 
+def test_repeated_rows_and_clashing_columns_of_lines(spark):
+    line = "a shared line that says the same everywhere"
+    rows = [(1, f"own one\n{line}"), (2, f"{line}\nown two\n{line}"), (2, f"{line}\nown two\n{line}"), (2, f"other text\n{line}"), (3, None)]
+    docs = spark.createDataFrame([(*r, "x", True, 7, 8, "t") for r in rows], "doc_id long, text string, _hash string, _gone boolean, n_lines int, _doc int, line string")
+    got = line_dedup.without_repeats(docs)
+    assert got.columns == ["doc_id", "text", "_hash", "_gone", "_doc", "line", "n_lines", "n_dropped"]
+    want = [(1, rows[0][1], 2, 0), (2, "own two", 3, 2), (2, "own two", 3, 2), (2, "other text", 2, 1), (3, None, 0, 0)]
+    key = lambda r: (r[0], r[1] or "")
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert all(r["_hash"] == "x" and r["_gone"] and r["_doc"] == 8 and r["line"] == "t" for r in got.collect())
+
+
+def test_documents_of_a_short_line_are_counted_once(spark):
+    """Short lines recur in five documents; five rows of two documents are two."""
+    rows = [(1, f"row {i}\nback to top") for i in range(4)] + [(2, "x\nback to top")]
+    assert all(r["n_dropped"] == 0 for r in line_dedup.without_repeats(table(spark, rows)).collect())
+    rows = [(i, f"row {'abcde'[i]}\nback to top") for i in range(5)]
+    assert sorted(r["n_dropped"] for r in line_dedup.without_repeats(table(spark, rows)).collect()) == [0, 1, 1, 1, 1]
+    # several lines of one template in one document count once as well
+    rows = [(1, "\n".join(f"posted by u{c}" for c in "vwxyz")), (2, "posted by ua")]
+    assert all(r["n_dropped"] == 0 for r in line_dedup.without_repeats(table(spark, rows)).collect())
+
+
+@pytest.mark.parametrize("n", [50, 10_000])
+def test_the_same_boilerplate_goes_at_any_size(spark, n):
+    """Fields are told by their share of the leaf, so a value that many documents have stays a field."""
+    name = lambda i: f"name{chr(97 + i % 10)}{chr(97 + i // 10 % 10)}"
+    city = lambda i: f"city{chr(97 + i // 100 % 10)}{chr(97 + i * 7 % 10)}{chr(97 + i // 10 % 10)}"
+    rows = [(i, f"this notice was filed by {name(i)} for the {city(i)} office today\nPosted by {name(i)}\n{i} {i + 1} {i + 2} {i + 3} {i + 4}\n{i % 100 + 1900}") for i in range(n)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(table(spark, rows)).collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[i] == "\n".join(rows[i][1].split("\n")[2:4]) for i in range(1, n)), "numbers alone are no template"
+
+
 def test_words_across_windows(monkeypatch):
     monkeypatch.setattr(W, "WINDOW", 7)
     text = "Ab cdé--fgh " + "x" * 40 + " 12\n"
