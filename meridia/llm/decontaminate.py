@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import parts, text_bytes, written
+from .shared import frugal, parts, text_bytes, written
 
 WINDOW = 13
 _SPANS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
@@ -65,6 +65,7 @@ class NgramSet:
 def _scan(shared, id_col: str, text_col: str, row_col: str | None = None):
     schema = _SPANS if row_col is None else _SPANS.append(pa.field("row", pa.int64()))
 
+    @frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: NgramSet = shared.value
         for whole in batches:
@@ -149,6 +150,7 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def _clean_only(shared, text_col: str):
+    @frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: NgramSet = shared.value
         for whole in batches:

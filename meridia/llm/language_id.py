@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts, text_bytes
+from .shared import frugal, parts, text_bytes
 
 DIMENSIONS = 4096
 #: Letters (bytes of letters) at which least cosines are measured.
 LENGTHS = (4, 16, 64, 256, 1024)
-_BLOCK_ROWS, _WINDOW = 500, 2_000_000
+_BLOCK_ROWS, _WINDOW = 128, 500_000
 _code = np.arange(256)
 _letter = (_code >= 0x80) | ((_code >= 0x61) & (_code <= 0x7A)) | ((_code >= 0x41) & (_code <= 0x5A))
 _MAP = np.where(_letter, np.where(_code < 0x80, _code | 0x20, _code), 0x20).astype(np.uint32)
@@ -43,24 +43,31 @@ _MAP = np.where(_letter, np.where(_code < 0x80, _code | 0x20, _code), 0x20).asty
 def gram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How often each hashed n-gram stands in each text: one row of DIMENSIONS for each text."""
     n = len(offsets) - 1
-    out = np.zeros(n * DIMENSIONS, np.int64)
+    out = np.zeros(n * DIMENSIONS, np.int32)
     for lo in range(0, len(data), _WINDOW):
         m = _MAP[data[lo : lo + _WINDOW + 2]]
-        row = np.searchsorted(offsets, np.arange(lo, lo + len(m)), "right") - 1 if n > 1 else np.zeros(len(m), np.int64)
+        row = (np.searchsorted(offsets, np.arange(lo, lo + len(m)), "right") - 1).astype(np.int32) if n > 1 else np.zeros(len(m), np.int32)
         two = ((m[:-1] * np.uint32(0x9E3779B1)) ^ (m[1:] * np.uint32(0x85EBCA6B))) * np.uint32(0x2C1B3C6D)
         three = ((two[:-1] ^ (m[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F))
         for grams, span in ((two, 1), (three, 2)):
             begins = min(len(grams), _WINDOW)
             same = row[:begins] == row[span : span + begins]
-            key = row[:begins][same] * DIMENSIONS + (grams[:begins][same] >> np.uint32(20)).astype(np.int64)
-            out += np.bincount(key, minlength=len(out))
+            if same.any():
+                # the rows of a window are few where texts are long
+                first = int(row[0])
+                key = (row[:begins][same] - first) * DIMENSIONS + (grams[:begins][same] >> np.uint32(20)).astype(np.int32)
+                found = np.bincount(key)
+                out[first * DIMENSIONS : first * DIMENSIONS + len(found)] += found.astype(np.int32)
     return out.reshape(n, DIMENSIONS)
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts).astype(np.float32) * idf
+    v = counts.astype(np.float32)
+    np.log1p(v, out=v)
+    v *= idf
     norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return v / np.where(norm > 0, norm, 1)
+    v /= np.where(norm > 0, norm, 1)
+    return v
 
 
 def has_letter(text: str | None) -> bool:
@@ -117,6 +124,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield part.slice(at, _BLOCK_ROWS)
 
 
+@frugal
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(DIMENSIONS, np.int64), 0
     for b in _blocks(batches):
@@ -126,6 +134,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(DIMENSIONS), -1)), pa.array(np.append(total, n))], names=["gram", "n"])
 
 
+@frugal
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _blocks(batches):
         counts = gram_counts(*text_bytes(b.column("text"))).clip(max=65535).astype("<u2")
@@ -133,10 +142,13 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(begin, pa.binary())], names=["doc_id", "lang", "counts", "begin"])
 
 
-def fitted(training: DataFrame, *, per_language: int = 300, clusters: int = 4, margin: float = 0.5, quantile: float = 0.05) -> LanguageModel | None:
-    """Learn from rows (doc_id, text, lang). About per_language rows of each language come to the driver as counts and beginnings."""
+def fitted(training: DataFrame, *, per_language: int = 300, max_languages: int = 400, clusters: int = 4, margin: float = 0.5, quantile: float = 0.05) -> LanguageModel | None:
+    """Learn from rows (doc_id, text, lang). About per_language rows of each language come to the driver as counts and beginnings.
+
+    max_languages bounds what a dirty label column can ask for: the labels with the most rows are learned.
+    """
     rows = training.filter(F.col("text").cast("string").rlike(r"\p{L}")).filter("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not found:
         return None
     df = {r["gram"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
@@ -176,6 +188,7 @@ def predicted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
             lang, score, rejected = judge(shared.value, b)
@@ -189,6 +202,7 @@ def accepted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """The documents, unchanged, whose language is not rejected; in the same pass, without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
             yield b.filter(pa.array([not r for r in judge(shared.value, b)[2]], pa.bool_()))

@@ -6,11 +6,14 @@
 3. Band keys that several classes share give candidates. First each class meets the leader it shares most bands
    with, and confirmed links are merged into components. A band inside one component is settled: a group of
    thousands of copies costs one test for each copy.
-4. Bands that still hold several components join their members into clusters. Within a cluster all pairs across
-   components are compared: by packed bits, corrected for chance agreement of b-bit values, down to five standard
-   errors below the threshold, and then on the full sets. This happens inside tasks: a cluster is cut into blocks
-   of bounded size, each pair of blocks is a task, and only the links that join components leave it. So no list
-   of pairs is ever made, and no pair of a cluster is left out.
+4. In bands that still hold several components, all pairs across components are compared by packed bits, corrected
+   for chance agreement of b-bit values, down to five standard errors below the threshold. This happens inside tasks:
+   a band is cut into blocks of bounded size, and each pair of blocks that can hold such a pair is a group (members
+   of the band's largest component meet the others only). A group gives at most as many pairs as it has members, a
+   forest that connects all plausible ones.
+5. What these forests connect are clusters: documents that are nearly alike, wherever their bands chain on to. Their
+   full sets are compared in blocks too, all pairs across components, and only links that join components leave a
+   task. So no list of all pairs is ever made, and no plausible pair of a band is left out.
 
 With 64 bands of 7 minima a pair at the threshold 0.8 is no candidate with probability 3e-7, at 0.85 with 1e-11.
 
@@ -27,19 +30,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import Bitmap, bitmap, dropped, parts, text_bytes, written
+from .shared import Bitmap, bitmap, dropped, frugal, parts, text_bytes, written
 
 BANDS, ROWS, BITS = 64, 7, 2
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-#: Rows and bytes of a block of a cluster; a task holds two blocks.
-BLOCK_ROWS, BLOCK_BYTES = 1_000, 48_000_000
+#: Rows and bytes of a block of a band or cluster; a task holds two blocks.
+BLOCK_ROWS, BLOCK_BYTES = 1_000, 12_000_000
 #: Bits of the largest bitmap of candidates: 16 MB.
 MOST_BITS = 27
 
@@ -90,9 +94,10 @@ def _minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signatures(size: int):
+    @frugal
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole, "text", 1_500_000):
+            for batch in parts(whole, "text", 1_000_000):
                 sets = shingle_sets(batch, size)
                 n, k1, k2 = _keys(sets)
                 some = np.flatnonzero(n > 0)
@@ -114,11 +119,12 @@ def _signatures(size: int):
 
 
 def _full_sets(size: int, shared):
+    @frugal
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: Bitmap = shared.value
         for every in batches:
             whole = every.filter(pa.array(wanted.has(np.asarray(every.column("place")))))
-            for batch in parts(whole, "text", 1_500_000):
+            for batch in parts(whole, "text", 1_000_000):
                 sets = shingle_sets(batch, size)
                 _, k1, k2 = _keys(sets)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(k1), pa.array(k2), pa.array([s.tobytes() for s in sets], pa.binary())], schema=_SETS)
@@ -126,6 +132,7 @@ def _full_sets(size: int, shared):
     return read
 
 
+@frugal
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("sa", "sb")]
@@ -160,6 +167,79 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (agree >= _least_agreement(percent))).select("a", "b").distinct()
 
 
+def plausible_forest(rep: np.ndarray, component: np.ndarray, block: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int, within: bool) -> list[tuple[int, int]]:
+    """Pairs that connect all members that packed bits allow to be linked across components, as a forest.
+
+    within: all members are one block; else only pairs of different blocks are compared.
+    """
+    root = list(range(len(rep)))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out, least = [], _least_agreement(percent)
+    for i in range(1, len(rep)):
+        other = np.flatnonzero((component[:i] != component[i]) & (np.minimum(size[:i], size[i]) * 100 >= np.maximum(size[:i], size[i]) * percent))
+        if not within:
+            other = other[block[other] != block[i]]
+        if len(other):
+            x = bits[other] ^ bits[i]
+            for j in other[BANDS * ROWS - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_FIELDS)).sum(axis=1) >= least].tolist():
+                a, b = top(i), top(j)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(rep[j]), int(rep[i])))
+    return out
+
+
+def _forests(percent: int):
+    """Rows sorted by key, i and j (a group) to the forest of each group; a group that goes on in the next batch waits for it."""
+
+    def forests(table: pa.Table) -> pa.RecordBatch:
+        name = np.stack([np.asarray(table[c], np.int64) for c in ("key", "i", "j")])
+        begin = np.flatnonzero(np.concatenate([[True], (name[:, 1:] != name[:, :-1]).any(axis=0)]))
+        rep, component, block, size = (np.asarray(table[c], np.int64) for c in ("rep", "component", "block", "n_shingles"))
+        bits = np.asarray(pc.list_flatten(table["bits"])).view(np.uint64).reshape(len(rep), -1)
+        found = []
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(rep)]):
+            if (component[a:b] != component[a]).any():
+                found += plausible_forest(rep[a:b], component[a:b], block[a:b], size[a:b], bits[a:b], percent, bool(name[1, a] == name[2, a]))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                held = rows if held is None else pa.concat_tables([held, rows])
+                last = held.slice(held.num_rows - 1)
+                cut = np.flatnonzero(np.stack([np.asarray(held[c]) != last[c][0].as_py() for c in ("key", "i", "j")]).any(axis=0))
+                if len(cut):
+                    yield forests(held.slice(0, int(cut[-1]) + 1))
+                    held = held.slice(int(cut[-1]) + 1)
+        if held is not None:
+            yield forests(held)
+
+    return run
+
+
+def _nearly_alike(placed: DataFrame, classes: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Pairs (a, b) that connect the members of open bands (key, rep, component) whose bits allow a link across components."""
+    sizes = placed.groupBy("key", "component").count().groupBy("key").agg(F.count("*").alias("n_components"), F.sum("count").alias("n"), F.max(F.struct("count", "component")).alias("most")).filter("n_components > 1")
+    few = F.col("n") <= BLOCK_ROWS
+    sizes = sizes.select("key", F.when(~few, F.col("most.component")).alias("major"), F.when(few, 1).otherwise(F.ceil((F.col("n") - F.col("most.count")) / BLOCK_ROWS)).cast("int").alias("n_minor"), F.when(few, 0).otherwise(F.ceil(F.col("most.count") / BLOCK_ROWS)).cast("int").alias("n_major"))
+    cut = placed.join(written(sizes, "open-bands", rows), "key").withColumn("minor", F.coalesce(F.col("component") != F.col("major"), F.lit(True)))
+    h = F.xxhash64("rep")
+    cut = cut.withColumn("block", F.when(F.col("minor"), F.pmod(h, F.col("n_minor"))).otherwise(F.col("n_minor") + F.pmod(h, F.greatest("n_major", F.lit(1)))).cast("int"))
+    partners = F.when(F.col("minor"), F.col("n_minor") + F.col("n_major")).otherwise(F.col("n_minor"))
+    groups = cut.withColumn("with", F.explode(F.sequence(F.lit(0), partners - 1))).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "rep", "component", "block")
+    full = groups.join(classes.select("rep", "n_shingles", "bits"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    return full.mapInArrow(_forests(percent), "a long, b long").distinct()
+
+
 def links_across(rep: np.ndarray, component: np.ndarray, block: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], percent: int, within: bool) -> list[tuple[int, int]]:
     """Links between members of different components that suffice to join all that are linked.
 
@@ -231,12 +311,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     edges = written(_confirmed(_plausible(tried, classes, percent), sets, percent), "edges", n)
     found = components(edges, n)
     placed = written(members.join(found.toDF("rep", "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "placed", n)
-    several = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).filter("lo < hi").select("key", "first"), "several", n)
-    left = written(placed.join(several, "key").select("rep", "component", "first").distinct(), "open", n)
-    n_left = left.count()
+    alike = written(_nearly_alike(placed, classes, percent, n), "nearly-alike", n)
+    n_left = alike.count()
     if n_left:
-        clusters = components(left.select(F.col("first").alias("a"), F.col("rep").alias("b")), n_left)
-        open_reps = left.select("rep", "component").distinct().join(clusters.toDF("rep", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+        clusters = components(alike, n_left)
+        reps = alike.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        open_reps = reps.join(placed.select("rep", "component").distinct(), "rep").join(clusters.toDF("rep", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
         open_reps = written(open_reps.join(sets.select(F.col("doc_id").alias("rep"), F.octet_length("shingles").alias("size")), "rep"), "open-reps", n_left)
         blocks = open_reps.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("n_blocks"))
         cut = open_reps.join(written(blocks, "blocks", n_left), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
@@ -245,7 +325,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
         new = written(full.groupBy("cluster", "i", "j").applyInPandas(_joined(percent), "a long, b long"), "edges", n_left)
         if new.limit(1).count():
             found = components(edges.unionByName(new), n)
-    dropped(placed, several, left)
+    dropped(placed, alike)
     by_set = written(classes.select("k1", "k2", "rep").join(found.toDF("rep", "component"), "rep", "left").groupBy("k1", "k2").agg(F.min(F.coalesce("component", "rep")).alias("component")), "by-set")
     dropped(sets, members, wanted)
     joined = signed.select("doc_id", "n_shingles", "k1", "k2").join(by_set, ["k1", "k2"], "left")

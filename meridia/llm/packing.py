@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts, written
+from .shared import frugal, parts, written
 
 TOKENS = 4096
 
 
 def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .subwords import encoder
 
