@@ -7,7 +7,7 @@ look valid. The index is a Parquet table with a row for each record: shard file,
 doc_id, n_tokens; a reader may fetch records in any order from it.
 
 Documents are sorted across the cluster by range partitions of doc_id; shard files are named by partition and roll
-at shard_bytes, written under another name and moved when whole, so a repeated task leaves the same files. Folders
+at shard_bytes, written under another name and moved when whole; a repeated task finds the same files and leaves them. Folders
 are reached through pyarrow's file systems (local or mounted paths, HDFS, object stores).
 
 Cases: a null or empty text gives a record with the end id alone; a null doc_id sorts first; rows that repeat a
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import parts, shared_folder, written
+from .shared import frugal, parts, shared_folder, written
 
 _INDEX = pa.schema([("path", pa.string()), ("shard", pa.int64()), ("record", pa.int64()), ("offset", pa.int64()), ("n_bytes", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 _INDEX_DDL = "path string, shard long, record long, offset long, n_bytes long, doc_id long, n_tokens long"
@@ -40,6 +40,8 @@ def masked_checksum(data: bytes) -> int:
 
 
 def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
+    if len(ids) and (ids.min() < 0 or ids.max() >> (8 * width)):
+        raise ValueError(f"an id does not fit in {width} bytes")
     payload = struct.pack("<qBB", doc_id or 0, doc_id is not None, width) + ids.astype(f"<u{width}").tobytes()
     size = struct.pack("<Q", len(payload))
     return b"".join((size, struct.pack("<I", masked_checksum(size)), payload, struct.pack("<I", masked_checksum(payload))))
@@ -59,6 +61,7 @@ def frames(stream) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, width: int, shard_bytes: int):
+    @frugal
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
@@ -75,7 +78,10 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int, shard_bytes: i
             nonlocal out, rows, roll, at
             out.close()
             final = f"{base}/shard-{task.partitionId():06d}-{roll:05d}.bin"
-            store.move(f"{final}.{task.taskAttemptId()}", final)
+            if store.get_file_info(final).type == fs.FileType.NotFound:
+                store.move(f"{final}.{task.taskAttemptId()}", final)
+            else:  # an earlier attempt of this task has moved the same records
+                store.delete_file(f"{final}.{task.taskAttemptId()}")
             path = f"{folder}/{final.rpartition('/')[2]}"
             got = pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([(task.partitionId() << 24) + roll] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))], schema=_INDEX)
             out, rows, roll, at = None, [], roll + 1, 0
@@ -98,17 +104,26 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int, shard_bytes: i
     return write
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_bytes: int = 2, shard_bytes: int = 64_000_000, folder: str | None = None) -> DataFrame:
+def largest_id(tokenizer: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0)
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_bytes: int | None = None, shard_bytes: int = 64_000_000, folder: str | None = None) -> DataFrame:
     """Encode and write all documents in ascending doc_id order; returns the offset index (already written).
 
-    id_bytes: 2 for vocabularies of up to 65,536 ids, else 4.
+    id_bytes: 2 where the tokenizer's ids and end_id are below 65,536, else 4, unless given; an id that does not fit is an error.
     """
+    if id_bytes is None:
+        id_bytes = 2 if max(largest_id(tokenizer), end_id) < 1 << 16 else 4
     folder = folder or shared_folder(docs.sparkSession, "token-files")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = read.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(_writer(folder, tokenizer, end_id, id_bytes, shard_bytes), _INDEX_DDL), "token-index")
 
 
+@frugal
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
@@ -136,17 +151,22 @@ def read_token_files(index: DataFrame) -> DataFrame:
 def read_records(index: DataFrame) -> DataFrame:
     """doc_id and ids of the records that the index rows name, in any order (shuffled reads)."""
 
+    @frugal
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         for batch in batches:
-            ids, docs = [], []
-            for path, offset, size in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "n_bytes"))):
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "n_bytes"))))
+            ids, docs = [None] * len(rows), [None] * len(rows)
+            by_path: dict[str, list[int]] = {}
+            for i, (path, _, _) in enumerate(rows):
+                by_path.setdefault(path, []).append(i)
+            for path, own in by_path.items():  # a shard is opened once a batch, its records are read where they lie
                 store, at = fs.FileSystem.from_uri(path)
                 with store.open_input_file(at) as f:
-                    doc_id, own = next(frames(pa.BufferReader(f.read_at(size, offset))))
-                docs.append(doc_id)
-                ids.append(own.astype(np.int32))
+                    for i in sorted(own, key=lambda i: rows[i][1]):
+                        docs[i], got = next(frames(pa.BufferReader(f.read_at(rows[i][2], rows[i][1]))))
+                        ids[i] = got.astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return index.select("path", "offset", "n_bytes").mapInArrow(fetch, "doc_id long, ids array<int>")
