@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from meridia.llm import decontaminate, license_scan, line_dedup, near_dedup
@@ -93,6 +94,24 @@ def test_spans_are_removed_from_texts(spark):
     items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
     got = dict(map(tuple, decontaminate.spans_removed(table(spark, [(1, "é Alpha beta, gamma é"), (2, "none"), (3, None), (4, "alpha beta gamma")]), items).collect()))
     assert got == {1: "é  é", 2: "none", 3: None, 4: ""}
+    same_id = decontaminate.spans_removed(table(spark, [(1, "x alpha beta gamma"), (1, "yy alpha beta gamma z"), (1, "clean")]), items).collect()
+    assert sorted(r["text"] for r in same_id) == ["clean", "x ", "yy  z"]
+
+
+def test_windows_of_many_items_are_kept_once(spark):
+    items = [(str(i), "one two three four") for i in range(500)] + [("x", "one two three four five"), (None, "one two three four")]
+    grams = decontaminate.NgramSet(items, 13)
+    assert [len(grams.groups[k][0]) for k in (4, 5)] == [1, 1]
+    assert grams.items({(4, 0), (5, 0)}) == sorted([*map(str, range(500)), "x"])
+    assert decontaminate.NgramSet([], 13).hits(np.zeros(0, np.uint8), W.words(np.zeros(0, np.uint8), np.array([0]), W.ALNUM)) == []
+
+
+def test_equal_hashes_of_unlike_windows_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(W, "windows", lambda h, k: np.full(max(len(h) - k + 1, 0), 7, np.uint64))
+    grams = decontaminate.NgramSet([("a", "one two"), ("b", "three four"), ("c", "one two")], 13)
+    data = np.frombuffer(b"zero One-two three four", np.uint8)
+    found = grams.hits(data, W.words(data, np.array([0, len(data)]), W.ALNUM))
+    assert {(i, size, tuple(grams.items({(size, g)}))) for i, size, g in found} >= {(1, 2, ("a",)), (3, 2, ("b",))} and {i for i, _, _ in found} == {1, 3}
 
 
 def test_contamination_without_rows(spark):
