@@ -1,14 +1,19 @@
-"""Token counts that follow edits: a tree of pre-token segments for each document, updated where an edit touches.
+"""Token counts that follow edits: a tree of pre-token segments kept for each document, updated where an edit touches.
 
 A text is cut into leaves of about `leaf_chars` characters at places where no token can cross (a blank between two
-other characters, see subwords), and a binary tree over the leaves holds sums of their token counts. An edit replaces
-characters; only the leaves within two characters of it are encoded again, together, since a cut at least two
-characters away from every change is still a cut. The sums on the way to the root are then corrected.
+other characters, see subwords). kept_trees() encodes the leaves once and returns a table of them with their token
+counts; written down, it is what later edits start from. edited() reads that table: a binary tree over the leaves holds
+sums of their counts and characters; an edit replaces characters; only the leaves within two characters of it are
+encoded again, together, since a cut at least two characters away from every change is still a cut. The sums on the way
+to the root are then corrected. It returns the trees after the edits in the same form, for the next edits.
+
+A leaf that insertions have made longer than four leaves is cut again; the sums are then laid out anew without any
+encoding.
 
 Cases: a null or empty text has one empty leaf and no tokens; edits beyond the end are moved to the end; null
 edits or none leave the counts; edits of a document apply in their order, each to the text that the last one left;
 repeated rows are counted each; a text without blanks is one leaf; an empty table gives no rows; other
-columns are not read.
+columns of the documents are not read.
 """
 
 from __future__ import annotations
@@ -19,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts
+from .shared import frugal, parts
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens_before", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int64()), ("n_leaves", pa.int64()), ("n_chars", pa.int64()), ("n_encoded_again", pa.int64())])
+_TREES = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("leaves", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
+_TREES_DDL = "doc_id long, n_chars long, leaves array<string>, counts array<int>"
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens_before", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int64()), ("n_leaves", pa.int64()), ("n_encoded_again", pa.int64()), *list(_TREES)[1:]])
+_OUT_DDL = "doc_id long, n_tokens_before long, n_tokens long, n_edits long, n_leaves long, n_encoded_again long, n_chars long, leaves array<string>, counts array<int>"
 
 
 def leaves(text: str, size: int) -> list[str]:
@@ -42,23 +50,33 @@ def leaves(text: str, size: int) -> list[str]:
 class CountTree:
     """Leaves of one document and the sums over them; n_encoded counts the characters that edits had encoded again."""
 
-    def __init__(self, text: str, encode, size: int = 512, counts: list[int] | None = None):
+    def __init__(self, leaf: list[str], counts: list[int], encode, size: int = 512):
         self.encode, self.size, self.n_encoded = encode, size, 0
-        self.leaf = leaves(text, size)
-        self.width = 1 << max(0, (len(self.leaf) - 1).bit_length())
-        self.sums = [0] * (2 * self.width)
-        self.sums[self.width : self.width + len(self.leaf)] = counts if counts is not None else [len(x) for x in encode(self.leaf)]
+        self._lay_out(leaf or [""], counts or [0])
+
+    @classmethod
+    def of(cls, text: str, encode, size: int = 512) -> "CountTree":
+        cut = leaves(text, size)
+        return cls(cut, [len(x) for x in encode(cut)], encode, size)
+
+    def _lay_out(self, leaf: list[str], counts: list[int]) -> None:
+        self.leaf = list(leaf)
+        self.width = 1 << max(0, (len(leaf) - 1).bit_length())
+        self.sums, self.chars = [0] * (2 * self.width), [0] * (2 * self.width)
+        self.sums[self.width : self.width + len(leaf)] = counts
+        self.chars[self.width : self.width + len(leaf)] = map(len, leaf)
         for i in range(self.width - 1, 0, -1):
             self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
-        self.chars = [0] * (2 * self.width)
-        self.chars[self.width : self.width + len(self.leaf)] = map(len, self.leaf)
-        for i in range(self.width - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
 
     @property
     def total(self) -> int:
         return self.sums[1]
 
+    @property
+    def counts(self) -> list[int]:
+        return self.sums[self.width : self.width + len(self.leaf)]
+
     def _leaf_at(self, char: int) -> tuple[int, int]:
         """The leaf that holds a character, and where it begins."""
         node, before = 1, 0
@@ -86,16 +104,21 @@ class CountTree:
         last, _ = self._leaf_at(min(stop + 2, max(n - 1, 0)))
         old = "".join(self.leaf[first : last + 1])
         new = old[: start - begin] + insert + old[stop - begin :]
-        cut = leaves(new, self.size)
-        room = last - first + 1
-        cut = [*cut[: room - 1], "".join(cut[room - 1 :])] if len(cut) > room else [*cut, *[""] * (room - len(cut))]
         self.n_encoded += len(new)
+        cut, room = leaves(new, self.size), last - first + 1
+        if len(cut) > room and len("".join(cut[room - 1 :])) > 4 * self.size:  # a leaf would outgrow the rest
+            fresh = [len(ids) for ids in self.encode(cut)]
+            counts = self.counts
+            self._lay_out([*self.leaf[:first], *cut, *self.leaf[last + 1 :]], [*counts[:first], *fresh, *counts[last + 1 :]])
+            return
+        cut = [*cut[: room - 1], "".join(cut[room - 1 :])] if len(cut) > room else [*cut, *[""] * (room - len(cut))]
         for i, (text, ids) in enumerate(zip(cut, self.encode(cut))):
             self._set(first + i, text, len(ids))
 
 
-def _count(tokenizer: str, size: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grow(tokenizer: str, size: int):
+    @frugal
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .subwords import encoder
 
         enc = encoder(tokenizer, "byte")
@@ -103,30 +126,50 @@ def _count(tokenizer: str, size: int):
             for batch in parts(whole, "text", 1_000_000):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 cut = [leaves(t, size) for t in texts]
-                lengths = iter([len(x) for x in enc.ids([leaf for own in cut for leaf in own])])
+                n = iter([len(x) for x in enc.ids([leaf for own in cut for leaf in own])])
+                counts = [[next(n) for _ in own] for own in cut]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(([len(t) for t in texts], cut, counts), list(_TREES)[1:]))], schema=_TREES)
+
+    return grow
+
+
+def kept_trees(docs: DataFrame, tokenizer: str, *, leaf_chars: int = 512) -> DataFrame:
+    """doc_id, n_chars, leaves and counts (tokens of each leaf) of every document: the table that edits start from."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return read.mapInArrow(_grow(tokenizer, leaf_chars), _TREES_DDL)
+
+
+def _apply(tokenizer: str, size: int):
+    @frugal
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .subwords import encoder
+
+        enc = encoder(tokenizer, "byte")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 rows = []
-                for doc_id, text, own, edits in zip(batch.column("doc_id").to_pylist(), texts, cut, batch.column("edits").to_pylist()):
-                    tree = CountTree(text, enc.ids, size, [next(lengths) for _ in own])
-                    before = tree.total
-                    todo = [e for e in edits or [] if e is not None]
+                for doc_id, leaf, counts, edits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "leaves", "counts", "edits"))):
+                    tree = CountTree(leaf, counts, enc.ids, size)
+                    before, todo = tree.total, [e for e in edits or [] if e is not None]
                     for e in todo:
                         tree.edit(e["start"] or 0, e["n_delete"] or 0, e["insert"] or "")
-                    rows.append((doc_id, before, tree.total, len(todo), len(own), tree.chars[1], tree.n_encoded))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_OUT)
+                    rows.append((doc_id, before, tree.total, len(todo), len(tree.leaf), tree.n_encoded, tree.chars[1], tree.leaf, tree.counts))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
 
-    return count
+    return apply
 
 
-def edited_counts(docs: DataFrame, edits: Column, tokenizer: str, *, leaf_chars: int = 512) -> DataFrame:
-    """Token counts of every document before and after its edits, in one pass and without a shuffle.
+def edited(trees: DataFrame, edits: Column, tokenizer: str, *, leaf_chars: int = 512) -> DataFrame:
+    """The kept trees after their edits, with token counts before and after, in one pass and without a shuffle.
 
-    edits: array<struct<start int, n_delete int, insert string>>, a column of docs (see attached for a table of edits).
+    edits: array<struct<start int, n_delete int, insert string>>, of columns of trees (see attached for a table of edits).
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), edits.alias("edits"))
-    return read.mapInArrow(_count(tokenizer, leaf_chars), "doc_id long, n_tokens_before long, n_tokens long, n_edits long, n_leaves long, n_chars long, n_encoded_again long")
+    read = trees.select("doc_id", "leaves", "counts", edits.alias("edits"))
+    return read.mapInArrow(_apply(tokenizer, leaf_chars), _OUT_DDL)
 
 
-def attached(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with the column edits, from a table (doc_id, edit_no, start, n_delete, insert); ties in edit_no go by start."""
+def attached(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """trees with the column edits, from a table (doc_id, edit_no, start, n_delete, insert); ties in edit_no go by start."""
     own = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("edit_no", "start", "n_delete", "insert"))).alias("edits"))
-    return docs.join(own, "doc_id", "left").withColumn("edits", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["n_delete"].alias("n_delete"), e["insert"].alias("insert"))))
+    return trees.join(own, "doc_id", "left").withColumn("edits", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["n_delete"].alias("n_delete"), e["insert"].alias("insert"))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, edit_counts, language_id, license_scan, line_dedup, near_dedup, packing, page_text, sql, token_files, vector_search
+from .shared import written
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,13 +44,15 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def example_edits() -> F.Column:
     """Three edits of each document at places that follow from its id: a deletion, an insertion and a replacement."""
-    at = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.char_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("int")
+    at = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.col("n_chars") + 1).cast("int")
     edit = lambda i, n, insert: F.struct(at(i).alias("start"), F.lit(n).alias("n_delete"), F.lit(insert).alias("insert"))
     return F.array(edit(1, 7, ""), edit(2, 0, " an edited passage, 42 "), edit(3, 3, "x y"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_counts.edited_counts(table(spark, sf_dir, "documents"), example_edits(), tokenizer_path("byte_bpe_50k.json"))
+    path = tokenizer_path("byte_bpe_50k.json")
+    trees = written(edit_counts.kept_trees(table(spark, sf_dir, "documents"), path), "count-trees")
+    return edit_counts.edited(trees, example_edits(), path).select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_leaves", "n_chars", "n_encoded_again")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
