@@ -96,7 +96,7 @@ def test_edited_counts_equal_new_counts(spark):
     e = subwords.encoder(path, "byte")
     for _ in range(150):
         text = "".join(rng.choices(["ab", "c", " ", " ", "\n", "é", "42", "'s", "  "], k=rng.randint(0, 120)))
-        tree = edit_counts.CountTree(text, e.ids, size=rng.choice([4, 16, 64]))
+        tree = edit_counts.CountTree.of(text, e.ids, size=rng.choice([4, 16, 64]))
         for _ in range(6):
             at, n, new = rng.randint(0, len(text) + 2), rng.randint(0, 9), "".join(rng.choices(["x", " ", "yz ", "\n", "7"], k=rng.randint(0, 5)))
             tree.edit(at, n, new)
@@ -106,15 +106,32 @@ def test_edited_counts_equal_new_counts(spark):
             assert tree.total == len(e.tokenizer.encode(text, add_special_tokens=False).ids)
     rows = [(1, "some plain words here"), (2, None), (3, ""), (4, "long words " * 3000), (None, "a b")]
     edits = F.array(F.struct(F.lit(5).alias("start"), F.lit(2).alias("n_delete"), F.lit("new").alias("insert")))
-    got = {r["doc_id"]: r for r in edit_counts.edited_counts(table(spark, rows), edits, path).collect()}
+    count = lambda t: len(e.tokenizer.encode(t, add_special_tokens=False).ids)
+    trees = edit_counts.kept_trees(table(spark, rows), path).cache()
+    got = {r["doc_id"]: r for r in edit_counts.edited(trees, edits, path).collect()}
     for i, t in rows:
         t = t or ""
-        assert got[i]["n_tokens_before"] == len(e.tokenizer.encode(t, add_special_tokens=False).ids)
-        assert got[i]["n_tokens"] == len(e.tokenizer.encode(t[:5] + "new" + t[7:], add_special_tokens=False).ids)
+        assert got[i]["n_tokens_before"] == count(t)
+        assert got[i]["n_tokens"] == count(t[:5] + "new" + t[7:]) == sum(got[i]["counts"])
+        assert "".join(got[i]["leaves"]) == t[:5] + "new" + t[7:]
     assert got[4]["n_encoded_again"] < 3000
-    more = edit_counts.attached(table(spark, rows).drop("edits"), spark.createDataFrame([(1, 2, 0, 1, "b"), (1, 1, 0, 0, "a")], "doc_id long, edit_no int, start int, n_delete int, insert string"))
+    # what comes out is what the next edits start from
+    again = {r["doc_id"]: r for r in edit_counts.edited(edit_counts.edited(trees, edits, path), edits, path).collect()}
+    step = lambda t: t[:5] + "new" + t[7:]
+    assert all(again[i]["n_tokens"] == count(step(step(t or ""))) for i, t in rows)
+    more = edit_counts.attached(trees, spark.createDataFrame([(1, 2, 0, 1, "b"), (1, 1, 0, 0, "a")], "doc_id long, edit_no int, start int, n_delete int, insert string"))
     assert [x["insert"] for x in more.filter("doc_id = 1").first()["edits"]] == ["a", "b"]
-    assert edit_counts.edited_counts(table(spark, []), edits, path).count() == 0
+    assert edit_counts.edited(edit_counts.kept_trees(table(spark, []), path), edits, path).count() == 0
+
+
+def test_a_leaf_that_grows_is_cut_again():
+    e = subwords.encoder(tokenizer_path("byte_bpe_50k.json"), "byte")
+    tree, text = edit_counts.CountTree.of("one two three", e.ids, size=32), "one two three"
+    for i in range(400):
+        tree.edit(7, 0, f" word{i}")
+        text = text[:7] + f" word{i}" + text[7:]
+    assert "".join(tree.leaf) == text and tree.total == len(e.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert max(map(len, tree.leaf)) <= 4 * 32 + 16 and tree.n_encoded < 400 * 300
 
 
 def test_languages_are_told_apart(spark):
@@ -165,7 +182,7 @@ def test_recall_against_all_pairs(spark):
     got = vector_search.nearest(e, F.col("vec_id") % 20 == 0, k=20).toPandas()
     want = brute_nearest([(r["vec_id"], r["embedding"]) for r in e.collect()], 20)
     hit = sum(len({i for _, i in want[q]} & set(own.vec_id)) for q, own in got.groupby("query_id"))
-    assert hit >= 0.9 * sum(map(len, want.values()))
+    assert hit >= 0.93 * sum(map(len, want.values()))
     for q, own in got.groupby("query_id"):
         assert own.sort_values("rank")["rank"].tolist() == list(range(1, 21))
 
