@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import free_name, frugal, parts, text_bytes, written
+from .shared import free_name, frugal, parts, small_batches, text_bytes, written
 
 WINDOW = 13
 #: Bytes of a broadcast hash set, which the driver and every worker hold.
@@ -141,6 +141,7 @@ def _items(benchmark: DataFrame, item_col: str, item_text_col: str, max_bytes: i
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_broadcast_bytes: int = MAX_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, spans (flat [first, past-last) word places), bytes (the same as UTF-8 offsets), items."""
+    small_batches(docs.sparkSession)
     items, n_blocks = _items(benchmark, item_col, item_text_col, max_broadcast_bytes)
     if n_blocks > 1:
         keyed, row = _keyed(docs.select(id_col, text_col))
@@ -211,6 +212,7 @@ def _clean_only(shared, text_col: str):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, max_broadcast_bytes: int = MAX_BYTES, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, unchanged, in one pass without a shuffle (blocks need a join)."""
+    small_batches(docs.sparkSession)
     items, n_blocks = _items(benchmark, "item_id", "text", max_broadcast_bytes)
     if n_blocks == 1:
         shared = docs.sparkSession.sparkContext.broadcast(NgramSet([tuple(r) for r in items.collect()], window))
@@ -223,6 +225,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, max_broadcast_bytes
 
 def spans_removed(docs: DataFrame, benchmark: DataFrame, *, max_broadcast_bytes: int = MAX_BYTES, window: int = WINDOW) -> DataFrame:
     """doc_id and text with every hit word span cut out (the other way to use the hits)."""
+    small_batches(docs.sparkSession)
     keyed, row = _keyed(docs.select("doc_id", "text"))
     items, n_blocks = _items(benchmark, "item_id", "text", max_broadcast_bytes)
     found = _in_blocks(keyed, items, n_blocks, "doc_id", "text", row, window).filter(F.size("bytes") > 0).select(F.col("row").alias(row), F.col("bytes").alias("_spans"))

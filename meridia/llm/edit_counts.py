@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import frugal, parts
+from .shared import frugal, parts, small_batches
 
 _TREES = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("leaves", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
 _TREES_DDL = "doc_id long, n_chars long, leaves array<string>, counts array<int>"
@@ -135,6 +135,7 @@ def _grow(tokenizer: str, size: int):
 
 def kept_trees(docs: DataFrame, tokenizer: str, *, leaf_chars: int = 512) -> DataFrame:
     """doc_id, n_chars, leaves and counts (tokens of each leaf) of every document: the table that edits start from."""
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return read.mapInArrow(_grow(tokenizer, leaf_chars), _TREES_DDL)
 
@@ -165,6 +166,7 @@ def edited(trees: DataFrame, edits: Column, tokenizer: str, *, leaf_chars: int =
 
     edits: array<struct<start int, n_delete int, insert string>>, of columns of trees (see attached for a table of edits).
     """
+    small_batches(trees.sparkSession)
     read = trees.select("doc_id", "leaves", "counts", edits.alias("edits"))
     return read.mapInArrow(_apply(tokenizer, leaf_chars), _OUT_DDL)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import frugal, parts, text_bytes
+from .shared import frugal, parts, small_batches, text_bytes
 
 DIMENSIONS = 4096
 #: Letters (bytes of letters) at which least cosines are measured.
@@ -147,6 +147,7 @@ def fitted(training: DataFrame, *, per_language: int = 300, max_languages: int =
 
     max_languages bounds what a dirty label column can ask for: the labels with the most rows are learned.
     """
+    small_batches(training.sparkSession)
     rows = training.filter(F.col("text").cast("string").rlike(r"\p{L}")).filter("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not found:
@@ -186,6 +187,7 @@ def judge(model: LanguageModel | None, batch: pa.RecordBatch) -> tuple[list[str]
 
 def predicted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @frugal
@@ -200,6 +202,7 @@ def predicted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 def accepted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """The documents, unchanged, whose language is not rejected; in the same pass, without a join."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @frugal

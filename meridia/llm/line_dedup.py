@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import Bitmap, bitmap, dropped, free_name, frugal, parts, text_bytes, written
+from .shared import Bitmap, bitmap, dropped, free_name, frugal, parts, small_batches, text_bytes, written
 
 FIELD = "<*>"
 _LINES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("leaf", pa.int64()), ("n_tokens", pa.int32()), ("masked", pa.string())])
@@ -132,6 +132,7 @@ def recurring_lines(docs: DataFrame, *, depth: int = 4, min_docs: int = 2, perce
 
     lines: doc_id, row (a hash of the text), line (its place), k1, k2. again: k1, k2, template, t_docs, t_first.
     """
+    small_batches(docs.sparkSession)
     read = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
     leaves = read.select("doc_id", "text").mapInArrow(_leaves(depth, short_tokens), "leaf long, lo long, hi long")
     several = written(leaves.groupBy("leaf").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("leaf"), "several")

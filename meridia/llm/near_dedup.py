@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import Bitmap, bitmap, dropped, frugal, parts, text_bytes, written
+from .shared import Bitmap, bitmap, dropped, frugal, parts, small_batches, text_bytes, written
 
 BANDS, ROWS, BITS = 64, 7, 2
 _rng = np.random.default_rng(77)
@@ -288,6 +288,7 @@ def _joined(percent: int):
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(read.mapInArrow(_signatures(shingle), _SIGNATURE_DDL), "signatures")
     linked = signed.filter("n_shingles > 0 and doc_id is not null")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import frugal, parts, written
+from .shared import frugal, parts, small_batches, written
 
 TOKENS = 4096
 
@@ -50,6 +50,7 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
 
 def pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = TOKENS, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids] of every piece of every document."""
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return read.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 

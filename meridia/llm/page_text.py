@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts, written
+from .shared import frugal, parts, small_batches, written
 
 #: Fixed values of HTML: elements without content, elements that begin a new block, and elements whose text is never shown as prose.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -152,6 +152,7 @@ def parsed(html: str | None) -> Blocks:
     return p.finish()
 
 
+@frugal
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in parts(whole, "html"):
@@ -200,6 +201,7 @@ def valid_parts(tokens: list[dict], min_size: int) -> list[list[int]]:
 
 
 def _judge(min_size: int):
+    @frugal
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts_of = [valid_parts(t, min_size) for t in b.column("tokens").to_pylist()]
@@ -227,6 +229,7 @@ def host_templates(pages: DataFrame, *, share: float = 0.6, min_pages: int = 4,
 
 def main_texts(pages: DataFrame, **options) -> DataFrame:
     """page_id, url, text, n_chars, n_slots of every page."""
+    small_batches(pages.sparkSession)
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     seen = written(read.mapInArrow(_read, _PAGE_DDL), "pages")
     templates = written(host_templates(seen, **options), "host-templates")

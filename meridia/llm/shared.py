@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+GIVE_BACK_BYTES = 16_000_000
+#: Bytes that are handed to Python at once. Spark's own default holds several times 64 MB in each task's buffers.
+BATCH_BYTES = 4_000_000
 #: Paths of the tables written inside each open scratch(), innermost last.
 _SCRATCH: list[list[str]] = []
 
@@ -33,6 +36,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python about BATCH_BYTES at a time, unless the session has a setting of its own: a task's buffers hold whole batches."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Delete all intermediate tables written inside this block when it ends: read or write the results inside it."""
@@ -89,14 +99,17 @@ def give_back() -> None:
 
 
 def frugal(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same function of batches; workers, which live on between tasks, give freed memory back after every input batch and at the end."""
+    """The same function of batches; workers, which live on between tasks, give freed memory back every GIVE_BACK_BYTES of input and at the end."""
 
     @functools.wraps(step)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted() -> Iterator[pa.RecordBatch]:
-            for i, b in enumerate(batches):
-                if i:
+            seen = 0
+            for b in batches:
+                if seen > GIVE_BACK_BYTES:
                     give_back()
+                    seen = 0
+                seen += b.nbytes
                 yield b
 
         yield from step(counted())

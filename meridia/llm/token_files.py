@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import frugal, parts, shared_folder, written
+from .shared import frugal, parts, shared_folder, small_batches, written
 
 _INDEX = pa.schema([("path", pa.string()), ("shard", pa.int64()), ("record", pa.int64()), ("offset", pa.int64()), ("n_bytes", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 _INDEX_DDL = "path string, shard long, record long, offset long, n_bytes long, doc_id long, n_tokens long"
@@ -117,6 +117,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_by
     """
     if id_bytes is None:
         id_bytes = 2 if max(largest_id(tokenizer), end_id) < 1 << 16 else 4
+    small_batches(docs.sparkSession)
     folder = folder or shared_folder(docs.sparkSession, "token-files")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = read.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

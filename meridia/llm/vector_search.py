@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import frugal, written
+from .shared import frugal, small_batches, written
 
 
 @dataclass
@@ -187,6 +187,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 def nearest(embeddings: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 200, cell_rows: int = 8_000, cell_queries: int = 1_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row."""
+    small_batches(embeddings.sparkSession)
     spark, vectors = embeddings.sparkSession, usable(embeddings)
     common = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
     width, n = (common[0]["w"], common[0]["count"]) if common else (1, 0)
