@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digits
@@ -10,6 +10,9 @@ from .joins import pair_lookup
 from .windows import first_by
 
 EARTH_MILES = 3959.0
+MILES_PER_DEGREE = EARTH_MILES * 3.141592653589793 / 180
+#: Levels of the grid of a search without a radius: from one cell around the globe to cells of a third of a mile.
+LEVELS = 9
 #: Fixed values of the search: first radius, step and last radius in miles; how far a table distance may be off; flags.
 FIRST_RADIUS, RADIUS_STEP, LAST_RADIUS, TABLE_TOLERANCE, COINCIDENT_MILES, FAR_MILES = 25, 10, 95, 1.0, 1.0, 10.0
 
@@ -26,27 +29,54 @@ def zip_parts(c: str) -> tuple[Column, Column]:
     return F.when(good, F.substring(d, 1, 5)), F.when(F.length(d) == 9, F.substring(d, 6, 4))
 
 
-def nearest_in_state(sources: DataFrame, candidates: DataFrame, key: str, state: str, *, miles: float | None = None, cell_degrees: float = 1.0) -> DataFrame:
+def _cells(lat: Column, lon: Column, size: Column, around: Column, miles: Column) -> Column:
+    """The grid cells (y, x) of a size, `around` of which go around the globe, within some miles of a point, each once.
+
+    Longitude wraps, and where the circle holds a pole all cells of a row count.
+    """
+    reach = miles / MILES_PER_DEGREE * (1 + 1e-9)
+    rows = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((lat + 90 - reach) / size)), F.floor(F.least(F.lit(180.0), lat + 90 + reach) / size))
+    # the widest longitude of a circle: asin(sin(reach) / cos(lat))
+    ratio = F.sin(F.radians(F.least(reach, F.lit(90.0)))) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9))
+    wide = F.when((F.abs(lat) + reach >= 90) | (ratio >= 1), F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9))
+    first, last = F.floor((lon + 180 - wide) / size), F.floor((lon + 180 + wide) / size)
+    columns = F.when(last - first >= around - 1, F.sequence(F.lit(0).cast("long"), around - 1)).otherwise(F.transform(F.sequence(first, last), lambda x: F.pmod(x, around)))
+    return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda x: F.struct(r.alias("y"), x.alias("x")))))
+
+
+def _cell(lat: Column, lon: Column, size: Column, around: Column) -> list[Column]:
+    return [F.floor((lat + 90) / size).alias("_y"), F.pmod(F.floor((lon + 180) / size), around).alias("_x")]
+
+
+def nearest_in_state(sources: DataFrame, candidates: DataFrame, key: str, state: str, *, miles: float | None = None) -> DataFrame:
     """For each source the nearest other candidate of its state: key, nearest, distance. Ties go to the smaller key.
 
-    With a radius, both sides are put into grid cells and a source meets only the 3 x 3 (in longitude as many as the
-    latitude needs) cells around it; without one, the state is the join key and the pick is a partial aggregate.
+    Both sides are put into grid cells, and a source meets only the cells within a radius. With `miles` that is the
+    radius, and cells are about as large. Without, the grid has LEVELS of cells, each a quarter as wide as those of the
+    level before; a source uses the finest level where its own cell holds another candidate, whose diagonal bounds the
+    distance to the nearest one. Of candidates at one place the two smallest keys are enough.
     """
-    c = candidates.select(F.col(state).alias("_s"), F.col(key).alias("nearest"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    s = sources.select(key, F.col(state).alias("_s"), "lat", "lon")
+    c = candidates.select(F.col(state).alias("_s"), F.col(key).alias("nearest"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).filter("_lat is not null and _lon is not null")
+    c = c.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_lat", "_lon").orderBy("nearest"))).filter("_n <= 2").drop("_n")
+    s = sources.select(key, F.col(state).alias("_s"), "lat", "lon").filter("lat is not null and lon is not null")
     if miles:
-        rows = int(miles / 69.0 / cell_degrees) + 1
-        wide = F.ceil(F.lit(miles / 69.0 / cell_degrees) / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + miles / 69.0, F.lit(89.0)))), F.lit(0.02))).cast("int") + 1
-        c = c.withColumn("_y", F.floor(F.col("_lat") / cell_degrees)).withColumn("_x", F.floor(F.col("_lon") / cell_degrees))
-        y, x = F.floor(F.col("lat") / cell_degrees), F.floor(F.col("lon") / cell_degrees)
-        s = s.withColumn("_y", F.explode(F.sequence(y - rows, y + rows))).withColumn("_x", F.explode(F.sequence(x - wide, x + wide)))
-        joined = s.join(c, ["_s", "_y", "_x"])
+        n = max(1, int(360 * MILES_PER_DEGREE / miles))
+        size, around, radius, level = F.lit(360.0 / n), F.lit(n).cast("long"), F.lit(float(miles)), []
     else:
-        joined = s.join(c, "_s")
-    d = joined.filter(F.col("nearest") != F.col(key)).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
-    if miles:
-        d = d.filter(F.col("distance") <= miles)
-    best = d.groupBy(key).agg(F.min(F.struct("distance", "nearest")).alias("b"))
+        level = ["_level"]
+        levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_level")
+        around = F.pow(F.lit(4.0), F.col("_level")).cast("long")
+        size = F.lit(360.0) / around
+        radius = size * (2**0.5 * MILES_PER_DEGREE)
+        c = c.select("*", levels)
+        own = ["_s", "_level", "_y", "_x"]
+        held = c.select("*", *_cell(F.col("_lat"), F.col("_lon"), size, around)).groupBy(*own).agg(F.min("nearest").alias("_lo"), F.max("nearest").alias("_hi"))
+        s = s.select("*", levels).select("*", *_cell(F.col("lat"), F.col("lon"), size, around)).join(held, own).filter((F.col("_lo") != F.col(key)) | (F.col("_hi") != F.col(key)))
+        s = s.groupBy(key, "_s", "lat", "lon").agg(F.max("_level").alias("_level"))
+    at = c.select("*", *_cell(F.col("_lat"), F.col("_lon"), size, around))
+    near = s.select("*", F.inline(F.transform(_cells(F.col("lat"), F.col("lon"), size, around, radius), lambda x: F.struct(x["y"].alias("_y"), x["x"].alias("_x")))))
+    d = near.join(at, ["_s", *level, "_y", "_x"]).filter(F.col("nearest") != F.col(key)).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
+    best = (d.filter(F.col("distance") <= miles) if miles else d).groupBy(key).agg(F.min(F.struct("distance", "nearest")).alias("b"))
     return best.select(key, F.col("b.nearest").alias("nearest"), F.col("b.distance").alias("distance"))
 
 

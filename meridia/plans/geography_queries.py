@@ -35,7 +35,7 @@ def nearest_in_state(t: Tables) -> DataFrame:
 @query(f"WITH {PLACES}, {NEAREST} SELECT c_custkey, nearest, round(distance, 3) AS distance FROM n WHERE distance <= 300")
 def nearest_within_miles(t: Tables) -> DataFrame:
     p = customers(t)
-    return G.nearest_in_state(p, p, "c_custkey", "c_nationkey", miles=300.0, cell_degrees=4.0).withColumn("distance", F.round("distance", 3))
+    return G.nearest_in_state(p, p, "c_custkey", "c_nationkey", miles=300.0).withColumn("distance", F.round("distance", 3))
 
 
 @query(f"WITH {PLACES}, {NEAREST} SELECT n.c_custkey, n.nearest, coalesce(m.nearest <> n.c_custkey, false) AS is_asymmetric FROM n LEFT JOIN n m ON m.c_custkey = n.nearest")
