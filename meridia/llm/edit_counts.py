@@ -117,7 +117,7 @@ class CountTree:
 
 
 def _grow(tokenizer: str, size: int):
-    @frugal
+    @frugal(encodes=True)
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .subwords import encoder
 
@@ -141,7 +141,7 @@ def kept_trees(docs: DataFrame, tokenizer: str, *, leaf_chars: int = 512) -> Dat
 
 
 def _apply(tokenizer: str, size: int):
-    @frugal
+    @frugal(encodes=True)
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .subwords import encoder
 

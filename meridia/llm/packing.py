@@ -29,7 +29,7 @@ TOKENS = 4096
 
 
 def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
-    @frugal
+    @frugal(encodes=True)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .subwords import encoder
 

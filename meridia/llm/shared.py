@@ -98,8 +98,17 @@ def give_back() -> None:
         pass  # a C library without malloc_trim keeps what it has
 
 
-def frugal(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same function of batches; workers, which live on between tasks, give freed memory back every GIVE_BACK_BYTES of input and at the end."""
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def frugal(step: Step | None = None, *, encodes: bool = False) -> Step:
+    """The same function of batches for workers that live on between tasks: freed memory goes back every GIVE_BACK_BYTES of input and at the end.
+
+    encodes: the function uses the worker's table of sub-words; every other one lets go of such a table that an earlier
+    stage has left in the worker.
+    """
+    if step is None:
+        return functools.partial(frugal, encodes=encodes)
 
     @functools.wraps(step)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +121,10 @@ def frugal(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
                 seen += b.nbytes
                 yield b
 
+        if not encodes:
+            from .subwords import forget
+
+            forget()
         yield from step(counted())
         give_back()
 

@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Pieces and ids that a worker remembers, and the longest piece that is worth remembering.
-KEEP_PIECES, KEEP_IDS, KEEP_CHARS = 1_000_000, 8_000_000, 48
+KEEP_PIECES, KEEP_IDS, KEEP_CHARS = 600_000, 5_000_000, 48
 #: Pieces in one library call.
 BLOCK = 50
 
@@ -26,10 +26,16 @@ _LOADED: dict[tuple[str, str], "SubwordEncoder"] = {}
 def encoder(path: str, kind: str) -> "SubwordEncoder":
     """The worker's encoder for a tokenizer file; kind: 'byte' (blanks count) or 'word' (blanks are dropped)."""
     if (path, kind) not in _LOADED:
+        forget()
         _LOADED[path, kind] = SubwordEncoder(path, kind)
     return _LOADED[path, kind]
 
 
+def forget() -> None:
+    """Let go of the worker's encoder and its table."""
+    _LOADED.clear()
+
+
 class _Numbers(dict):
     """Piece to its number. A piece it lacks gets the next number and waits to be encoded."""
 

@@ -61,7 +61,7 @@ def frames(stream) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, width: int, shard_bytes: int):
-    @frugal
+    @frugal(encodes=True)
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
