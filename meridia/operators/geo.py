@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digits
-from .joins import pair_lookup
+from .joins import first_found, pair_lookup
 from .windows import first_by
 
 EARTH_MILES = 3959.0
@@ -80,6 +80,22 @@ def nearest_in_state(sources: DataFrame, candidates: DataFrame, key: str, state:
     return best.select(key, F.col("b.nearest").alias("nearest"), F.col("b.distance").alias("distance"))
 
 
+def zip_candidates(sources: DataFrame, mapping: DataFrame, localities: DataFrame, metadata: DataFrame, zip5: str = "zip5", state: str = "state") -> DataFrame:
+    """The other ZIP codes of each source's state that have a ZCTA and a locality, with their PO-box flag and population.
+
+    Pairs of a state grow with the square of its ZIP codes; there are at most some thousands in one (see nearest_in_state
+    for a search that does not pair them all).
+    """
+    c = preferred_zcta(mapping).select(zip5, "zcta5").join(localities.select(zip5, state, "locality"), zip5).join(metadata.select(zip5, "is_pobox", "population"), zip5, "left")
+    c = c.withColumnsRenamed({zip5: "candidate", "zcta5": "candidate_zcta", "locality": "candidate_locality"})
+    return sources.join(c, state).filter(F.col(zip5) != F.col("candidate"))
+
+
+def zcta_coordinates(zctas: DataFrame, gazetteer: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Coordinates of ZCTAs from the gazetteer, else from the centroids, and which of them had them."""
+    return first_found(zctas, [(gazetteer.filter("lat is not null and lon is not null"), "gazetteer"), (centroids.filter("lat is not null and lon is not null"), "centroid")], "zcta5", ["lat", "lon"])
+
+
 def radius_step(distance: Column) -> Column:
     """The number of the search radius that first holds a distance."""
     return F.greatest(F.lit(0), F.ceil((distance - FIRST_RADIUS) / RADIUS_STEP)).cast("int")

@@ -53,15 +53,18 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 def as_of(facts: DataFrame, records: DataFrame, keys: list[str], day: str, start: str, end: str | None, fact_id: list[str], *ties: str, strict: bool = False) -> DataFrame:
     """For each fact the newest record that covers its day; if none does, the newest that began (strict: no record).
 
-    The records that began by the fact's day are joined on the keys and ranked within the fact.
+    The record depends on the keys and the day alone, so it is looked up once for each different day of a key, however
+    many facts ask for it: records that began by then are joined on the keys and ranked, and the facts join the pick.
+    fact_id is not needed for that; it stays for callers that name it.
     """
-    found = facts.join(records, keys, "left").filter(F.col(start).isNull() | (F.col(start) <= F.col(day)))
+    asked = facts.select(*keys, day).distinct()
+    found = asked.join(records, keys).filter(F.col(start) <= F.col(day))
     holds = F.coalesce(F.col(end).isNull() | (F.col(end) >= F.col(day)), F.lit(False)) if end else F.lit(True)
     if strict:
-        found = found.filter(F.col(start).isNull() | holds)
-    picked = first_by(found, fact_id, [F.desc(holds), F.desc_nulls_last(start), *[F.desc_nulls_last(t) for t in ties]])
+        found = found.filter(holds)
+    picked = first_by(found, [*keys, day], [F.desc(holds), F.desc_nulls_last(start), *[F.desc_nulls_last(t) for t in ties]])
     own = [c for c in records.columns if c not in keys]
-    return facts.join(picked.select(*fact_id, *own), fact_id, "left")
+    return facts.join(picked.select(*keys, day, *own), [*keys, day], "left")
 
 
 def pair_lookup(pairs: DataFrame, known: DataFrame, a: str, b: str, ka: str, kb: str, value: str, name: str) -> DataFrame:
@@ -107,5 +110,15 @@ def key_parity(authority: DataFrame, other: DataFrame, keys: list[str]) -> DataF
     )
 
 
+def optional_filters(df: DataFrame, given: dict[str, object]) -> DataFrame:
+    """The rows that meet every given equality; a value of None asks nothing, a list asks for any of its values."""
+    return df.filter(all_of([F.col(c).isin(*v) if isinstance(v, list | tuple | set) else F.col(c) == F.lit(v) for c, v in given.items() if v is not None]))
+
+
+def json_list_has(c: str | Column, value: str) -> Column:
+    """Whether a JSON list of texts holds a value; false for null and for text that is no list."""
+    return F.coalesce(F.array_contains(F.from_json(F.col(c) if isinstance(c, str) else c, "array<string>"), value), F.lit(False))
+
+
 def all_of(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, predicates, F.lit(True))

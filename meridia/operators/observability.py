@@ -36,6 +36,11 @@ def shares(df: DataFrame, c: str) -> DataFrame:
     return n.crossJoin(total).withColumn("share", F.col("n") / F.col("total")).drop("total")
 
 
+def rows_of_conflicting_keys(df: DataFrame, key: str, value: str) -> DataFrame:
+    """All rows of the keys that have several different values."""
+    return df.join(keys_with_several_values(df, key, value).select(key), key, "left_semi")
+
+
 def keys_with_several_values(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n_rows"), F.count_distinct(value).alias("n_values")).filter("n_values > 1")
 
@@ -176,7 +181,12 @@ def dataset_digest(df: DataFrame, parts: list[Column], buckets: int = 4096) -> D
     return level.agg(F.sum("n").alias("n_rows"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])), 256).alias("digest"))
 
 
-def small_digest(df: DataFrame, parts: list[Column]) -> DataFrame:
-    """The digest of a small reference table: SHA-256 over its sorted rows, parts joined by | and rows by newlines."""
+def small_digest(df: DataFrame, parts: list[Column], most_rows: int = 1_000_000) -> DataFrame:
+    """The digest of a small reference table: SHA-256 over its sorted rows, parts joined by | and rows by newlines.
+
+    All rows meet in one place for that, so a table of more than most_rows is an error (see dataset_digest).
+    """
+    if df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"more than {most_rows} rows: use dataset_digest")
     row = F.array_join(F.array(*[F.coalesce(p.cast("string"), F.lit("None")) for p in parts]), "|", "")
     return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("digest"))

@@ -33,11 +33,12 @@ def cents(amount: Column) -> Column:
 
 def modifier_factor(modifiers: Column) -> Column:
     """The product over an array of modifiers; unknown ones count 1 and repeated ones count each time."""
-
-    def factor(m: Column) -> Column:
-        return F.coalesce(*[F.when(m == name, dbl(x)) for name, x in MODIFIER_FACTORS.items()], dbl(1))
-
-    return F.aggregate(F.coalesce(modifiers, F.array().cast("array<string>")), dbl(1), lambda acc, m: acc * factor(m))
+    given = F.coalesce(modifiers, F.array().cast("array<string>"))
+    # occurrences are counted by sizes, which compile, and not by a lambda, which is interpreted; the factors' powers are exact
+    out = dbl(1)
+    for name, x in MODIFIER_FACTORS.items():
+        out = out * F.pow(dbl(x), (F.size(given) - F.size(F.array_remove(given, name))).cast("double"))
+    return out
 
 
 def modifiers_of(c: str | Column) -> Column:
@@ -98,18 +99,21 @@ def components(raw: DataFrame, line_no: str) -> DataFrame:
     )
 
 
-def _fees(lines: DataFrame, fees: DataFrame, keys: list[str], low, high, name: str, line: str) -> DataFrame:
-    """Left join of an effective-dated table (fee columns prefixed) keeping for each line the row that began last."""
-    f = fees.withColumnsRenamed({c: f"{name}_{c}" for c in fees.columns})
-    cond = overlaps(low, high, f"{name}_effective_from", f"{name}_effective_to")
+def _fees(lines: DataFrame, fees: DataFrame, keys: list[str], low, high, name: str) -> DataFrame:
+    """Left join of an effective-dated table (fee columns prefixed) with the row of each key that began last in the period.
+
+    The period is the same for all lines, so the row is picked once a key and not once a line.
+    """
+    others = [F.asc_nulls_last(c) for c in fees.columns if c not in ("effective_from", *keys)]
+    picked = first_by(fees.filter(overlaps(low, high, "effective_from", "effective_to")), keys, [F.desc_nulls_last("effective_from"), *others])
+    f = picked.withColumnsRenamed({c: f"{name}_{c}" for c in fees.columns})
+    cond = F.lit(True)
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"{name}_{k}"))
-    joined = lines.join(f, cond, "left")
-    others = [F.asc_nulls_last(f"{name}_{c}") for c in fees.columns if c not in ("effective_from", *keys)]
-    return first_by(joined, [line], [F.desc_nulls_last(f"{name}_effective_from"), *others])
+    return lines.join(f, cond, "left")
 
 
-def priced(lines: DataFrame, refs: dict[str, DataFrame], low, high, *, line: str = "line_id", deductible: float = 0.0) -> DataFrame:
+def priced(lines: DataFrame, refs: dict[str, DataFrame], low, high, *, deductible: float = 0.0) -> DataFrame:
     """Price every line. refs: mpfs, gpci, cf, opps, wage, asc, ipps, ipps_base, clfs, dmepos, asp (any may be missing).
 
     lines: line_id, setting, code, locality, cbsa, rural_flag, pos, units, utilization_weight, modifiers (array),
@@ -118,7 +122,7 @@ def priced(lines: DataFrame, refs: dict[str, DataFrame], low, high, *, line: str
     setting, or without a fee, have a reject reason and null amounts.
     """
     own = lambda s: lines.filter(F.col("setting") == s)
-    at = lambda df, name, keys: _fees(df, refs[name], keys, low, high, name, line)
+    at = lambda df, name, keys: _fees(df, refs[name], keys, low, high, name)
     out = []
 
     def branch(df: DataFrame, amount: Column, trace: list[Column], packaged: Column | None = None, inpatient: bool = False) -> None:
@@ -138,7 +142,7 @@ def priced(lines: DataFrame, refs: dict[str, DataFrame], low, high, *, line: str
     year, code = F.year(F.lit(high)), F.col("code")
     if {"mpfs", "gpci", "cf"} <= refs.keys():
         df = at(at(own("MPFS"), "mpfs", ["code"]), "gpci", ["locality"])
-        df = _fees(df.withColumn("cf_type", F.lit("MPFS")), refs["cf"].withColumnRenamed("source", "cf_type") if "source" in refs["cf"].columns else refs["cf"], ["cf_type"], low, high, "cf", line)
+        df = _fees(df.withColumn("cf_type", F.lit("MPFS")), refs["cf"].withColumnRenamed("source", "cf_type") if "source" in refs["cf"].columns else refs["cf"], ["cf_type"], low, high, "cf")
         pe = practice_expense(F.col("pos"), F.col("mpfs_pe_nonfacility_rvu"), F.col("mpfs_pe_facility_rvu"))
         found = F.col("mpfs_code").isNotNull()
         branch(df, F.when(found, component_amount(F.col("mpfs_work_rvu"), pe, F.col("mpfs_malpractice_rvu"), F.col("gpci_work"), F.col("gpci_pe"), F.col("gpci_mp"), F.col("cf_value"))), [ref("mpfs", year, F.col("locality"), code), ref("gpci", year, F.col("locality")), ref("cf", year, "MPFS")])
@@ -149,7 +153,7 @@ def priced(lines: DataFrame, refs: dict[str, DataFrame], low, high, *, line: str
         if name in refs:
             branch(at(own(setting), name, ["code"]), F.col(f"{name}_{column}"), [ref(name, year, code)])
     if {"ipps", "ipps_base", "wage"} <= refs.keys():
-        df = _fees(at(at(own("IPPS"), "ipps", ["code"]), "wage", ["cbsa"]).withColumn("kind", F.lit("base")), refs["ipps_base"].withColumn("kind", F.lit("base")), ["kind"], low, high, "base", line)
+        df = _fees(at(at(own("IPPS"), "ipps", ["code"]), "wage", ["cbsa"]).withColumn("kind", F.lit("base")), refs["ipps_base"].withColumn("kind", F.lit("base")), ["kind"], low, high, "base")
         branch(df, F.col("ipps_weight") * (F.col("base_operating") * F.col("wage_index") + F.col("base_capital") * F.col("wage_index")), [ref("ipps", year, code), ref("ipps_base", year), ref("wage_index", year, F.col("cbsa"))], inpatient=True)
     if "dmepos" in refs:
         df = own("DMEPOS").withColumn("rural", F.coalesce(F.col("rural_flag").isin(*RURAL_FLAGS), F.lit(False)))
@@ -190,6 +194,34 @@ def compared(a: DataFrame, b: DataFrame, keys: list[str], measures: list[str]) -
     return out
 
 
+def compared_sides(df: DataFrame, keys: list[str], side: Column, measures: list[str]) -> DataFrame:
+    """compared() of the sums of two sides of one table (side: 'a', 'b', or null for neither), in one aggregate."""
+    own = df.withColumn("_side", side).filter(F.col("_side").isin("a", "b"))
+    sums = [F.sum(F.when(F.col("_side") == x, F.col(m))).alias(f"{m}_{x}") for m in measures for x in "ab"]
+    out = own.groupBy(*keys).agg(*sums, (F.count_if(F.col("_side") == "a") * F.count_if(F.col("_side") == "b") > 0).alias("both_present"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    for m in measures:
+        out = out.withColumn(f"{m}_delta", zero(f"{m}_b") - zero(f"{m}_a")).withColumn(f"{m}_percent", percent_change(zero(f"{m}_a"), zero(f"{m}_b")))
+    return out
+
+
+def facility_rates(lines: DataFrame, rates: DataFrame, low, high) -> DataFrame:
+    """Lines with the negotiated rate of their facility, payer and plan where one is in force, and what it was found by.
+
+    rates: ccn, payer, plan, code, rate, effective_from, effective_to. A rate of the plan comes before one of the payer
+    (plan null), and that before one of the facility (both null).
+    """
+    keys = ["ccn", "code"]
+    held = rates.filter(overlaps(low, high, "effective_from", "effective_to"))
+    level = F.when(F.col("_plan").isNotNull(), 0).when(F.col("_payer").isNotNull(), 1).otherwise(2)
+    r = held.select(*keys, F.col("payer").alias("_payer"), F.col("plan").alias("_plan"), F.col("rate").alias("_rate"), F.col("effective_from").alias("_from"))
+    fits = (F.col("_payer").isNull() | (F.col("_payer") == F.col("payer"))) & (F.col("_plan").isNull() | (F.col("_plan") == F.col("plan")))
+    met = lines.select("line_id", *keys, "payer", "plan").join(r, keys).filter(fits)
+    best = met.groupBy("line_id").agg(F.min(F.struct(level.alias("level"), (-F.unix_date("_from")).alias("age"), F.col("_rate").alias("rate"))).alias("b"))
+    name = F.get(F.array(F.lit("plan"), F.lit("payer"), F.lit("facility")), F.col("b.level"))
+    return lines.join(best.select("line_id", F.col("b.rate").alias("facility_rate"), name.alias("facility_rate_by")), "line_id", "left")
+
+
 def drug_reference_price(lines: DataFrame, nadac: DataFrame, conversion: DataFrame) -> DataFrame:
     """Add nadac_reference: the newest unit price of the line's NDC times units per code, units and weight."""
     newest = nadac.groupBy("ndc11").agg(F.max_by("unit_price", "as_of").alias("unit_price"), F.max("as_of").alias("nadac_as_of"))

@@ -49,17 +49,32 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+#: Keys of more values than this are cut down to a bracket around the percentile before their values are ordered.
+BRACKET_ABOVE, BRACKET_ACCURACY = 100_000, 10_000
+
+
 def by_percentile_index(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
     """The value at 0-based place floor(n * share) of each key's sorted values (at most the last); no interpolation.
 
-    Values are counted first, and a running count over the distinct values of a key finds the place.
+    A sketch of each key gives two values that hold the place between them for certain: its rank error is at most
+    n / BRACKET_ACCURACY, and they lie three times that to both sides. Only the values between them are ordered, those
+    below are counted; so of a key with a third of all rows some ten-thousandths meet in a task.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    run = Window.partitionBy(*keys).orderBy(value)
-    everything = Window.partitionBy(*keys)
-    placed = counts.withColumn("_run", F.sum("_c").over(run)).withColumn("_n", F.sum("_c").over(everything))
+    given = df.filter(F.col(value).isNotNull())
+    ends = [max(0.0, share - 3 / BRACKET_ACCURACY), min(1.0, share + 3 / BRACKET_ACCURACY)]
+    sketch = given.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(value, ends, BRACKET_ACCURACY).alias("_p"))
+    hot = F.col("_n") > BRACKET_ABOVE
+    bounds = sketch.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", F.when(hot & F.lit(ends[0] > 0), F.col("_p")[0]).alias("_lo"), F.when(hot & F.lit(ends[1] < 1), F.col("_p")[1]).alias("_hi"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = given.select(*keys, value).join(bounds, same).filter(F.col("_hi").isNull() | (F.col(value) <= F.col("_hi")))
+    kept = F.when(F.col("_lo").isNull() | (F.col(value) >= F.col("_lo")), F.col(value))
+    counts = inside.groupBy(*keys, "_n", kept.alias("_v")).agg(F.count("*").alias("_c"))
+    run = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v"))
+    placed = counts.withColumn("_run", F.sum("_c").over(run))
     at = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
-    return placed.filter((F.col("_run") > at) & (F.col("_run") - F.col("_c") <= at)).select(*keys, F.col(value).alias(name))
+    return placed.filter((F.col("_run") > at) & (F.col("_run") - F.col("_c") <= at)).select(*keys, F.col("_v").alias(name))
 
 
 def distinct_with_null(df: DataFrame, c: str) -> DataFrame:

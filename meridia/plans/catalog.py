@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import geography_queries, pricing_queries, quality_queries, text_queries, window_queries
+from . import geography_queries, pricing_queries, quality_queries, release_queries, text_queries, window_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "geography_queries", "pricing_queries", "quality_queries", "text_queries", "window_queries"]
+__all__ = ["ORACLES", "QUERIES", "geography_queries", "pricing_queries", "quality_queries", "release_queries", "text_queries", "window_queries"]

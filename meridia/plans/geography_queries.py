@@ -156,11 +156,22 @@ def set_logic_expand(t: Tables) -> DataFrame:
     return C.expanded(*county_lists(t)).select("row_id", "logic", "key")
 
 
-@query("WITH n AS (SELECT n_regionkey AS s, n_nationkey AS f, upper(n_name) AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY upper(n_name)) AS i FROM nation) SELECT s * 10 + 3 AS row_id, k AS key, f::VARCHAR AS county_fips, 'exact' AS method FROM n WHERE i IN (3, 4)")
+@query(
+    """WITH n AS (SELECT n_regionkey AS s, n_nationkey AS f, upper(n_name) AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY upper(n_name)) AS i FROM nation)
+SELECT s * 10 + 3 AS row_id, k AS key, f::VARCHAR AS county_fips, 'exact' AS method FROM n WHERE i IN (3, 4)
+UNION ALL SELECT s * 10 + 5, 'OLD ' || k, f::VARCHAR, 'alias' FROM n WHERE i = 1
+UNION ALL SELECT s * 10 + 5, 'COUNTY OF THE OTHER ' || k || 'X', f::VARCHAR, 'fuzzy' FROM n WHERE i = 2
+UNION ALL SELECT DISTINCT s * 10 + 5, 'NOWHERE', NULL, NULL FROM n"""
+)
 def county_exact_match(t: Tables) -> DataFrame:
+    """All legs: names as they stand, old names by alias, misspelt long names by likeness, and names of no county."""
     rows, names = county_lists(t)
-    aliases = names.limit(0).select("state_fips", F.col("county_key").alias("alias_key"), "county_key")
-    got = C.normalized(rows.filter("locality_code = '3'"), names, aliases, fuzzy=False)
+    first = names.groupBy("state_fips").agg(F.array_sort(F.collect_list("county_key")).alias("all")).select("state_fips", F.get("all", F.lit(0)).alias("a"), F.get("all", F.lit(1)).alias("b"))
+    long_name = lambda c: F.concat(F.lit("COUNTY OF THE OTHER "), c)
+    known = names.join(first, "state_fips").withColumn("county_key", F.when(F.col("county_key") == F.col("b"), long_name(F.col("b"))).otherwise(F.col("county_key"))).drop("a", "b")
+    asked = first.select((F.col("state_fips").cast("int") * 10 + 5).alias("row_id"), "state_fips", F.lit("5").alias("locality_code"), F.lit("").alias("fee_area"), F.concat(F.lit("Old "), F.col("a"), F.lit(", "), long_name(F.col("b")), F.lit("X / Nowhere")).alias("county_names"))
+    aliases = first.select("state_fips", F.concat(F.lit("OLD "), F.col("a")).alias("alias_key"), F.col("a").alias("county_key"))
+    got = C.normalized(rows.filter("locality_code = '3'").unionByName(asked), known, aliases)
     return got.select("row_id", "key", "county_fips", "method")
 
 

@@ -96,11 +96,89 @@ SELECT code, a.cents AS cents_a, b.cents AS cents_b, a.cents IS NOT NULL AND b.c
 FROM a FULL JOIN b USING (code)"""
 )
 def compare_two_localities(t: Tables) -> DataFrame:
-    per = component_prices(t).filter(F.col("nation").isin(3, 7)).groupBy("code", "nation").agg(F.sum("allowed_cents").alias("cents"))
-    out = P.compared(per.filter("nation = 3"), per.filter("nation = 7"), ["code"], ["cents"])
+    side = F.when(F.col("nation") == 3, "a").when(F.col("nation") == 7, "b")
+    out = P.compared_sides(component_prices(t).withColumnRenamed("allowed_cents", "cents"), ["code"], side, ["cents"])
     return out.withColumn("cents_percent", F.round("cents_percent", 6))
 
 
+def fee_versions(t: Tables) -> DataFrame:
+    """code, v, effective_from, effective_to: parts have a version of the year, of an earlier year (every fifth), and a newer one (every third)."""
+    import datetime as dt
+
+    p = t.part.select(F.col("p_partkey").alias("code"), F.col("p_retailprice").alias("price"))
+    old = F.col("code") % 5 == 0
+    first = p.select("code", F.col("price").alias("v"), F.when(old, dt.date(1996, 1, 1)).otherwise(dt.date(1997, 1, 1)).alias("effective_from"), F.when(old, dt.date(1996, 12, 31)).otherwise(dt.date(1997, 12, 31)).alias("effective_to"))
+    newer = p.filter("code % 3 = 0").select("code", (F.col("price") * P.dbl(1.1)).alias("v"), F.lit(dt.date(1997, 4, 1)).alias("effective_from"), F.lit(None).cast("date").alias("effective_to"))
+    return first.unionByName(newer)
+
+
+def reference_tables(t: Tables) -> dict[str, DataFrame]:
+    """The reference tables of all seven settings, built from parts and nations."""
+    import datetime as dt
+
+    f, v = fee_versions(t), F.col("v")
+    n = t.nation.select(F.col("n_nationkey").alias("nation"), F.lit(dt.date(1997, 1, 1)).alias("effective_from"), F.lit(None).cast("date").alias("effective_to"))
+    dates = ["effective_from", "effective_to"]
+    one = n.filter("nation = 0").drop("nation")
+    return {
+        "mpfs": f.select("code", (v * P.dbl(0.5)).alias("work_rvu"), (v * P.dbl(0.4)).alias("pe_nonfacility_rvu"), (v * P.dbl(0.3)).alias("pe_facility_rvu"), (v * P.dbl(0.1)).alias("malpractice_rvu"), *dates),
+        "gpci": n.select(F.col("nation").alias("locality"), index(0.8, 0.02).alias("work"), index(0.9, 0.01).alias("pe"), index(1.1, -0.005).alias("mp"), *dates),
+        "cf": one.select(F.lit("MPFS").alias("source"), P.dbl(FACTOR).alias("value"), *dates),
+        "opps": f.select("code", v.alias("rate"), F.when(F.col("code") % 4 == 0, "N").otherwise("S").alias("status"), *dates),
+        "wage": n.select(F.col("nation").alias("cbsa"), index(0.8, 0.02).alias("index"), *dates),
+        "asc": f.select("code", (v * P.dbl(0.9)).alias("rate"), *dates),
+        "ipps": f.select("code", (v / P.dbl(100)).alias("weight"), *dates),
+        "ipps_base": one.select(P.dbl(500).alias("operating"), P.dbl(50).alias("capital"), *dates),
+        "clfs": f.select("code", (v * P.dbl(0.5)).alias("fee"), *dates),
+        "dmepos": f.select("code", F.explode(F.array(F.lit(True), F.lit(False))).alias("rural"), v, *dates).select("code", "rural", F.when(F.col("rural"), v * P.dbl(1.2)).otherwise(v).alias("fee"), *dates),
+        "asp": f.select("code", v.alias("per_unit"), *dates),
+    }
+
+
+_FEE = "CASE WHEN code % 3 = 0 THEN price * 1.1::DOUBLE WHEN code % 5 = 0 THEN NULL ELSE price END"
+_WAGE = "(0.8::DOUBLE + nation * 0.02::DOUBLE)"
+_SEVEN = f"""CASE kind
+  WHEN 0 THEN (((v * 0.5::DOUBLE) * (0.8::DOUBLE + nation * 0.02::DOUBLE)) + ((v * CASE WHEN l_linenumber % 2 = 1 THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END) * (0.9::DOUBLE + nation * 0.01::DOUBLE)) + ((v * 0.1::DOUBLE) * (1.1::DOUBLE + nation * -0.005::DOUBLE))) * 1.25::DOUBLE
+  WHEN 1 THEN v * {_WAGE} WHEN 2 THEN v * 0.9::DOUBLE WHEN 3 THEN (v / 100.0::DOUBLE) * (500.0::DOUBLE * {_WAGE} + 50.0::DOUBLE * {_WAGE}) WHEN 4 THEN v * 0.5::DOUBLE
+  WHEN 5 THEN CASE WHEN nation % 2 = 0 THEN v * 1.2::DOUBLE ELSE v END ELSE v * 1.06::DOUBLE END"""
+
+
+@query(
+    f"""WITH {LINES}, f AS (SELECT *, {_FEE} AS v FROM lines), a AS (SELECT *, CASE WHEN kind = 1 AND v IS NOT NULL AND code % 4 = 0 THEN 0.0::DOUBLE ELSE ({_SEVEN}) * factor * units END AS allowed FROM f),
+s AS (SELECT *, least(CASE WHEN kind = 3 THEN 1600.0::DOUBLE ELSE 0.0::DOUBLE END, allowed) AS ded, CASE WHEN kind = 3 THEN 0.0::DOUBLE ELSE 0.2::DOUBLE END AS rate FROM a WHERE allowed IS NOT NULL),
+c AS (SELECT *, trunc(allowed * 100)::BIGINT AS cents, trunc((ded + (allowed - ded) * rate) * 100)::BIGINT AS own, trunc((allowed - (ded + (allowed - ded) * rate)) * 100)::BIGINT AS paid FROM s),
+g AS (SELECT kind, sum(cents)::BIGINT AS allowed_cents, sum(own)::BIGINT AS beneficiary_total_cents, sum(paid)::BIGINT AS program_payment_cents, sum(CASE WHEN kind IN (0, 4, 5, 6) THEN cents ELSE 0 END)::BIGINT AS professional_allowed_cents FROM c GROUP BY kind)
+SELECT ['MPFS', 'OPPS', 'ASC', 'IPPS', 'CLFS', 'DMEPOS', 'DRUGS'][kind + 1] AS setting, n_lines, n_rejected, n_packaged, allowed_cents, beneficiary_total_cents, program_payment_cents, professional_allowed_cents
+FROM (SELECT kind, count(*) AS n_lines, count(*) FILTER (v IS NULL) AS n_rejected, count(*) FILTER (kind = 1 AND v IS NOT NULL AND code % 4 = 0) AS n_packaged FROM f GROUP BY kind) JOIN g USING (kind)"""
+)
+def price_lines_with_fees(t: Tables) -> DataFrame:
+    """Every line priced by the engine, from effective-dated tables of all seven settings in the second quarter of 1997."""
+    import datetime as dt
+
+    lines = claim_lines(t).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), "setting", "code", F.col("nation").alias("locality"), F.col("nation").alias("cbsa"), F.when(F.col("nation") % 2 == 0, "R").otherwise("U").alias("rural_flag"),
+        F.when(F.col("l_linenumber") % 2 == 1, "11").otherwise("22").alias("pos"), "units", P.dbl(1).alias("utilization_weight"), "modifiers", F.lit(True).alias("professional_component"),
+    )
+    priced = P.priced(lines, reference_tables(t), dt.date(1997, 4, 1), dt.date(1997, 6, 30))
+    sums = ("allowed_cents", "beneficiary_total_cents", "program_payment_cents", "professional_allowed_cents")
+    return priced.groupBy("setting").agg(F.count("*").alias("n_lines"), F.count("reject_reason").alias("n_rejected"), F.count_if("packaged").alias("n_packaged"), *[F.sum(c).alias(c) for c in sums])
+
+
+@query(
+    f"""WITH {LINES}, n AS (SELECT p_partkey AS code, p_size * 1.5::DOUBLE AS unit_price FROM part WHERE p_size > 10)
+SELECT l_orderkey, l_linenumber, round(unit_price * (1 + code % 3) * units, 6) AS nadac_reference FROM lines LEFT JOIN n USING (code)"""
+)
+def drug_reference_prices(t: Tables) -> DataFrame:
+    """The reference price of each line's drug from the newest of its unit prices, in the units of its code."""
+    import datetime as dt
+
+    p = t.part.filter("p_size > 10").select(F.col("p_partkey").alias("ndc11"), F.col("p_size"))
+    nadac = p.select("ndc11", (F.col("p_size") * P.dbl(1.5)).alias("unit_price"), F.lit(dt.date(2024, 2, 1)).alias("as_of")).unionByName(p.select("ndc11", F.lit(-1.0).alias("unit_price"), F.lit(dt.date(2024, 1, 1)).alias("as_of")))
+    conversion = t.part.select(F.col("p_partkey").alias("ndc11"), F.col("p_partkey").alias("code"), (1 + F.col("p_partkey") % 3).alias("units_per_hcpcs"))
+    lines = claim_lines(t).withColumn("ndc11", F.col("code")).withColumn("utilization_weight", P.dbl(1))
+    return P.drug_reference_price(lines, nadac, conversion).select("l_orderkey", "l_linenumber", F.round("nadac_reference", 6).alias("nadac_reference"))
+
+
 @query(f"WITH {LINES} SELECT status, count(*) AS n_lines, count(*) FILTER (status = 'N') AS n_packaged, sum(CASE WHEN status = 'N' THEN 0 ELSE trunc(price * units * 100)::BIGINT END)::BIGINT AS allowed_cents FROM lines GROUP BY status")
 def packaged_lines(t: Tables) -> DataFrame:
     packaged = P.is_packaged(F.col("status"))
@@ -114,10 +192,10 @@ def modifier_fold(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, l_partkey, floor(o_totalprice)::BIGINT AS base, greatest(0.0::DOUBLE, coalesce(TRY_CAST(l_tax AS DOUBLE), 1.0::DOUBLE)) AS units FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderkey % 10 = 0"""
+    """SELECT o_orderkey, l_partkey, floor(o_totalprice)::BIGINT AS base, greatest(0.0::DOUBLE, coalesce(TRY_CAST(l_tax AS DOUBLE), 1.0::DOUBLE)) AS units FROM orders JOIN lineitem ON l_orderkey = o_orderkey """
 )
 def component_defaults(t: Tables) -> DataFrame:
-    rows = t.orders.select("o_orderkey", "o_totalprice").join(t.lineitem.filter("l_linenumber = 1 and l_orderkey % 10 = 0").select("l_orderkey", "l_partkey", "l_tax"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = t.orders.select("o_orderkey", "o_totalprice").join(t.lineitem.select("l_orderkey", "l_partkey", "l_tax"), F.col("o_orderkey") == F.col("l_orderkey"))
     raw = rows.select("*", F.concat(F.lit(" "), F.col("l_partkey").cast("string"), F.lit(" ")).alias("code"), F.lit("mpfs ").alias("setting"), F.col("l_tax").cast("string").alias("units"), F.lit(None).alias("utilization_weight"), F.lit("yes").alias("professional_component"), F.lit(None).alias("facility_component"), F.lit(None).alias("sequence"), F.lit(0).alias("at"))
     c = P.components(raw, "at").filter("setting = 'MPFS' and professional_component and facility_component and sequence = 1 and utilization_weight = 1")
     return c.select("o_orderkey", F.col("code").cast("long").alias("l_partkey"), F.floor("o_totalprice").cast("long").alias("base"), "units")

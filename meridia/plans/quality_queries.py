@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_number, row_hash
+from ..functions.text import row_id as natural_key_id
 from ..operators import joins as J
 from ..operators import observability as O
 from ..operators import quality as Q
@@ -107,9 +108,9 @@ def profile_schema(t: Tables) -> DataFrame:
     return Q.profile(t.part, ["p_size", "p_brand"]).select("column", "n_distinct", "least", "most", "domain")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem) WHERE abs(l_extendedprice - m) > 2 * s")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem) WHERE abs(l_extendedprice - m) > 1.7 * s")
 def outliers_by_deviation(t: Tables) -> DataFrame:
-    return O.outliers(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", 2.0).select("l_orderkey", "l_linenumber")
+    return O.outliers(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", 1.7).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT l_returnflag, count(*) AS n, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS share FROM lineitem GROUP BY l_returnflag")
@@ -152,7 +153,7 @@ def row_content_hash(t: Tables) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, sha256(l_orderkey::VARCHAR || chr(31) || l_linenumber::VARCHAR || chr(31) || l_shipdate::DATE::VARCHAR) AS row_id FROM lineitem")
 def row_id(t: Tables) -> DataFrame:
     l = t.lineitem.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("d"))
-    return l.select("l_orderkey", "l_linenumber", row_hash(l, ["l_orderkey", "l_linenumber", "d"]).alias("row_id"))
+    return l.select("l_orderkey", "l_linenumber", natural_key_id(l, ["l_orderkey", "l_linenumber", "d"]).alias("row_id"))
 
 
 @query(
@@ -240,10 +241,10 @@ def windowed_trace_counts(t: Tables) -> DataFrame:
     return windowed_counts(t.events, "ts", "event_type", "value").withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("mean", F.round("mean", 4))
 
 
-@query("SELECT alert_type, n FROM (SELECT event_type AS alert_type, count(*) AS n FROM events GROUP BY event_type) WHERE n > 10 AND alert_type NOT IN (SELECT event_type FROM events WHERE event_id % 97 = 0 AND event_type <> 'view' AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 600 MINUTE)")
+@query("SELECT alert_type, n FROM (SELECT event_type AS alert_type, count(*) AS n FROM events GROUP BY event_type) WHERE n > 10 AND alert_type NOT IN (SELECT event_type FROM events WHERE event_type NOT IN ('view', 'click') AND (value > 20 OR event_type = 'error') AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 600 MINUTE)")
 def open_alerts(t: Tables) -> DataFrame:
     findings = t.events.groupBy(F.col("event_type").alias("alert_type")).agg(F.count("*").alias("n")).filter("n > 10")
-    history = t.events.filter("event_id % 97 = 0").select(F.col("event_type").alias("alert_type"), F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_type") == "view").alias("resolved"))
+    history = t.events.select(F.col("event_type").alias("alert_type"), F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_type").isin("view", "click") | ((F.col("value") <= 20) & (F.col("event_type") != "error"))).alias("resolved"))
     return O.open_alerts(findings, history, NOW, 600)
 
 
@@ -263,7 +264,7 @@ def over_cap(t: Tables) -> DataFrame:
     return Q.over_cap(items, t.customer.select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") * 30).alias("cap")), ["k"]).select("o_orderkey", F.round(F.col("total").cast("decimal(18,4)"), 2).alias("over"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'failed' ELSE 'ok' END AS result FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'failed' ELSE 'ok' END AS result FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderdate >= TIMESTAMP '1997-01-01')")
 def missing_orders(t: Tables) -> DataFrame:
-    none = J.missing(t.customer.withColumnRenamed("c_custkey", "o_custkey"), t.orders, ["o_custkey"])
+    none = J.missing(t.customer.withColumnRenamed("c_custkey", "o_custkey"), t.orders.filter(F.col("o_orderpriority").startswith("1") & (F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))), ["o_custkey"])
     return none.select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("c_acctbal") < 0, "failed").otherwise("ok").alias("result"))

@@ -29,9 +29,9 @@ def currency_clean(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.currency(money).alias("fee"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(upper(regexp_replace(regexp_replace(strip_accents(text), '[\\s\\x{A0}]+', ' ', 'g'), '[^\\x00-\\x7F]', '', 'g')), '[()]', '', 'g'), '^ +| +$', '', 'g'), ' ') AS key FROM documents WHERE lang IN ('fr', 'es')")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(upper(regexp_replace(regexp_replace(strip_accents(text), '[\\s\\x{A0}]+', ' ', 'g'), '[^\\x00-\\x7F]', '', 'g')), '[()]', '', 'g'), '^ +| +$', '', 'g'), ' ') AS key FROM documents")
 def ascii_key(t: Tables) -> DataFrame:
-    return t.documents.filter(F.col("lang").isin("fr", "es")).select("doc_id", T.ascii_key("text").alias("key"))
+    return t.documents.select("doc_id", T.ascii_key("text").alias("key"))
 
 
 @query("SELECT n_nationkey, unnest(list_filter(list_transform(string_split_regex(regexp_replace(n_name || ' / B-C, D and E', '(?i)\\s+AND\\s+', ',', 'g'), '[,/]'), lambda x: trim(x)), lambda x: x <> '')) AS name FROM nation")

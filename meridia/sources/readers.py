@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -35,8 +36,6 @@ def decoded(content: bytes) -> tuple[str, str]:
 
 
 def _members(path: str, content: bytes, pattern: str) -> Iterator[tuple[str, bytes]]:
-    import re
-
     if not zipfile.is_zipfile(io.BytesIO(content)):
         yield "", content
         return
@@ -78,23 +77,54 @@ def _typed(c: Column, kind: str) -> Column:
     text = blank_to_null(c)
     if kind == "double":
         return number(text)
-    return F.try_to_date(text, F.lit("yyyy-MM-dd")) if kind == "date" else text
+    return F.try_to_date(text, "yyyy-MM-dd") if kind == "date" else text
 
 
-def delimited(lines: DataFrame, contract: Contract, *, separator: str = ",", aliases: dict[str, str] | None = None, header_words: tuple[str, ...] = (), search_lines: int = 15) -> DataFrame:
+def delimited(lines: DataFrame, contract: Contract, *, separator: str = ",", aliases: dict[str, str] | None = None, header_words: tuple[str, ...] = (), search_lines: int = 15, defaults: dict[str, object] | None = None, no_header: str = "drop") -> DataFrame:
     """Delimited lines whose header stands somewhere in the first lines (the first that holds all header_words).
 
-    Columns are found by their normalised header names, per file. Missing columns are null.
+    Columns are found by their normalised header names, per file, however many there are; quoted fields may hold the
+    separator. Missing columns are null or have their default. Files without such a header give no rows; with
+    no_header="reject" one row each, whose reject_reason says so (null for all other rows).
     """
+    heads, _ = _headers(lines, header_words, search_lines)
+    names = F.transform(_cells("_header", separator), lambda h: normalised_name(h, aliases or {}))
+    body = lines.join(heads.withColumn("_names", names), ["path", "member"]).filter((F.col("line_no") > F.col("_at")) & (F.trim("line") != ""))
+    body = body.withColumn("_cells", _cells("line", separator))
+    pick = lambda f: F.get("_cells", F.nullif(F.array_position("_names", f.name), F.lit(0)).cast("int") - 1)
+    filled = lambda f: F.when(F.array_contains("_names", f.name), _typed(pick(f), f.kind)).otherwise(F.lit((defaults or {}).get(f.name)))
+    out = body.select("path", "member", "line_no", *[filled(f).alias(f.name) for f in contract.fields])
+    if no_header != "reject":
+        return out
+    lost = headerless(lines, header_words, search_lines).select("path", "member", F.lit(None).cast("long").alias("line_no"), *[F.lit(None).cast(out.schema[f.name].dataType).alias(f.name) for f in contract.fields], F.lit("no header in the first lines").alias("reject_reason"))
+    return out.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(lost)
+
+
+def _cells(c: str, separator: str) -> Column:
+    """The fields of a delimited line, unquoted; a separator inside double quotes does not count."""
+    s = re.escape(separator)
+    fields = F.regexp_extract_all(F.concat(F.lit(separator), F.col(c)), F.lit(rf'{s}("(?:[^"]|"")*"|[^{s}]*)' if len(separator) == 1 else rf'{s}("(?:[^"]|"")*"|(?:(?!{s}).)*)'), 1)
+    return F.transform(fields, lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
+def _headers(lines: DataFrame, header_words: tuple[str, ...], search_lines: int) -> tuple[DataFrame, Column]:
     low = F.lower("line")
     is_header = (F.col("line_no") < search_lines) & reduce(lambda a, b: a & b, [low.contains(w) for w in header_words], F.lit(True))
-    heads = lines.filter(is_header).groupBy("path", "member").agg(F.min_by("line", "line_no").alias("_header"), F.min("line_no").alias("_at"))
-    names = F.transform(F.split("_header", separator), lambda h: normalised_name(h, aliases or {}))
-    body = lines.join(heads, ["path", "member"]).filter((F.col("line_no") > F.col("_at")) & (F.trim("line") != ""))
-    cells = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(64))), {"sep": separator})
-    body = body.withColumn("_names", names).withColumn("_cells", F.array(*[cells[f"c{i}"] for i in range(64)]))
-    pick = lambda f: F.get("_cells", F.nullif(F.array_position("_names", f.name), F.lit(0)).cast("int") - 1)
-    return body.select("path", "member", "line_no", *[_typed(pick(f), f.kind).alias(f.name) for f in contract.fields])
+    return lines.filter(is_header).groupBy("path", "member").agg(F.min_by("line", "line_no").alias("_header"), F.min("line_no").alias("_at")), is_header
+
+
+def headerless(lines: DataFrame, header_words: tuple[str, ...], search_lines: int = 15) -> DataFrame:
+    """path, member of the files that have no header among their first lines."""
+    heads, _ = _headers(lines, header_words, search_lines)
+    return lines.filter(F.col("line_no") < search_lines).select("path", "member").distinct().join(heads, ["path", "member"], "left_anti")
+
+
+def data_sheet(rows: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """Of excel_rows the rows of each file's data sheet: the first sheet with a row that holds all the words, from that row on."""
+    joined = F.lower(F.array_join(F.col("cells"), " ", ""))
+    hit = reduce(lambda a, b: a & b, [joined.contains(w) for w in words], F.lit(True))
+    heads = rows.filter(hit).groupBy("path").agg(F.min(F.struct("member", "line_no")).alias("_h"))
+    return rows.join(heads, "path").filter((F.col("member") == F.col("_h.member")) & (F.col("line_no") >= F.col("_h.line_no"))).drop("_h")
 
 
 def normalised_name(c: Column, aliases: dict[str, str]) -> Column:

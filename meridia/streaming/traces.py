@@ -25,15 +25,58 @@ def run_once(stream: DataFrame, folder: str, checkpoint: str, mode: str = "appen
     q.awaitTermination()
 
 
-def merged_latest(stream: DataFrame, keys: list[str], newest: str, folder: str, checkpoint: str) -> None:
-    """Keep the newest row of each key: every micro-batch is merged into the next version of the table."""
+def merged_latest(stream: DataFrame, keys: list[str], newest: str, folder: str, checkpoint: str, *, buckets: int = 64) -> None:
+    """Keep the newest row of each key. The table lies in folders by a hash of the key; a micro-batch rewrites those that it touches.
+
+    Each touched folder's rows go to a new version of it, so a repeated batch reads what it read before and writes the
+    same. latest_table reads the newest version of every folder. Versions begin after the highest one that is there, so
+    an empty checkpoint over an existing table merges into it.
+    """
     from ..operators.windows import latest_effective
 
+    spark = stream.sparkSession
+    base = _highest(spark, folder)
+
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{folder}/version={number - 1:06d}").unionByName(batch)
-        latest_effective(rows, keys, newest, *[c for c in batch.columns if c not in (*keys, newest)]).write.mode("overwrite").parquet(f"{folder}/version={number:06d}")
+        own = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        version = base + 1 + number
+        before = _newest_versions(batch.sparkSession, folder, version)
+        rows = own
+        if before is not None:
+            # at most `buckets` numbers
+            touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]
+            rows = before.filter(F.col("bucket").isin(touched)).drop("version").unionByName(own)
+        ties = [c for c in batch.columns if c not in (*keys, newest)]
+        latest = latest_effective(rows, keys, newest, *ties).withColumn("version", F.lit(version))
+        latest.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(folder)
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+
+
+def _read(spark: SparkSession, folder: str) -> DataFrame | None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at) or not any(f.getPath().getName().startswith("version=") for f in store.listStatus(at)):
+        return None
+    return spark.read.parquet(folder)
+
+
+def _highest(spark: SparkSession, folder: str) -> int:
+    known = _read(spark, folder)
+    return -1 if known is None else known.agg(F.max("version")).first()[0] or 0
+
+
+def _newest_versions(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
+    """The rows of each bucket's newest version (below a number); which one that is, is read off the folders' names."""
+    known = _read(spark, folder)
+    if known is None:
+        return None
+    if below is not None:
+        known = known.filter(F.col("version") < below)
+    newest = known.groupBy("bucket").agg(F.max("version").alias("version"))
+    return known.join(F.broadcast(newest), ["bucket", "version"], "left_semi")  # one row a bucket
+
+
+def latest_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that merged_latest keeps."""
+    return _newest_versions(spark, folder).drop("bucket", "version")

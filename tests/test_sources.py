@@ -102,5 +102,4 @@ def test_stream_equals_batch(spark, tmp_path):
     done = spark.read.schema(batch.schema).parquet(f"{tmp_path}/out")
     assert done.exceptAll(batch).count() == 0
     traces.merged_latest(traces.event_stream(spark, f"{tmp_path}/in", e.schema.simpleString()[7:-1].replace(":", " ")), ["user_id"], "ts", f"{tmp_path}/m", f"{tmp_path}/mc")
-    last = sorted((tmp_path / "m").iterdir())[-1]
-    assert spark.read.parquet(str(last)).count() == e.select("user_id").distinct().count()
+    assert traces.latest_table(spark, f"{tmp_path}/m").count() == e.select("user_id").distinct().count()
