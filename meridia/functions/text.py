@@ -145,3 +145,21 @@ def quarter_in(c: str | Column) -> Column:
     named = F.regexp_extract(col(c), "[Qq]([1-4])", 1).try_cast("int")
     letter = F.upper(F.regexp_extract(col(c), "\\d{2}([A-Da-d])(?![A-Za-z])", 1))
     return F.coalesce(named, F.when(letter != "", F.ascii(letter) - 64))
+
+
+def record_id(df, columns: list[str]) -> Column:
+    """The first 16 hex digits of the MD5 of a record's columns as JSON, in order of their names; nulls are left out."""
+    return F.substring(F.md5(F.to_json(F.struct(*sorted(columns)))), 1, 16)
+
+
+#: Canonical column names and the names that the outside uses for them.
+API_NAMES = {"rvu_work": "work_rvu", "rvu_pe_nonfac": "pe_nonfac_rvu", "rvu_pe_fac": "pe_fac_rvu", "rvu_malp": "mp_rvu", "gpci_mp": "malp_gpci", "gpci_work": "work_gpci", "gpci_pe": "pe_gpci"}
+
+
+def to_api(df, names: dict[str, str] | None = None):
+    """A table under outside names; names that it lacks are ignored."""
+    return df.withColumnsRenamed(names or API_NAMES)
+
+
+def from_api(df, names: dict[str, str] | None = None):
+    return df.withColumnsRenamed({b: a for a, b in (names or API_NAMES).items()})

@@ -51,6 +51,27 @@ def out_of_band(df: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFra
     return df.agg(*aggs).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_lo").cast("double").alias("least"), F.col(f"{c}_hi").cast("double").alias("most"), F.col(f"{c}_n").alias("n_out")) for c in bands])))
 
 
+def domain_violations(df: DataFrame, domains: dict[str, list]) -> DataFrame:
+    """column, n_out, n_null, n_distinct of columns against their domains (null is no violation), in one pass."""
+    aggs = [a for c, values in domains.items() for a in (F.count_if(~F.col(c).isin(*values)).alias(f"{c}_n"), F.count_if(F.isnull(c)).alias(f"{c}_0"), F.count_distinct(c).alias(f"{c}_d"))]
+    return df.agg(*aggs).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_n").alias("n_out"), F.col(f"{c}_0").alias("n_null"), F.col(f"{c}_d").alias("n_distinct")) for c in domains])))
+
+
+def cross_anomalies(items: DataFrame, indices: DataFrame, localities: DataFrame) -> DataFrame:
+    """kind, n: repeated locality-county groups, localities without a name or an index, and payable items without work."""
+    groups = localities.groupBy("mac", "locality_code", "county").count().filter("count > 1")
+    rows = [
+        groups.agg(F.lit("duplicate locality").alias("kind"), F.count("*").alias("n")),
+        localities.agg(F.lit("missing name").alias("kind"), F.count_if(F.coalesce(F.trim("locality_name"), F.lit("")) == "").alias("n")),
+        localities.select("locality_code").distinct().join(indices.select("locality_code").distinct(), "locality_code", "left_anti").agg(F.lit("missing index").alias("kind"), F.count("*").alias("n")),
+        items.agg(F.lit("payable without work").alias("kind"), F.count_if(F.col("status_code").isin("A", "R", "T") & F.col("rvu_work").isNull()).alias("n")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def ratio_violations(df: DataFrame, a: str, b: str, low: float = 0.5, high: float = 2.0) -> DataFrame:
     r = F.try_divide(F.col(a), F.col(b))
     return df.withColumn("ratio", r).filter((F.col("ratio") < low) | (F.col("ratio") > high))

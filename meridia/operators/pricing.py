@@ -174,8 +174,19 @@ TOTALS = ("allowed_cents", "beneficiary_deductible_cents", "beneficiary_coinsura
 
 
 def plan_totals(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of the lines' cents, which are already whole."""
-    return lines.groupBy(*keys).agg(F.count("*").alias("n_lines"), *[F.sum(c).alias(c) for c in TOTALS])
+    """Sums of the lines' cents, which are already whole; and whether any line is priced for its facility, where that is told."""
+    more = [F.coalesce(F.bool_or("facility_specific"), F.lit(False)).alias("facility_specific")] if "facility_specific" in lines.columns else []
+    return lines.groupBy(*keys).agg(F.count("*").alias("n_lines"), *[F.sum(c).alias(c) for c in TOTALS], *more)
+
+
+def price_single(spark, refs: dict[str, DataFrame], low, high, *, code: str, setting: str, locality, cbsa, rural_flag: str | None = None, pos: str = "11", units: float = 1.0, modifiers: list[str] | None = None) -> DataFrame:
+    """The one row of a single code; an unknown setting is an error."""
+    if setting not in SETTINGS:
+        raise ValueError(f"unknown setting {setting}")
+    row = [(1, setting, locality, cbsa, rural_flag, pos, float(units), 1.0, list(modifiers or []), True)]
+    kinds = {int: "int", str: "string"}
+    line = spark.createDataFrame(row, f"line_id int, setting string, locality {kinds[type(locality)]}, cbsa {kinds[type(cbsa)]}, rural_flag string, pos string, units double, utilization_weight double, modifiers array<string>, professional_component boolean")
+    return priced(line.withColumn("code", F.lit(code)), refs, low, high)
 
 
 def percent_change(a: Column, b: Column) -> Column:

@@ -196,6 +196,22 @@ def latency_profile(df: DataFrame, value: str, ok: Column) -> DataFrame:
     return df.agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, 0.95).alias("p95"), F.percentile(value, 0.99).alias("p99"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(ok.cast("int")).alias("success_rate"))
 
 
+def geography_health(geography: DataFrame, state: DataFrame, today, *, least_rows: int = 1, most_age_days: int = 120) -> DataFrame:
+    """One row: counts, the snapshot in force, how many days ago data began, and a status by what is missing."""
+    g = geography_stats(geography)
+    s = state.filter((F.col("dataset") == "geography") & (F.to_date("created_at") <= F.lit(today))).agg(F.max_by("name", "created_at").alias("active_snapshot"), F.count("*").alias("n_snapshots"))
+    out = g.crossJoin(s).withColumn("age_days", F.datediff(F.lit(today), F.col("first_day")))  # one row each
+    status = F.when(F.col("n_rows") < least_rows, "critical").when(F.col("active_snapshot").isNull() | (F.col("age_days") > most_age_days), "degraded").otherwise("healthy")
+    return out.withColumn("status", status)
+
+
+def manifest_history(manifests: DataFrame, dataset: str, n: int = 10) -> DataFrame:
+    """The newest n manifests of a data set with the change of rows against the one before."""
+    w = Window.partitionBy("dataset").orderBy("started_at", "release_id")
+    own = manifests.filter(F.col("dataset") == dataset).withColumn("row_change", F.col("n_rows") - F.lag("n_rows").over(w))
+    return recent(own, "started_at", n, "release_id")
+
+
 def newest_build(spark: SparkSession, builds: list[str]) -> DataFrame:
     """The Parquet table of the newest build folder, by name."""
     return spark.read.parquet(max(builds))

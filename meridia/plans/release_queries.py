@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import joined_hash
+from ..functions.text import joined_hash, record_id
 from ..operators import alerts as A
 from ..operators import enrichment as E
 from ..operators import ingest as I
@@ -327,3 +327,31 @@ def geography_stats(t: Tables) -> DataFrame:
 def missing_vintages(t: Tables) -> DataFrame:
     known = t.orders.select(F.year("o_orderdate").alias("year"), F.get(F.array(*map(F.lit, "ABCD")), F.quarter("o_orderdate") - 1).alias("quarter"))
     return I.missing_vintages(known, t.spark, 1992, 2002)
+
+
+@query("SELECT 'l_returnflag' AS \"column\", count(*) FILTER (l_returnflag NOT IN ('A', 'R')) AS n_out, 0 AS n_null, count(DISTINCT l_returnflag) AS n_distinct FROM lineitem UNION ALL SELECT 'l_linenumber', count(*) FILTER (l_linenumber NOT IN (1, 2, 3)), 0, count(DISTINCT l_linenumber) FROM lineitem")
+def domain_violations(t: Tables) -> DataFrame:
+    return O.domain_violations(t.lineitem, {"l_returnflag": ["A", "R"], "l_linenumber": [1, 2, 3]})
+
+
+@query(
+    f"""WITH {_ITEMS}, g AS (SELECT c_nationkey, c_mktsegment, c_custkey % 50 AS k FROM customer GROUP BY ALL HAVING count(*) > 1)
+SELECT 'duplicate locality' AS kind, (SELECT count(*) FROM g) AS n UNION ALL SELECT 'missing name', (SELECT count(*) FROM customer WHERE c_custkey % 11 = 0) UNION ALL SELECT 'missing index', (SELECT count(DISTINCT c_mktsegment) - 2 FROM customer)
+UNION ALL SELECT 'payable without work', (SELECT count(*) FROM i WHERE status_code IN ('A', 'R', 'T') AND work IS NULL)"""
+)
+def cross_anomalies(t: Tables) -> DataFrame:
+    places = t.customer.select(F.col("c_nationkey").alias("mac"), F.col("c_mktsegment").alias("locality_code"), (F.col("c_custkey") % 50).alias("county"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_name")).alias("locality_name"))
+    indices = t.spark.createDataFrame([("BUILDING",), ("MACHINERY",), ("none",)], "locality_code string")
+    return O.cross_anomalies(items(t), indices, places)
+
+
+@query("SELECT count(*) FILTER (p_size <= 20) AS n_kept, count(*) FILTER (p_size > 20 AND p_size <= 40) AS n_replaced, count(*) FILTER (p_size > 40) AS n_added, 'p_partkey' AS natural_keys, 'merge' AS strategy FROM part")
+def upsert_manifest(t: Tables) -> DataFrame:
+    from ..sources.sinks import upsert_manifest as manifest
+
+    return manifest(t.part.filter("p_size <= 40"), t.part.filter("p_size > 20"), ["p_partkey"])
+
+
+@query("SELECT p_partkey, substr(md5('{\"p_brand\":\"' || p_brand || '\",\"p_partkey\":' || p_partkey || '}'), 1, 16) AS record_id FROM part")
+def record_ids(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", record_id(t.part, ["p_partkey", "p_brand"]).alias("record_id"))

@@ -48,6 +48,10 @@ GPCI = Contract("gpci", (_f("mac", 0, 5), _f("state", 16, 18), _f("locality_code
 LOCALITY = Contract("locality", (_f("mac", 0, 12), _f("locality_code", 12, 18), _f("state_name", 18, 50), _f("fee_area", 50, 120), _f("county_names", 120, 1000)), ("mac", "locality_code"), 20)
 ZIP9 = Contract("zip9", (_f("state", 0, 2), _f("zip5", 2, 7), _f("carrier", 7, 12), _f("locality", 12, 14), _f("rural_flag", 14, 15), _f("plus4_flag", 20, 21), _f("plus4", 21, 25)), ("zip9_low", "zip9_high", "effective_from"), 25)
 CONVERSION_FACTOR = Contract("conversion_factor", (Field("cf_type"), Field("cf_value", kind="double", places=4), Field("cf_description"), Field("effective_from", kind="date"), Field("effective_to", kind="date")), ("cf_type", "effective_from"), domains={"cf_type": ("physician", "anesthesia")})
+ADDENDUM_A = Contract("addendum_a", (Field("apc"), Field("group_title"), Field("status_indicator"), Field("relative_weight", kind="double", places=4), Field("rate", kind="double", places=2)), ("apc", "effective_from"), domains={"status_indicator": tuple("ABCDEFGHJKLMNPQRSTUVWXYZ")})
+ADDENDUM_B = Contract("addendum_b", (Field("hcpcs"), Field("modifier"), Field("short_descriptor"), Field("status_indicator"), Field("apc"), Field("relative_weight", kind="double", places=4), Field("rate", kind="double", places=2)), ("hcpcs", "modifier", "effective_from"))
+#: Header names of the addenda and the columns they mean.
+ADDENDUM_NAMES = {"hcpcs_code": "hcpcs", "si": "status_indicator", "payment_rate": "rate", "apc_code": "apc"}
 
 LAYOUTS: dict[tuple[str, str], Contract] = {("pprrvu", "2025"): RVU, ("gpci", "2025"): GPCI, ("locality", "2025"): LOCALITY, ("zip9", "2025"): ZIP9}
 
@@ -55,6 +59,11 @@ LAYOUTS: dict[tuple[str, str], Contract] = {("pprrvu", "2025"): RVU, ("gpci", "2
 ROUTES = (("pprrvu", r"pprrvu"), ("gpci", r"gpci"), ("oppscap", r"oppscap"), ("anes", r"anes"), ("locality", r"\d\dlocco|locco|locality"), ("conversion_factor", r"(?:cf|conversion)[_-]?"), ("zip9", r"zip9"), ("zip_locality", r"zip5|zplc"), ("addendum_a", r".*addendum[_ -]?a"), ("addendum_b", r".*addendum[_ -]?b"))
 
 
+def precisions(contract: Contract, default: int = 6) -> dict[str, int]:
+    """Decimals of each number of a contract, for its content hash."""
+    return {f.name: default if f.places is None else f.places for f in contract.fields if f.kind == "double"}
+
+
 def layout(dataset: str, year: int, quarter: str | None = None) -> Contract | None:
     """The layout of a quarter, or else that of the whole year."""
     return LAYOUTS.get((dataset, f"{year}{quarter}")) or LAYOUTS.get((dataset, str(year)))

@@ -167,6 +167,21 @@ def routed(name: Column) -> Column:
     return F.coalesce(*[F.when(plain.rlike(f"^(?:{p})"), F.lit(d)) for d, p in ROUTES])
 
 
+def addendum(lines: DataFrame, which: str) -> DataFrame:
+    """Rows of addendum a or b from delimited lines, by their header names; the columns of the contract are there even for no rows."""
+    from .layouts import ADDENDUM_A, ADDENDUM_B, ADDENDUM_NAMES
+
+    contract, word = (ADDENDUM_A, "apc") if which == "a" else (ADDENDUM_B, "hcpcs")
+    return delimited(lines, contract, aliases=ADDENDUM_NAMES, header_words=(word,))
+
+
+def routing_coverage(names: DataFrame, name: str) -> DataFrame:
+    """Files, files with a data set, and their share; and how many files each data set has, as a map."""
+    to = names.select(routed(F.col(name)).alias("dataset"))
+    by = to.groupBy("dataset").agg(F.count("*").alias("n"))
+    return by.agg(F.sum("n").alias("n_files"), F.coalesce(F.sum(F.when(F.col("dataset").isNotNull(), F.col("n"))), F.lit(0)).alias("n_routed"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("dataset").isNotNull(), F.struct("dataset", "n"))))).alias("by_dataset")).withColumn("share", F.coalesce(F.try_divide("n_routed", "n_files"), F.lit(0.0)))
+
+
 def zip9_ranges(lines: DataFrame, contract: Contract) -> DataFrame:
     """Single-code ranges of the ZIP9 file: flagged lines with a real +4."""
     rows = fixed_width(lines, contract)

@@ -25,6 +25,11 @@ def run_once(stream: DataFrame, folder: str, checkpoint: str, mode: str = "appen
     q.awaitTermination()
 
 
+def run_polling(stream: DataFrame, folder: str, checkpoint: str, every: str = "60 seconds"):
+    """Look for new files at fixed times until stopped; returns the query (stop() ends it, and a restart goes on where it was)."""
+    return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).format("parquet").start(folder)
+
+
 def merged_latest(stream: DataFrame, keys: list[str], newest: str, folder: str, checkpoint: str, *, buckets: int = 64) -> None:
     """Keep the newest row of each key. The table lies in folders by a hash of the key; a micro-batch rewrites those that it touches.
 

@@ -174,7 +174,7 @@ def test_cascade_strict(spark):
 def test_rules_pass_and_fail(spark):
     rvu = spark.createDataFrame([("99213", "A", 1.0, 1.0, 1.0, 0.1, "0", "XXX", "01"), ("9921", "N", 1.0, 1.0, 0.0, 0.0, "1", "abc", ""), ("99214", None, -1.0, 0.0, 0.0, 0.0, "0", "000", None)], "hcpcs string, status_code string, work_rvu double, pe_rvu_nonfac double, pe_rvu_fac double, mp_rvu double, na_indicator string, global_days string, physician_supervision string")
     failed = {r["rule"]: r["n_failed"] for r in Q.checked(rvu, Q.rvu_rules()).collect()}
-    assert failed == {"hcpcs_length": 1, "hcpcs_format": 1, "status_present": 1, "status_domain": 0, "not_payable_without_rvu": 1, "na_means_no_nonfacility": 1, "global_days_domain": 1, "rvu_not_negative": 1, "rvu_range": 0}
+    assert failed == {"hcpcs_length": 1, "hcpcs_format": 1, "status_present": 1, "status_domain": 0, "not_payable_without_rvu": 1, "na_means_no_nonfacility": 1, "global_days_domain": 1, "supervision_domain": 0, "rvu_not_negative": 1, "rvu_range": 0}
     z = spark.createDataFrame([("902100000", "902109999", "CA", "01", "A", "v", dt.date(2024, 1, 1), None), ("90210", "902119999", "XX", "1", "Q", None, dt.date(2024, 2, 1), dt.date(2024, 1, 1))], "zip9_low string, zip9_high string, state string, locality string, rural_flag string, vintage string, effective_from date, effective_to date")
     assert {r["rule"]: r["n_failed"] for r in Q.checked(z, Q.zip9_rules()).collect()} == {"zip9_digits": 1, "zip9_order": 0, "state_domain": 1, "locality_format": 1, "rural_flag": 1, "window_order": 1, "one_prefix": 1, "completeness": 1}
     assert Q.overall(Q.checked(z, Q.zip9_rules())).first()["valid"] is False

@@ -1,12 +1,13 @@
 """Edges of enrichment rules, ingest chains, releases, alerts and readers; the usual cases are in the queries' SQL."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from meridia.operators import alerts, enrichment, geo, ingest, pricing, quality, releases, rvu, windows
-from meridia.sources import layouts, readers
+from meridia.sources import layouts, readers, sinks
 from meridia.streaming import traces
 
 
@@ -183,3 +184,45 @@ def test_merging_begins_after_what_is_there(spark, tmp_path):
     put("two", [(1, 2, "new"), (2, 0, "old"), (4, 1, "d")])
     merge("two")  # an empty checkpoint over a table that is there
     assert sorted(tuple(r) for r in traces.latest_table(spark, f"{tmp_path}/t").collect()) == [(1, 2, "new"), (2, 1, "b"), (3, 1, "c"), (4, 1, "d")]
+
+
+def test_builds_quarantine_and_cache(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    files = sinks.publish_build({"t": df}, str(tmp_path), "b1").collect()
+    assert files and all(len(r["sha256"]) == 64 and r["table"] == "t" for r in files) and spark.read.parquet(f"{tmp_path}/build_id=b1/t").count() == 2
+    assert releases.newest_build(spark, [f"{tmp_path}/build_id=b0/t", f"{tmp_path}/build_id=b1/t"]).count() == 2
+    at = dt.datetime(2025, 1, 1)
+    for i, when in enumerate((at, dt.datetime(2025, 2, 1))):
+        sinks.quarantine(df.withColumns({"reject_rule": F.lit("bad"), "reject_severity": F.lit("error")}), f"{tmp_path}/q", release=f"r{i}", dataset="d", at=when)
+    assert sorted((r["release_id"], r["n"]) for r in sinks.quarantine_stats(spark.read.parquet(f"{tmp_path}/q")).collect()) == [("r0", 2), ("r1", 2)]
+    kept = sinks.quarantine_cleanup(spark, f"{tmp_path}/q", dt.datetime(2025, 1, 15), 1)
+    assert {r["release_id"] for r in spark.read.parquet(kept).collect()} == {"r1"}
+    now = dt.datetime.now()
+    assert sinks.cached(df, f"{tmp_path}/cache", "d1", now, 60).count() == 2
+    assert sinks.cached(df.limit(1), f"{tmp_path}/cache", "d1", now, 60).count() == 2
+    assert sinks.cached(df.limit(1), f"{tmp_path}/cache", "d1", now + dt.timedelta(hours=1), 60).count() == 1
+    assert json.loads(sinks.contract_json(df, "t", ["k"]))["natural_keys"] == ["k"]
+
+
+def test_addenda_and_routes(spark):
+    lines = spark.createDataFrame([("b.csv", "", 0, "Addendum B"), ("b.csv", "", 1, "HCPCS Code,SI,APC,Payment Rate"), ("b.csv", "", 2, '99213,S,0001,"1,234.50"')], "path string, member string, line_no long, line string")
+    row = readers.addendum(lines, "b").first()
+    assert (row["hcpcs"], row["status_indicator"], row["apc"], row["modifier"]) == ("99213", "S", "0001", None)
+    assert readers.addendum(lines.limit(0), "a").count() == 0 and "relative_weight" in readers.addendum(lines, "a").columns
+    r = readers.routing_coverage(spark.createDataFrame([("GPCI25.txt",), ("pprrvu.csv",), ("x.md",), ("gpci.csv",)], "n string"), "n").first()
+    assert (r["n_files"], r["n_routed"], r["share"], r["by_dataset"]) == (4, 3, 0.75, {"gpci": 2, "pprrvu": 1})
+    assert layouts.precisions(layouts.GPCI)["gpci_work"] == 3
+
+
+def test_single_prices_and_health(spark):
+    day = dt.date(2025, 1, 1)
+    clfs = spark.createDataFrame([("80053", 10.0, day, None)], "code string, fee double, effective_from date, effective_to date")
+    got = pricing.price_single(spark, {"clfs": clfs}, day, day, code="80053", setting="CLFS", locality="01", cbsa="x", modifiers=["-50"]).first()
+    assert got["allowed_cents"] == 1500
+    with pytest.raises(ValueError):
+        pricing.price_single(spark, {"clfs": clfs}, day, day, code="80053", setting="X", locality="01", cbsa="x")
+    geography = spark.createDataFrame([("90210", "CA", day, None)], "zip5 string, state string, effective_from date, effective_to date")
+    state = spark.createDataFrame([("s1", "geography", "d", dt.datetime(2025, 1, 2), [], "created")], releases.SNAPSHOT_DDL)
+    assert releases.geography_health(geography, state, dt.date(2025, 2, 1)).first()["status"] == "healthy"
+    assert releases.geography_health(geography, state, dt.date(2024, 12, 1)).first()["status"] == "degraded"
+    assert releases.geography_health(geography.limit(0), state, day).first()["status"] == "critical"
