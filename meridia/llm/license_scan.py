@@ -41,6 +41,33 @@ TEMPLATES = {
     "cc-by-sa-4.0": "licensed under cc by sa 4.0",
     "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "all-rights-reserved": "all rights reserved",
+    "mit-license": """
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+        "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+        the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions
+        of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS
+        BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc-license": """
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS
+        ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE
+        AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA
+        OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause": """
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT
+        HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+        FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+        WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+        EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
 
@@ -71,6 +98,11 @@ def templates_of(templates: dict[str, str], phrases: dict[str, str], containment
     return [t for t in out if t.words]
 
 
+def step_of(known: list[Template], step: int | None) -> int:
+    """How many words a block steps: at least as many as the longest template has, so that a word stands in two blocks at most."""
+    return step or max([64, *(len(t.words) for t in known)])
+
+
 def word_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
     """Documents that hold each vocabulary word; at most as many rows as template words come to the driver."""
     shared = F.array_intersect(words_of(F.col(text_col)), F.array(*map(F.lit, vocabulary)))
@@ -78,13 +110,14 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "te
     return {w: n for w, n in rows}
 
 
-def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, containment: float = 0.9, step: int = 64) -> DataFrame:
+def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, containment: float = 0.9, step: int | None = None) -> DataFrame:
     """One row per document and matching (block, template), and one without a label for each document.
 
     Columns: _row, doc_id, n_words, label, phrase (boolean), begin (first word of the block), overlap (of distinct
     words), n_template, places (word positions of a phrase, else null).
     """
     known = templates_of(TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases, containment)
+    step = step_of(known, step)
     vocabulary = sorted({w for t in known for w in t.words}) or [""]
     seen = word_frequencies(docs, vocabulary, text_col)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}

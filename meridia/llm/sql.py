@@ -12,9 +12,10 @@ def _list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-def license_sql(*, containment: float = 0.9, step: int = 64) -> str:
+def license_sql(*, containment: float = 0.9) -> str:
     """Every block against every template by plain intersection, every phrase at every place."""
     known = license_scan.templates_of(license_scan.TEMPLATES, license_scan.PHRASES, containment)
+    step = license_scan.step_of(known, None)
     block = step + max(len(t.words) for t in known)
     notices = ", ".join(f"('{t.label}', {_list(sorted(set(t.words)))}, {license_scan.words_needed(t)})" for t in known if not t.phrase)
     phrases = ", ".join(f"('{t.label}', {_list(t.words)})" for t in known if t.phrase)

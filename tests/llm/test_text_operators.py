@@ -141,6 +141,16 @@ def test_license_phrases_equal_a_search(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_whole_license_texts_are_met(spark):
+    rng = random.Random(2)
+    words = " ".join(license_scan.TEMPLATES["mit-license"].split())
+    broken = " ".join(w for w in words.split() if rng.random() > 0.03)
+    half = " ".join(words.split()[: len(words.split()) // 2])
+    rows = [(1, "x " * 500 + words + " y" * 300), (2, broken), (3, half), (4, "z " * 199 + words)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.license_report(table(spark, rows)).collect()}
+    assert all("mit-license" in got[i] for i in (1, 2, 4)) and "mit-license" not in got[3]
+
+
 def test_license_matches_equal_containment(spark):
     rng = random.Random(1)
     templates = {f"t{i}": " ".join(rng.choices("abcdefghij", k=rng.randint(1, 8))) for i in range(12)}

@@ -81,6 +81,39 @@ def test_packing_keeps_binding_capacities(spark, rule):
         assert len(own) > -(-got.length.sum() // 4096) + 1  # more sequences than tokens alone need
 
 
+def plain_best_fit(lengths, caps, weights, rule):
+    """Every open sequence is tried in order; the first of the best takes the piece."""
+    left, bins = [], []
+    for t in lengths:
+        need, best = (t, 1, t * t), None
+        for i, own in enumerate(left):
+            if all(a >= b for a, b in zip(own, need)):
+                rest = [(a - b) / c for a, b, c in zip(own, need, caps)]
+                worth = sum(w * r * r for w, r in zip(weights, rest)) if rule == "norm" else -sum(w * a / c * b / c for w, a, b, c in zip(weights, own, need, caps))
+                if best is None or worth < best[0] - 1e-12:
+                    best = (worth, i)
+        if best is None:
+            left.append(list(caps))
+            best = (0, len(left) - 1)
+        left[best[1]] = [a - b for a, b in zip(left[best[1]], need)]
+        bins.append(best[1])
+    return bins, left
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("caps", [(100, 100, 10_000), (100, 4, 10_000), (100, 100, 3_700), (100, 5, 4_000)])
+def test_bins_are_those_of_a_plain_best_fit(rule, caps):
+    """The same number of sequences, each step as good: ties may go to another sequence of equal residuals, so residuals are compared."""
+    lengths = sorted(random.Random(caps[1]).choices(range(1, 60), k=300), reverse=True)
+    weights = (1.0, 0.7, 0.4)
+    _, left = plain_best_fit(lengths, caps, weights, rule)
+    bins, _ = packing.vector_best_fit(np.array(lengths), caps, weights, rule)
+    got = [[caps[0], caps[1], caps[2]] for _ in range(max(bins) + 1)]
+    for b, t in zip(bins.tolist(), lengths):
+        got[b] = [a - x for a, x in zip(got[b], (t, 1, t * t))]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, left))
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(rule):
     lengths = np.array(sorted(random.Random(1).choices(range(1, 60), k=400), reverse=True))
@@ -149,6 +182,40 @@ def test_languages_are_told_apart(spark):
     assert language_id.predicted(table(spark, []), model).count() == 0
 
 
+def plain_vector(text, idf):
+    """TF-IDF of hashed bigrams and trigrams, one n-gram at a time."""
+    m = [(b | 0x20 if b < 0x80 else b) if b >= 0x80 or chr(b).isalpha() else 0x20 for b in text.encode()]
+    counts = {}
+    for i in range(len(m) - 1):
+        two = ((m[i] * 0x9E3779B1 % 2**32) ^ (m[i + 1] * 0x85EBCA6B % 2**32)) * 0x2C1B3C6D % 2**32
+        counts[two >> 20] = counts.get(two >> 20, 0) + 1
+        if i + 2 < len(m):
+            three = (two ^ (m[i + 2] * 0xC2B2AE35 % 2**32)) * 0x27D4EB2F % 2**32
+            counts[three >> 20] = counts.get(three >> 20, 0) + 1
+    v = {g: np.log1p(n) * float(idf[g]) for g, n in counts.items()}
+    norm = sum(x * x for x in v.values()) ** 0.5
+    return {g: x / norm for g, x in v.items()} if norm else {}
+
+
+def test_predictions_equal_a_plain_nearest_centroid(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fitted(docs.filter(~language_id.held_out("doc_id")), per_language=40)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    train = [r for r in docs.filter(~language_id.held_out("doc_id")).collect() if r["lang"] and language_id.has_letter(r["text"])]
+    df = np.zeros(language_id.DIMENSIONS)
+    for r in train:
+        df[list(plain_vector(r["text"], np.ones(language_id.DIMENSIONS)))] += 1
+    assert np.allclose(model.idf, np.log((1 + len(train)) / (1 + df)) + 0.05, atol=1e-5)
+    for r in language_id.predicted(docs, model).collect():
+        v = plain_vector(texts[r["doc_id"]] or "", model.idf)
+        cos = [sum(x * float(c[g]) for g, x in v.items()) for c in model.matrix]
+        if language_id.has_letter(texts[r["doc_id"]]):
+            best = max(cos)
+            assert abs(r["score"] - best) < 1e-4 and r["lang_pred"] in {model.languages[i] for i, x in enumerate(cos) if x > best - 1e-4}
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
 def test_random_letters_are_rejected_and_short_texts_are_not(spark):
     rng = random.Random(8)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
