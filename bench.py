@@ -6,7 +6,47 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ("plan_totals", "price_lines_by_setting", "compare_two_localities", "asof_containment", "asof_latest_price", "latest_effective_view", "nearest_in_state", "range_override_join", "resolution_cascade", "row_content_hash", "rule_results", "latency_p95_floor_index", "quarantine_summary", "dataset_digest_two_levels", "scrape_links")
+HEADLINE = ("plan_totals", "price_lines_by_setting", "price_lines_with_fees", "compare_two_localities", "asof_containment", "asof_latest_price", "latest_effective_view", "nearest_in_state", "range_override_join", "resolution_cascade", "row_content_hash", "rule_results", "latency_p95_floor_index", "quarantine_summary", "dataset_digest_two_levels", "scrape_links")
+
+
+def best_rate(df, rows: int) -> int:
+    """Rows a second of the better of two runs that compute all of df."""
+    best = float("inf")
+    for _ in range(2):
+        began = time.time()
+        df.write.format("noop").mode("overwrite").save()
+        best = min(best, time.time() - began)
+    return int(rows / best)
+
+
+def throughput(spark: SparkSession, folder: str, times: int = 10) -> dict[str, int]:
+    """Rates over many rows (the tables `times` over), so that the work shows and not the start of a job.
+
+    hashed: content hashes of six columns. parsed: fixed-width lines to checked, hashed rows with unique keys.
+    validated: two rules a row with a tag of the first that fails.
+    """
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from meridia.functions.text import row_hash
+    from meridia.operators import parsers, quality
+    from meridia.sources.layouts import RVU
+
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    n = lines.count()
+    hashed = lines.select(row_hash(lines, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "copy"], {"l_extendedprice": 2}))
+    rules = [quality.Rule("flag", quality.in_domain("l_returnflag", ["A", "R"])), quality.Rule("quantity", F.col("l_quantity").between(1, 45))]
+
+    values = {"hcpcs": F.lpad(F.conv((F.col("l_orderkey") % 1_000_000).cast("string"), 10, 36), 5, "0"), "modifier": F.lpad(F.col("copy").cast("string"), 2, "0"), "status_code": F.col("l_returnflag"), "rvu_work": F.lit("1.30"), "rvu_malp": F.lit("0.10"), "global_days": F.lit("XXX")}
+    pieces, at = [], 0
+    for f in sorted(RVU.fields, key=lambda f: f.start):
+        pieces += [F.lit(" " * (f.start - at)), F.rpad(values.get(f.name, F.lit("")), f.end - f.start, " ")]
+        at = f.end
+    texts = lines.filter("l_linenumber = 1").select(F.lit("f").alias("path"), F.lit("").alias("member"), F.col("l_orderkey").alias("line_no"), F.concat(*pieces, F.lit(" ")).alias("line"))
+    texts = texts.persist()
+    parsed = parsers.parse_rvu(texts, dt.date(2025, 1, 1)).rows
+    return {"hashed_rows_per_second": best_rate(hashed, n), "validated_rows_per_second": best_rate(quality.tagged(lines, rules), n), "parsed_rows_per_second": best_rate(parsed, texts.count())}
 
 
 def main() -> None:
@@ -27,7 +67,8 @@ def main() -> None:
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             best = min(best, time.time() - began)
         took[name] = round(best, 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": folder.rsplit("sf", 1)[-1]}))
+    rates = throughput(spark, folder)
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": folder.rsplit("sf", 1)[-1], "throughput": rates}))
     spark.stop()
 
 

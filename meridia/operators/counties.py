@@ -66,8 +66,8 @@ def matched(names: DataFrame, counties: DataFrame, aliases: DataFrame, *, fuzzy:
     """names (…, state_fips, key, fee_area) with county_fips and method: exact, alias, fuzzy, or a reject reason.
 
     counties: state_fips, county_key, county_fips, county_type. aliases: state_fips, alias_key, county_key.
-    Fuzzy matching meets names with counties of their state that share the first letter or have the same length
-    class, and needs a score of 0.95 and a lead of 0.02.
+    Fuzzy matching meets names with the counties of their state whose lengths allow the score (a state has at most some
+    hundreds of counties), and needs a score of 0.95 and a lead of 0.02.
     """
     hint = F.upper(F.coalesce("fee_area", F.lit(""))).contains("CITY")
     names = names.withColumn("_id", F.monotonically_increasing_id()) if "name_id" not in names.columns else names.withColumn("_id", F.col("name_id"))
@@ -80,7 +80,9 @@ def matched(names: DataFrame, counties: DataFrame, aliases: DataFrame, *, fuzzy:
     left = left.join(alias.select("_id"), "_id", "left_anti")
     found = exact.unionByName(alias)
     if fuzzy:
-        near = left.join(c.withColumnRenamed("key", "_to"), "state_fips").filter(2 * F.least(F.length("key"), F.length("_to")) >= FUZZY_LEAST * (F.length("key") + F.length("_to"))).withColumn("score", _ratio("key", "_to"))
+        near = left.join(c.withColumnRenamed("key", "_to"), "state_fips").filter(2 * F.least(F.length("key"), F.length("_to")) >= FUZZY_LEAST * (F.length("key") + F.length("_to")))
+        # each pair of names is scored once, however many rows ask for it
+        near = near.join(near.select("key", "_to").distinct().withColumn("score", _ratio("key", "_to")), ["key", "_to"])
         w = Window.partitionBy("_id").orderBy(F.desc("score"), "county_fips")
         close = near.withColumn("_lead", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))).withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) & (F.col("score") >= FUZZY_LEAST) & (F.col("_lead") >= FUZZY_GAP))
         found = found.unionByName(close.withColumn("method", F.lit("fuzzy")).select(found.columns))
