@@ -39,12 +39,12 @@ def ordered(names: list[str], rows) -> list:
 
 
 def difference(df, sql: str, folder: str) -> str:
-    """'' if rows and column names agree."""
+    """'' if rows and column names agree and there are any: no rows on both sides prove nothing."""
     names, want = sql_rows(sql, folder)
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     a, b = ordered(df.columns, df.collect()), ordered(names, want)
     if a == b:
-        return ""
+        return "" if a else "no rows on either side"
     odd = next(((x, y) for x, y in zip(a, b) if x != y), None)
     return f"{len(a)} and {len(b)} rows; first difference {odd}"
