@@ -54,7 +54,7 @@ def _nearest(data: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(data[i : i + 8192] @ c.T - half, axis=1) for i in range(0, len(data), 8192)]) if len(data) else np.zeros(0, np.int64)
 
 
-def fitted(vectors: DataFrame, n: int, width: int, *, sample_rows: int = 32_768, list_sample: int = 16, n_parts: int = 16, codewords: int = 64, rounds: int = 8, target: float = 0.95, k: int = 20) -> Index:
+def fitted(vectors: DataFrame, n: int, width: int, *, sample_rows: int = 32_768, list_sample: int = 16, n_parts: int = 16, codewords: int = 64, rounds: int = 8, target: float = 0.97, k: int = 20) -> Index:
     """Fit on about sample_rows vectors (by a hash of vec_id), in lists of at least list_sample of them.
 
     How many lists to probe is measured: enough for the share `target` of the k nearest sample vectors of sample
@@ -185,7 +185,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def nearest(embeddings: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 200, cell_rows: int = 8_000, cell_queries: int = 1_000) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, *, k: int = 20, rerank: int = 400, cell_rows: int = 8_000, cell_queries: int = 1_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row."""
     small_batches(embeddings.sparkSession)
     spark, vectors = embeddings.sparkSession, usable(embeddings)
