@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, edit_counts, language_id, license_scan, line_dedup, near_dedup, packing, page_text, sql, token_files, vector_search
+from . import collocation_queries, decontaminate, edit_counts, language_id, license_scan, line_dedup, near_dedup, packing, page_text, periodic_queries, sql, token_files, url_queries, vector_search
 from .shared import written
 
 
@@ -73,19 +73,34 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_queries.op11_periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_queries.op12_url_filter(table(spark, sf_dir, "pages"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation_queries.op13_collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_decontamination, op4_token_files, op5_near_dedup, op6_token_counts, op7_language_id, op8_best_fit_packing, op9_nearest_neighbours, op10_html_extraction, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_decontamination, op4_token_files, op5_near_dedup, op6_token_counts, op7_language_id, op8_best_fit_packing, op9_nearest_neighbours, op10_html_extraction, op11_periodic_runs, op12_url_filter, op13_collocations, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": sql.license_sql(),
     "op2_line_dedup": sql.line_sql(),
+    "op11_periodic_runs": periodic_queries.ORACLE,
+    "op12_url_filter": url_queries.ORACLE,
+    "op13_collocations": collocation_queries.ORACLE,
     "op3_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
