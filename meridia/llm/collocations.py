@@ -6,8 +6,9 @@ f of at least `least` are candidates. Cut after its first k words, a candidate s
 f(rest))); its lowest cut counts (of equal ones the smallest k). A candidate inside a longer one that has at least
 `percent` of its count is dropped; as counts only fall when a phrase grows, it is enough to look at those one word longer.
 
-Counting: a first pass counts words. Phrases whose words are all frequent are counted in a second one, batch by batch
-before anything is shuffled; a bitmap of bounded size tells the frequent words (a false hit costs time and changes
+Counting: a first pass counts words. A second one counts hashes of pairs of frequent words: a hash that several pairs
+share only counts higher. A third one counts phrases all of whose pairs may be frequent, by their words, batch by batch
+before anything is shuffled. Bitmaps of bounded size tell frequent words and pairs (a false hit costs time and changes
 nothing). Phrases below `least` are then left out: no part of a candidate is among them.
 
 Estimation: the remaining counts are one stream in prefix order, as arrays of words. There, the parts of a phrase come
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .shared import Bitmap, bitmap, dropped, frugal, parts, small_batches, text_bytes, written
 
-#: Bits of the largest bitmap of frequent words: 16 MB.
+#: Bits of the largest bitmap of frequent words or pairs: 16 MB.
 WORD_BITS = 27
 _BYTES = np.arange(256)
 BREAKS = np.isin(_BYTES, [ord(c) for c in ".,;:!?"]) | ((_BYTES >= 0x0A) & (_BYTES <= 0x0D))
@@ -68,15 +69,20 @@ class Pieces:
         self.text = W.LOWER[data[np.minimum(at, max(0, len(data) - 1))]] if len(at) else np.zeros(0, np.uint8)
         self.text[self.end - 1] = 0x20
 
+    def keys(self, first: np.ndarray, n: int) -> np.ndarray:
+        """A hash of the n words from each of the words `first` on."""
+        key = self.key[first]
+        for j in range(1, n):
+            key = W.mixed(key * np.uint64(0x9E3779B97F4A7C15) + self.key[first + j])
+        return key
+
     def counted(self, first: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
         """Counts of the phrases of n words that start at the words `first`, a million at a time."""
         for lo in range(0, len(first), 1_000_000):
             yield self._counted(first[lo : lo + 1_000_000], n)
 
     def _counted(self, first: np.ndarray, n: int) -> pa.RecordBatch:
-        key = self.key[first]
-        for j in range(1, n):
-            key = W.mixed(key * np.uint64(0x9E3779B97F4A7C15) + self.key[first + j])
+        key = self.keys(first, n)
         _, one, count = np.unique(key, return_index=True, return_counts=True)
         a, b = self.start[first[one]], self.end[first[one] + n - 1] - 1
         size = b - a
@@ -95,6 +101,21 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from p.counted(np.arange(len(p.key)), 1)
 
 
+def _pairs(shared):
+    @frugal
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent: Bitmap = shared.value
+        for whole in batches:
+            for batch in parts(whole, "text"):
+                p = Pieces(batch)
+                kept = frequent.has(p.key.view(np.int64))
+                first = np.flatnonzero(kept & p.next)
+                key, n = np.unique(p.keys(first[kept[first + 1]], 2), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    return pairs
+
+
 def _phrases(shared, longest: int):
     @frugal
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,29 +123,36 @@ def _phrases(shared, longest: int):
         for whole in batches:
             for batch in parts(whole, "text"):
                 p = Pieces(batch)
-                kept = frequent.has(p.key.view(np.int64))
-                first = np.flatnonzero(kept)
+                pair = np.zeros(len(p.key), bool)
+                first = np.flatnonzero(p.next)
+                pair[first] = frequent.has(p.keys(first, 2).view(np.int64))
+                first = np.flatnonzero(pair)
                 for n in range(2, longest + 1):
-                    # the phrase one shorter goes on to a frequent word of its piece
-                    first = first[p.next[first + n - 2]]
-                    first = first[kept[first + n - 1]]
+                    first = first[pair[first + n - 2]]
                     yield from p.counted(first, n)
 
     return phrases
 
 
+def _bitmap(frequent: DataFrame) -> Bitmap:
+    return bitmap(frequent, "key", min(WORD_BITS, max(16, (16 * frequent.count()).bit_length())))
+
+
 def counts(docs: DataFrame, *, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): lang, phrase, words, f of all phrases with f of at least `least`; lang, n of all words."""
     small_batches(docs.sparkSession)
+    share = docs.sparkSession.sparkContext.broadcast
     read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = written(read.mapInArrow(_words, _COUNTS_DDL).groupBy("lang", "phrase").agg(F.first("key").alias("key"), F.sum("n").alias("f")), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.filter(F.col("f") >= least)
-    bits = min(WORD_BITS, max(16, (16 * frequent.count()).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(frequent, "key", bits))
-    longer = read.mapInArrow(_phrases(shared, longest), _COUNTS_DDL).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    pairs = read.mapInArrow(_pairs(share(_bitmap(frequent))), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = written(pairs.filter(F.col("n") >= least).select("key"), "pairs")
+    longer = read.mapInArrow(_phrases(share(_bitmap(pairs)), longest), _COUNTS_DDL).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     all_of = frequent.select("lang", "phrase", "f").unionByName(longer)
-    return written(all_of.withColumn("words", F.split("phrase", " ")), "phrases"), totals
+    phrases = written(all_of.withColumn("words", F.split("phrase", " ")), "phrases")
+    dropped(pairs)
+    return phrases, totals
 
 
 def walked(stream: DataFrame, order: str, name: str, longest: int) -> DataFrame:
