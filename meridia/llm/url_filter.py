@@ -92,8 +92,8 @@ class Bloom:
         self.n_blocks = min(most, max(1, -(-n_keys * bits_a_key // 64)))
         bits = keys.groupBy(_block(F.col("key"), self.n_blocks).alias("id")).agg(F.bit_or(_mask(F.col("key"))).alias("bits"))
         every = keys.sparkSession.range(self.n_blocks).join(bits, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-        # one array of n_blocks values, read once for all rows
-        self.blocks = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x.bits).alias("blocks")).scalar()
+        # one array of n_blocks values
+        self.blocks = written(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x.bits).alias("blocks")), "bloom").scalar()
 
     def may_have(self, key: Column) -> Column:
         mask = _mask(key)
