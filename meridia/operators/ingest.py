@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_key, county_key, strip, zero_pad
-from ..sources import sinks
+from ..sources import published, sinks
 from ..sources.layouts import ZIP9
 from ..sources.readers import routed, zip9_ranges
 from . import quality as Q
@@ -36,12 +36,18 @@ class PublishSpec:
     compression: str = "snappy"
 
 
+#: The views of a fee schedule and their keys.
+MPFS_KEYS = {
+    "mpfs_rvu": ("hcpcs", "modifier", "effective_from"), "mpfs_indicators_all": ("hcpcs", "modifier", "indicator", "effective_from"), "mpfs_locality": ("locality_code", "state_fips", "county_fips"),
+    "mpfs_gpci": ("locality_code", "effective_from"), "mpfs_cf_vintage": ("cf_type", "vintage_date", "effective_from"), "mpfs_link_keys": ("hcpcs", "modifier", "effective_from"),
+}
 #: The tables that are published, their partitions and keys.
 PUBLISH_SPECS = {
     s.table: s
     for s in (
         PublishSpec("cms_zip_locality", ("zip5",), ("state",)), PublishSpec("zip9_overrides", ("zip9_low", "zip9_high"), ("state",)), PublishSpec("zip_to_zcta", ("zip5",), ("state",)), PublishSpec("zcta_coords", ("zcta5",)),
         *(PublishSpec(name, keys) for name, keys in rvu.NATURAL_KEYS.items()),
+        *(PublishSpec(name, keys) for name, keys in MPFS_KEYS.items()),
         PublishSpec("opps_apc_payment", ("apc", "effective_from")), PublishSpec("opps_hcpcs_crosswalk", ("hcpcs", "modifier", "effective_from")), PublishSpec("opps_rates_enriched", ("apc", "cbsa", "effective_from")),
     )
 }
@@ -133,7 +139,16 @@ def zip_locality_table(raw: DataFrame, *, effective_from, effective_to, vintage:
     text = {"zip5": zero_pad(strip("zip5"), 5), "state": F.upper(strip("state")), "locality": zero_pad(strip("locality"), 2)}
     more = {"rural_flag": rvu.rural("rural_flag")} if "rural_flag" in rows.columns else {}
     rows = rows.withColumns({**text, **more, "effective_from": F.lit(effective_from), "effective_to": F.lit(effective_to).cast("date"), "vintage": F.lit(vintage)})
-    return Q.tagged(rows, [Q.Rule("zip5_format", F.coalesce(Q.matches("zip5", "[0-9]{5}"), F.lit(False)), "critical"), Q.Rule("state_codes", F.coalesce(Q.in_domain("state", Q.STATES), F.lit(False)), "critical"), Q.Rule("locality_format", F.coalesce(Q.matches("locality", "[0-9]+"), F.lit(False)), "critical")])
+    return Q.tagged(rows, zip_locality_rules())
+
+
+def zip_locality_rules() -> list[Q.Rule]:
+    given = lambda good: F.coalesce(good, F.lit(False))
+    return [
+        Q.Rule("zip5_format", given(Q.matches("zip5", "[0-9]{5}")), "critical"),
+        Q.Rule("state_codes", given(Q.in_domain("state", Q.STATES)), "critical"),
+        Q.Rule("locality_format", given(Q.matches("locality", "[0-9]+")), "critical"),
+    ]
 
 
 def reference_tables(states: DataFrame, counties: DataFrame, aliases: DataFrame) -> Tables:
@@ -191,42 +206,78 @@ def validated(tables: Tables, rules: dict[str, list[Q.Rule]]) -> DataFrame | Non
     return out
 
 
-def run_release(spark: SparkSession, spec: IngestSpec, tables: Tables, references: Tables, folder: str, *, release_id: str, batch_id: str, at, mode: str = "curated", strict: bool = True) -> dict:
-    """Validate, normalize, enrich and publish a release; returns the published paths, rule results and enrichment results.
+def _log(spark: SparkSession, folder: str, row: tuple) -> None:
+    sinks.append_log(spark.createDataFrame([row], "batch_id string, release_id string, dataset string, status string, at timestamp, message string"), f"{folder}/_runs")
+
+
+def _blocking(rules: list[Q.Rule]) -> list[Q.Rule]:
+    return [r for r in rules if r.severity in published.BLOCKING]
+
+
+def _enriched(rows: DataFrame, name: str, spec: IngestSpec, references: Tables, reports: dict) -> DataFrame:
+    if not (rules := spec.enrich.get(name)):
+        return rows
+    out = apply_rules(rows, references, rules)
+    reports[name] = rule_results(out, rules)
+    return without_flags(out, rules)
 
-    A failed critical rule blocks the release (strict) before anything is published; the run's log gets its start and its
-    end either way. mode inline computes the same without publishing.
+
+def run_release(spark: SparkSession, spec: IngestSpec, tables: Tables, references: Tables, folder: str, *, release_id: str, batch_id: str, at, mode: str = "curated", strict: bool = True, clock: Callable | None = None) -> dict:
+    """Normalize, split, validate, enrich and publish a release; returns its paths, rule and enrichment results and counts.
+
+    Rows are split once: each table is written with its good and its rejected rows apart, and all that follows reads what
+    was written. Rules of severity warning or info do not reject. A failed blocking rule stops a strict release; else its
+    good rows go on and its rejects are quarantined by reason. One commit publishes all tables of the release together;
+    a release that stops before it leaves the folder as it was, and what it had staged is deleted. The run's log gets its
+    start (at) and its end (by the clock; at, where none is given). mode inline computes the same and writes nothing.
     """
     if mode not in ("inline", "curated"):
         raise ValueError(f"mode must be inline or curated, not {mode}")
-    log = lambda status, message=None: sinks.append_log(spark.createDataFrame([(batch_id, release_id, spec.name, status, at, message)], "batch_id string, release_id string, dataset string, status string, at timestamp, message string"), f"{folder}/_runs") if mode == "curated" else None
-    log("started")
+    now = clock or (lambda: at)
     normal = spec.normalize(tables)
-    # one row a rule
-    results = [] if (checks := validated(normal, spec.rules)) is None else checks.collect()
-    bad = [r for r in results if not r["passed"] and r["severity"] in ("critical", "error", "block")]
-    if bad and strict:
-        log("failed", ", ".join(sorted(f"{r['dataset']}.{r['rule']}" for r in bad)))
-        raise ReleaseBlocked(spec.name, results)
-    enriched, reports = dict(normal), {}
-    for name, rules in spec.enrich.items():
-        if name in enriched:
-            rows = apply_rules(enriched[name], references, rules)
-            reports[name] = rule_results(rows, rules)
-            enriched[name] = without_flags(rows, rules)
-    paths = {}
-    if mode == "curated":
-        for name, p in spec.publish.items():
-            if name in enriched:
-                paths[name] = f"{folder}/{p.table}"
-                sinks.publish_snapshot(enriched[name], paths[name], list(p.partitions), vintage=at.date(), release=release_id, published_at=at, kind=p.kind, compression=p.compression)
-        log("success")
-    return {"tables": enriched, "paths": paths, "rules": results, "enrichment": reports, "valid": not bad}
+    tagged = {n: Q.tagged(df, own) if (own := _blocking(spec.rules.get(n, []))) else df.withColumns({"reject_rule": F.lit(None).cast("string"), "reject_severity": F.lit(None).cast("string")}) for n, df in normal.items()}
+    reports: dict[str, DataFrame] = {}
+    judge = lambda rows: [] if (checks := validated(rows, spec.rules)) is None else checks.collect()  # noqa: E731  # one row a rule
+    failed = lambda results: [r for r in results if not r["passed"] and r["severity"] in published.BLOCKING]
+    if mode == "inline":
+        results = judge(normal)
+        if (bad := failed(results)) and strict:
+            raise ReleaseBlocked(spec.name, results)
+        good = {n: df.filter("reject_rule is null").drop(*published.REJECT_COLUMNS) for n, df in tagged.items()}
+        return {"tables": {n: _enriched(df, n, spec, references, reports) for n, df in good.items()}, "paths": {}, "rules": results, "enrichment": reports, "valid": not bad, "commit": None}
+
+    _log(spark, folder, (batch_id, release_id, spec.name, "started", at, None))
+    stage = published.Stage(spark, folder, release_id, at, at.date())
+    try:
+        good, rejected, parts = {}, {}, {}
+        for name, df in tagged.items():
+            p = spec.publish.get(name)
+            parts[name] = list(p.partitions) if p else []
+            good[name], rejected[name] = stage.split(p.table if p else name, df, parts[name])
+        results = judge({n: good[n].unionByName(rejected[n].drop(*published.REJECT_COLUMNS)) for n in good})
+        if (bad := failed(results)) and strict:
+            raise ReleaseBlocked(spec.name, results)
+        for name in good:
+            p = spec.publish.get(name)
+            stage.reject(p.table if p else name, rejected[name])
+            if name in spec.enrich or (p and (p.kind != "parquet" or p.compression != "snappy")):
+                good[name] = stage.write(p.table if p else name, _enriched(good[name], name, spec, references, reports), parts[name], p.kind if p else "parquet", p.compression if p else "snappy")
+        for name in [t for t in stage.tables if t not in {p.table for p in spec.publish.values()}]:
+            del stage.tables[name]  # tables that are only steps on the way are not published
+        number = stage.commit()
+    except Exception as error:
+        stage.discard()
+        why = ", ".join(sorted(f"{r['dataset']}.{r['rule']}" for r in failed(error.results))) if isinstance(error, ReleaseBlocked) else f"{type(error).__name__}: {error}"[:2000]
+        _log(spark, folder, (batch_id, release_id, spec.name, "failed", now(), why))
+        raise
+    _log(spark, folder, (batch_id, release_id, spec.name, "success", now(), None))
+    paths = {n: f"{folder}/{stage.tables[p.table]['path']}" for n, p in spec.publish.items() if n in good}
+    return {"tables": good, "paths": paths, "rules": results, "enrichment": reports, "valid": not bad, "commit": number}
 
 
 def latest_view(spark: SparkSession, spec: PublishSpec, folder: str, today) -> DataFrame:
     """The newest row in force of each key of a published table."""
-    return latest_effective(spark.read.parquet(f"{folder}/{spec.table}"), list(spec.keys), spec.effective, "vintage_date", as_of=today)
+    return latest_effective(published.published(spark, folder, spec.table), list(spec.keys), spec.effective, "vintage_date", as_of=today)
 
 
 def missing_vintages(known: DataFrame, spark: SparkSession, first_year: int, last_year: int, letters: str = rvu.QUARTER_LETTERS) -> DataFrame:
@@ -245,5 +296,46 @@ def rvu_spec(*, release_id: str, batch_id: str, year: int, quarter: int | None =
     return IngestSpec("rvu", {d: rvu_ingest_rules(d) for d in rvu.COLUMN_MAPS}, lambda t: rvu_tables(t, release_id=release_id, batch_id=batch_id, year=year, quarter=quarter), enrich or {}, {d: PUBLISH_SPECS[d] for d in rvu.COLUMN_MAPS})
 
 
+def mpfs_spec(*, release_id: str, batch_id: str, year: int, quarter: int | None = None, enrich: dict[str, list[EnrichmentRule]] | None = None) -> IngestSpec:
+    """pprrvu, gpci, locco and cf (cf_type, cf_value, vintage_date, effective_from) to the six views of a fee schedule."""
+    rules = {"mpfs_rvu": rvu_ingest_rules("pprrvu"), "mpfs_gpci": rvu_ingest_rules("gpci"), "mpfs_locality": rvu_ingest_rules("locco"), "mpfs_cf_vintage": [Q.Rule("factor_range", F.coalesce((F.col("cf_value") > 0) & (F.col("cf_value") <= Q.FACTOR_MAX), F.lit(False)), "critical")]}
+
+    def normalize(t: Tables) -> Tables:
+        return mpfs_views(rvu_tables({d: t[d] for d in ("pprrvu", "gpci", "locco")}, release_id=release_id, batch_id=batch_id, year=year, quarter=quarter) | {"cf": t["cf"]})
+
+    return IngestSpec("mpfs", rules, normalize, enrich or {}, {n: PUBLISH_SPECS[n] for n in MPFS_KEYS})
+
+
+def opps_rules() -> dict[str, list[Q.Rule]]:
+    """The rules of both addenda and the rates: formats, known status indicators, and amounts inside their bands."""
+    apc = Q.Rule("apc_format", F.coalesce(Q.matches("apc", "[0-9]{4,5}"), F.lit(False)), "critical")
+    rate = Q.Rule("payment_rate_band", F.coalesce(F.col("rate").between(*Q.OPPS_BANDS["payment_rate_usd"]), F.lit(False)), "critical")
+    return {
+        "opps_apc_payment": [apc, rate],
+        "opps_hcpcs_crosswalk": [Q.Rule("hcpcs_format", F.coalesce(Q.matches("hcpcs", "[A-Z0-9]{5}"), F.lit(False)), "critical"), Q.Rule("status_indicator_domain", F.coalesce(F.substring("status_indicator", 1, 1).isin(*Q.STATUS_INDICATORS), F.lit(False)), "critical")],
+        "opps_rates_enriched": [apc, rate, Q.Rule("wage_index_band", F.col("wage_index").between(*Q.OPPS_BANDS["wage_index"]), "critical"), Q.Rule("adjusted_not_negative", F.col("wage_adjusted") >= 0, "critical")],
+    }
+
+
+def opps_spec(*, batch_id: str, enrich: dict[str, list[EnrichmentRule]] | None = None, **_) -> IngestSpec:
+    """addendum_a, addendum_b, wage (cbsa, index) and indicators (status_indicator, si_description) of a batch opps_YYYYqN_rNN."""
+    return IngestSpec("opps", opps_rules(), lambda t: opps_tables(t["addendum_a"], t["addendum_b"], t["wage"], t["indicators"], batch_id), enrich or {}, {n: PUBLISH_SPECS[n] for n in ("opps_apc_payment", "opps_hcpcs_crosswalk", "opps_rates_enriched")})
+
+
+def _untagged(df: DataFrame) -> DataFrame:
+    return df.drop(*published.REJECT_COLUMNS)
+
+
+def zip9_spec(*, effective_from, effective_to=None, vintage: str, enrich: dict[str, list[EnrichmentRule]] | None = None, **_) -> IngestSpec:
+    """lines of the ZIP9 file (see readers) to overrides by state."""
+    rules = [r for r in Q.zip9_rules() if r.name != "completeness"]
+    return IngestSpec("zip9", {"zip9_overrides": rules}, lambda t: {"zip9_overrides": _untagged(zip9_table(t["lines"], effective_from=effective_from, effective_to=effective_to, vintage=vintage))}, enrich or {}, {"zip9_overrides": PUBLISH_SPECS["zip9_overrides"]})
+
+
+def zip_locality_spec(*, effective_from, effective_to=None, vintage: str, enrich: dict[str, list[EnrichmentRule]] | None = None, **_) -> IngestSpec:
+    """rows of the ZIP-to-locality file, under its own or the canonical column names, by state."""
+    return IngestSpec("zip_locality", {"cms_zip_locality": zip_locality_rules()}, lambda t: {"cms_zip_locality": _untagged(zip_locality_table(t["rows"], effective_from=effective_from, effective_to=effective_to, vintage=vintage))}, enrich or {}, {"cms_zip_locality": PUBLISH_SPECS["cms_zip_locality"]})
+
+
 #: The chains that a name can ask for.
-SPECS: dict[str, Callable[..., IngestSpec]] = {"rvu": rvu_spec}
+SPECS: dict[str, Callable[..., IngestSpec]] = {"rvu": rvu_spec, "mpfs": mpfs_spec, "opps": opps_spec, "zip9": zip9_spec, "zip_locality": zip_locality_spec}

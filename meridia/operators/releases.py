@@ -88,12 +88,20 @@ def expected_names(spark: SparkSession, years: list[int]) -> DataFrame:
 RUN_DDL = "batch_id string, release_id string, dataset string, status string, at timestamp, rows_in long, rows_out long, rows_rejected long, message string"
 
 
+#: The order in which a run passes through states: of rows with one time the later state counts.
+RUN_STATES = ("pending", "started", "running", "success", "partial", "failed")
+
+
 def run_state(events: DataFrame) -> DataFrame:
-    """The present state of each run from its log: the last status, and of every other field the last value that was given."""
-    w = Window.partitionBy("batch_id").orderBy("at", "status").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """The present state of each run from its log: the last status, and of every other field the last value that was given.
+
+    Rows of one time follow the order of RUN_STATES, so that an end comes after its start; other states come before all.
+    """
     fields = [c for c in events.columns if c not in ("batch_id", "at")]
-    held = events.select("batch_id", "at", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in fields], F.min("at").over(w).alias("started_at"))
-    return first_by(held, ["batch_id"], [F.desc("at")]).withColumnRenamed("at", "updated_at")
+    place = F.coalesce(*[F.when(F.col("status") == s, F.lit(i)) for i, s in enumerate(RUN_STATES)], F.lit(-1))
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("at", place.alias("place"), F.col("status").alias("status"), F.col(c).cast("string").alias("text"), F.col(c).alias("value")))).alias(c)
+    held = events.groupBy("batch_id").agg(F.max("at").alias("updated_at"), *[last(c) for c in fields], F.min("at").alias("started_at"))
+    return held.select("batch_id", "updated_at", *[F.col(f"{c}.value").alias(c) for c in fields], "started_at")
 
 
 def recent(df: DataFrame, at: str, n: int, *ties: str) -> DataFrame:
@@ -131,7 +139,9 @@ SNAPSHOT_DDL = "name string, dataset string, digest string, created_at timestamp
 def snapshots(log: DataFrame, dataset: str | None = None, tags: list[str] | None = None) -> DataFrame:
     """The snapshots that exist, by their newest event (created, pinned, unpinned, deleted)."""
     own = log.filter(F.col("dataset") == dataset) if dataset else log
-    state = own.groupBy("name").agg(*[F.max_by(c, "created_at").alias(c) for c in ("dataset", "digest", "tags", "event")], F.min("created_at").alias("created_at"))
+    # the newest event whole; of several at one time a deletion counts, then the greatest digest and tags
+    newest = F.max(F.struct("created_at", (F.col("event") == "deleted").alias("gone"), "event", "digest", "dataset", "tags")).alias("e")
+    state = own.groupBy("name").agg(newest, F.min("created_at").alias("created_at")).select("name", "e.dataset", "e.digest", "e.tags", "e.event", "created_at")
     state = state.filter("event <> 'deleted'")
     for tag in tags or []:
         state = state.filter(F.array_contains("tags", tag))

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .published import Stage, published
 
-def publish_snapshot(df: DataFrame, folder: str, partitions: list[str], *, vintage, release: str, published_at, kind: str = "parquet", compression: str = "snappy") -> None:
-    """One snapshot with its vintage, release and time as columns, in hive-style folders. Rerunning replaces the release."""
-    stamped = df.withColumns({"vintage_date": F.lit(vintage), "release_id": F.lit(release), "published_at": F.lit(published_at)})
-    by = ["release_id", *partitions]
-    writer = stamped.repartition(*[F.col(c) for c in by]) if partitions else stamped
-    writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression if kind == "parquet" else "none").partitionBy(*by).format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(folder)
+
+def publish_snapshot(df: DataFrame, folder: str, partitions: list[str], *, vintage, release: str, published_at, kind: str = "parquet", compression: str = "snappy") -> int:
+    """Publish one snapshot with its vintage, release and time as columns; its commit. Publishing a release again replaces it whole."""
+    stage = Stage(df.sparkSession, folder, release, published_at, vintage)
+    stage.write("snapshot", df, partitions, kind, compression)
+    return stage.commit()
+
+
+def snapshot(spark: SparkSession, folder: str, release: str | None = None) -> DataFrame:
+    """What publish_snapshot has published."""
+    return published(spark, folder, "snapshot", release=release)
 
 
 def upserted(current: DataFrame, update: DataFrame, keys: list[str]) -> DataFrame:

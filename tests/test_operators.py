@@ -180,7 +180,7 @@ def test_rules_pass_and_fail(spark):
     assert Q.overall(Q.checked(z, Q.zip9_rules())).first()["valid"] is False
     good, bad = Q.split(Q.tagged(rvu, Q.rvu_rules()))
     assert good.count() == 1 and bad.count() == 2 and Q.column_drift(["a", "b"], ["b", "c"]) == pytest.approx(2 / 3)
-    assert Q.checked(rvu.limit(0), Q.rvu_rules()).filter("passed").count() == 9
+    assert Q.checked(rvu.limit(0), Q.rvu_rules()).filter("passed").count() == 10
 
 
 def test_counties(spark):

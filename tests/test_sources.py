@@ -84,7 +84,7 @@ def test_snapshots_upserts_and_quarantine(spark, tmp_path):
     for _ in range(2):
         sinks.publish_snapshot(df, f"{tmp_path}/s", ["state"], vintage=dt.date(2025, 1, 1), release="r1", published_at=dt.datetime(2025, 1, 2))
     sinks.publish_snapshot(df.limit(1), f"{tmp_path}/s", ["state"], vintage=dt.date(2025, 4, 1), release="r2", published_at=dt.datetime(2025, 4, 2))
-    got = spark.read.parquet(f"{tmp_path}/s")
+    got = sinks.snapshot(spark, f"{tmp_path}/s")
     assert got.count() == 3 and got.filter("release_id = 'r1'").count() == 2
     sinks.upsert(spark, f"{tmp_path}/u", df, ["k"], 0)
     path = sinks.upsert(spark, f"{tmp_path}/u", spark.createDataFrame([(2, "NJ", 9.0), (3, "TX", 3.0)], df.schema), ["k"], 1)
