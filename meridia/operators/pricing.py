@@ -99,18 +99,60 @@ def components(raw: DataFrame, line_no: str) -> DataFrame:
     )
 
 
-def _fees(lines: DataFrame, fees: DataFrame, keys: list[str], low, high, name: str) -> DataFrame:
-    """Left join of an effective-dated table (fee columns prefixed) with the row of each key that began last in the period.
+#: The schedule of each setting: its table, the values that its formula names (in order), and the other tables that it needs.
+SCHEDULES = {
+    "MPFS": ("mpfs", ("work_rvu", "pe_nonfacility_rvu", "pe_facility_rvu", "malpractice_rvu"), ("gpci", "cf")),
+    "OPPS": ("opps", ("rate",), ("wage",)),
+    "ASC": ("asc", ("rate",), ()),
+    "IPPS": ("ipps", ("weight",), ("wage", "ipps_base")),
+    "CLFS": ("clfs", ("fee",), ()),
+    "DMEPOS": ("dmepos", ("fee",), ()),
+    "DRUGS": ("asp", ("per_unit",), ()),
+}
+_VALUES = max(len(v) for _, v, _ in SCHEDULES.values())
+
+
+def in_period(fees: DataFrame, keys: list[str], low, high) -> DataFrame:
+    """Of the rows of each key that overlap a period the one that began last (then by all other columns upwards)."""
+    others = [F.asc_nulls_last(c) for c in fees.columns if c not in ("effective_from", *keys)]
+    return first_by(fees.filter(overlaps(low, high, "effective_from", "effective_to")), keys, [F.desc_nulls_last("effective_from"), *others]).drop("effective_from", "effective_to")
+
+
+def schedule_table(refs: dict[str, DataFrame], low, high) -> DataFrame | None:
+    """All schedules as one table: setting, code, rural ('' where a schedule has no such key), status, v0, v1, ...; a row for each key.
 
-    The period is the same for all lines, so the row is picked once a key and not once a line.
+    A setting whose own or needed tables are absent has no rows; None where none has.
     """
-    others = [F.asc_nulls_last(c) for c in fees.columns if c not in ("effective_from", *keys)]
-    picked = first_by(fees.filter(overlaps(low, high, "effective_from", "effective_to")), keys, [F.desc_nulls_last("effective_from"), *others])
-    f = picked.withColumnsRenamed({c: f"{name}_{c}" for c in fees.columns})
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"{name}_{k}"))
-    return lines.join(f, cond, "left")
+    out = None
+    for setting, (table, values, needed) in SCHEDULES.items():
+        if not {table, *needed} <= refs.keys():
+            continue
+        fees = refs[table]
+        rural = F.col("rural").cast("string") if "rural" in fees.columns else F.lit("")
+        status = F.col("status").cast("string") if "status" in fees.columns else F.lit(None).cast("string")
+        own = [F.col(values[i]).cast("double") if i < len(values) else F.lit(None).cast("double") for i in range(_VALUES)]
+        one = fees.select(F.lit(setting).alias("setting"), "code", rural.alias("rural"), "effective_from", "effective_to", status.alias("status"), *[c.alias(f"v{i}") for i, c in enumerate(own)])
+        out = one if out is None else out.unionByName(one)
+    return None if out is None else in_period(out, ["setting", "code", "rural"], low, high)
+
+
+def _globals(refs: dict[str, DataFrame], low, high) -> DataFrame | None:
+    """setting, g0, g1: the conversion factor and the base rates, a row for each of the two settings that have one."""
+    out = None
+    if "cf" in refs:
+        kind = "source" if "source" in refs["cf"].columns else "cf_type"
+        out = in_period(refs["cf"].filter(F.col(kind) == "MPFS").select(F.lit("MPFS").alias("setting"), F.col("value").cast("double").alias("g0"), F.lit(None).cast("double").alias("g1"), "effective_from", "effective_to"), ["setting"], low, high)
+    if "ipps_base" in refs:
+        base = in_period(refs["ipps_base"].select(F.lit("IPPS").alias("setting"), F.col("operating").cast("double").alias("g0"), F.col("capital").cast("double").alias("g1"), "effective_from", "effective_to"), ["setting"], low, high)
+        out = base if out is None else out.unionByName(base)
+    return out
+
+
+def _by_setting(values: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(F.col("setting") == s, v) for s, v in values.items()])
+
+
+PRICED = ("allowed_cents", "beneficiary_deductible_cents", "beneficiary_coinsurance_cents", "beneficiary_total_cents", "program_payment_cents", "professional_allowed_cents", "facility_allowed_cents")
 
 
 def priced(lines: DataFrame, refs: dict[str, DataFrame], low, high, *, deductible: float = 0.0) -> DataFrame:
@@ -118,56 +160,57 @@ def priced(lines: DataFrame, refs: dict[str, DataFrame], low, high, *, deductibl
 
     lines: line_id, setting, code, locality, cbsa, rural_flag, pos, units, utilization_weight, modifiers (array),
     professional_component. Each reference table has effective_from, effective_to and the columns its formula names.
-    The settings are branches of one union, so a table is joined only with the lines that need it. Lines of an unknown
-    setting, or without a fee, have a reject reason and null amounts.
+    Lines are read once: all schedules are one table keyed by setting, code and rural flag, picked once for the period,
+    and a line meets its fee, its locality's and area's indexes and its setting's factor by equal keys. Every line comes
+    out once: without a fee, of a setting whose tables are absent, or of none that is known, it has a reject reason and
+    null amounts.
     """
-    own = lambda s: lines.filter(F.col("setting") == s)
-    at = lambda df, name, keys: _fees(df, refs[name], keys, low, high, name)
-    out = []
-
-    def branch(df: DataFrame, amount: Column, trace: list[Column], packaged: Column | None = None, inpatient: bool = False) -> None:
-        scaled = amount * modifier_factor(F.col("modifiers"))
-        allowed = scaled * F.col("units") * F.col("utilization_weight")
-        if packaged is not None:
-            allowed = F.when(packaged, dbl(0)).otherwise(allowed)
-        df = df.withColumn("allowed", allowed).withColumn("packaged", packaged if packaged is not None else F.lit(False))
-        df = with_cents(df, "allowed", dbl(INPATIENT_DEDUCTIBLE) if inpatient else deductible, dbl(0) if inpatient else None)
-        professional = df["setting"].isin("MPFS", "CLFS", "DMEPOS", "DRUGS")
-        prof = F.when(professional & F.col("professional_component"), F.col("allowed_cents")).otherwise(F.when(F.col("allowed_cents").isNotNull(), F.lit(0).cast("long")))
-        fac = F.when(~professional, F.col("allowed_cents")).otherwise(F.when(F.col("allowed_cents").isNotNull(), F.lit(0).cast("long")))
-        df = df.withColumns({"professional_allowed_cents": prof, "facility_allowed_cents": fac, "trace_refs": F.array_compact(F.array(*trace)), "reject_reason": F.when(F.col("allowed").isNull(), "no fee for this code and period")})
-        out.append(df.select(*lines.columns, "packaged", "allowed_cents", "beneficiary_deductible_cents", "beneficiary_coinsurance_cents", "beneficiary_total_cents", "program_payment_cents", "professional_allowed_cents", "facility_allowed_cents", "trace_refs", "reject_reason"))
+    given = [s for s, (table, _, needed) in SCHEDULES.items() if {table, *needed} <= refs.keys()]
+    df = lines.withColumn("_rural", F.when(F.col("setting") == "DMEPOS", F.coalesce(F.col("rural_flag").isin(*RURAL_FLAGS), F.lit(False)).cast("string")).otherwise(""))
+
+    def met(df: DataFrame, right: DataFrame | None, keys: dict[str, str], values: dict[str, str]) -> DataFrame:
+        """df with the values of the one row of right that has its keys; null where there is none, or no table."""
+        if right is None:
+            return df.withColumns({name: F.lit(None).cast("string" if name == "_status" else "boolean" if name == "_found" else "double") for name in values})
+        r = right.select(*[F.col(b).alias(f"_key_{b}") for b in keys.values()], *[F.col(c).alias(name) for name, c in values.items()])
+        on = [F.col(a) == F.col(f"_key_{b}") for a, b in keys.items()]
+        return df.join(r, on, "left").drop(*[f"_key_{b}" for b in keys.values()])
+
+    fees = schedule_table(refs, low, high)
+    df = met(df, None if fees is None else fees.withColumn("found", F.lit(True)), {"setting": "setting", "code": "code", "_rural": "rural"}, {"_found": "found", "_status": "status", **{f"_v{i}": f"v{i}" for i in range(_VALUES)}})
+    df = met(df, in_period(refs["gpci"], ["locality"], low, high) if "gpci" in refs else None, {"locality": "locality"}, {"_gw": "work", "_gp": "pe", "_gm": "mp"})
+    df = met(df, in_period(refs["wage"], ["cbsa"], low, high) if "wage" in refs else None, {"cbsa": "cbsa"}, {"_wage": "index"})
+    df = met(df, _globals(refs, low, high), {"setting": "setting"}, {"_g0": "g0", "_g1": "g1"})
+
+    v, wage = [F.col(f"_v{i}") for i in range(_VALUES)], F.col("_wage")
+    amount = _by_setting({
+        "MPFS": component_amount(v[0], practice_expense(F.col("pos"), v[1], v[2]), v[3], F.col("_gw"), F.col("_gp"), F.col("_gm"), F.col("_g0")),
+        "OPPS": v[0] * wage, "ASC": v[0], "IPPS": v[0] * (F.col("_g0") * wage + F.col("_g1") * wage), "CLFS": v[0], "DMEPOS": v[0], "DRUGS": v[0] * dbl(SALES_PRICE_FACTOR),
+    })
+    packaged = (F.col("setting") == "OPPS") & is_packaged(F.col("_status"))
+    inpatient = F.col("setting") == "IPPS"
+    scaled = F.when(F.col("_found"), amount) * modifier_factor(F.col("modifiers")) * F.col("units") * F.col("utilization_weight")
+    df = df.withColumn("packaged", packaged).withColumn("allowed", F.when(packaged, dbl(0)).otherwise(scaled))
+    df = with_cents(df, "allowed", F.when(inpatient, dbl(INPATIENT_DEDUCTIBLE)).otherwise(dbl(deductible)), F.when(inpatient, dbl(0)).otherwise(dbl(COINSURANCE)))
+    professional = F.col("setting").isin("MPFS", "CLFS", "DMEPOS", "DRUGS")
+    nothing = F.when(F.col("allowed_cents").isNotNull(), F.lit(0).cast("long"))
 
     ref = lambda *parts: F.concat_ws("_", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
     year, code = F.year(F.lit(high)), F.col("code")
-    if {"mpfs", "gpci", "cf"} <= refs.keys():
-        df = at(at(own("MPFS"), "mpfs", ["code"]), "gpci", ["locality"])
-        df = _fees(df.withColumn("cf_type", F.lit("MPFS")), refs["cf"].withColumnRenamed("source", "cf_type") if "source" in refs["cf"].columns else refs["cf"], ["cf_type"], low, high, "cf")
-        pe = practice_expense(F.col("pos"), F.col("mpfs_pe_nonfacility_rvu"), F.col("mpfs_pe_facility_rvu"))
-        found = F.col("mpfs_code").isNotNull()
-        branch(df, F.when(found, component_amount(F.col("mpfs_work_rvu"), pe, F.col("mpfs_malpractice_rvu"), F.col("gpci_work"), F.col("gpci_pe"), F.col("gpci_mp"), F.col("cf_value"))), [ref("mpfs", year, F.col("locality"), code), ref("gpci", year, F.col("locality")), ref("cf", year, "MPFS")])
-    if {"opps", "wage"} <= refs.keys():
-        df = at(at(own("OPPS"), "opps", ["code"]), "wage", ["cbsa"])
-        branch(df, F.col("opps_rate") * F.col("wage_index"), [ref("opps", year, code), ref("wage_index", year, F.col("cbsa"))], is_packaged(F.col("opps_status")))
-    for setting, name, column in (("ASC", "asc", "rate"), ("CLFS", "clfs", "fee")):
-        if name in refs:
-            branch(at(own(setting), name, ["code"]), F.col(f"{name}_{column}"), [ref(name, year, code)])
-    if {"ipps", "ipps_base", "wage"} <= refs.keys():
-        df = _fees(at(at(own("IPPS"), "ipps", ["code"]), "wage", ["cbsa"]).withColumn("kind", F.lit("base")), refs["ipps_base"].withColumn("kind", F.lit("base")), ["kind"], low, high, "base")
-        branch(df, F.col("ipps_weight") * (F.col("base_operating") * F.col("wage_index") + F.col("base_capital") * F.col("wage_index")), [ref("ipps", year, code), ref("ipps_base", year), ref("wage_index", year, F.col("cbsa"))], inpatient=True)
-    if "dmepos" in refs:
-        df = own("DMEPOS").withColumn("rural", F.coalesce(F.col("rural_flag").isin(*RURAL_FLAGS), F.lit(False)))
-        branch(at(df, "dmepos", ["code", "rural"]), F.col("dmepos_fee"), [ref("dmepos", year, code, F.col("rural").cast("string"))])
-    if "asp" in refs:
-        branch(at(own("DRUGS"), "asp", ["code"]), F.col("asp_per_unit") * dbl(SALES_PRICE_FACTOR), [ref("asp", year, code)])
-    unknown = lines.filter(~F.coalesce(F.col("setting").isin(*SETTINGS), F.lit(False)))
-    if out:
-        amounts = [F.lit(None).cast(t).alias(c) for c, t in out[0].dtypes if c not in lines.columns and c != "reject_reason"]
-        out.append(unknown.select(*lines.columns, *amounts, F.lit("unknown setting").alias("reject_reason")))
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result
+    traces = {
+        "MPFS": [ref("mpfs", year, F.col("locality"), code), ref("gpci", year, F.col("locality")), ref("cf", year, "MPFS")],
+        "OPPS": [ref("opps", year, code), ref("wage_index", year, F.col("cbsa"))], "ASC": [ref("asc", year, code)],
+        "IPPS": [ref("ipps", year, code), ref("ipps_base", year), ref("wage_index", year, F.col("cbsa"))], "CLFS": [ref("clfs", year, code)],
+        "DMEPOS": [ref("dmepos", year, code, F.col("_rural"))], "DRUGS": [ref("asp", year, code)],
+    }
+    known, with_table = (F.coalesce(F.col("setting").isin(*names), F.lit(False)) if names else F.lit(False) for names in (SETTINGS, given))
+    reason = F.when(~known, "unknown setting").when(~with_table, "no table for this setting").when(F.col("allowed").isNull(), "no fee for this code and period")
+    df = df.withColumns({
+        "professional_allowed_cents": F.when(professional & F.col("professional_component"), F.col("allowed_cents")).otherwise(nothing),
+        "facility_allowed_cents": F.when(~professional, F.col("allowed_cents")).otherwise(nothing),
+        "trace_refs": F.when(with_table, _by_setting({s: F.array(*x) for s, x in traces.items()})), "reject_reason": reason,
+    })
+    return df.select(*lines.columns, "packaged", *PRICED, "trace_refs", "reject_reason")
 
 
 TOTALS = ("allowed_cents", "beneficiary_deductible_cents", "beneficiary_coinsurance_cents", "beneficiary_total_cents", "program_payment_cents")
@@ -179,7 +222,7 @@ def plan_totals(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(F.count("*").alias("n_lines"), *[F.sum(c).alias(c) for c in TOTALS], *more)
 
 
-def price_single(spark, refs: dict[str, DataFrame], low, high, *, code: str, setting: str, locality, cbsa, rural_flag: str | None = None, pos: str = "11", units: float = 1.0, modifiers: list[str] | None = None) -> DataFrame:
+def price_single(spark, refs: dict[str, DataFrame], low, high, *, code: str | int, setting: str, locality, cbsa, rural_flag: str | None = None, pos: str = "11", units: float = 1.0, modifiers: list[str] | None = None) -> DataFrame:
     """The one row of a single code; an unknown setting is an error."""
     if setting not in SETTINGS:
         raise ValueError(f"unknown setting {setting}")
@@ -227,14 +270,19 @@ def facility_rates(lines: DataFrame, rates: DataFrame, low, high) -> DataFrame:
     level = F.when(F.col("_plan").isNotNull(), 0).when(F.col("_payer").isNotNull(), 1).otherwise(2)
     r = held.select(*keys, F.col("payer").alias("_payer"), F.col("plan").alias("_plan"), F.col("rate").alias("_rate"), F.col("effective_from").alias("_from"))
     fits = (F.col("_payer").isNull() | (F.col("_payer") == F.col("payer"))) & (F.col("_plan").isNull() | (F.col("_plan") == F.col("plan")))
-    met = lines.select("line_id", *keys, "payer", "plan").join(r, keys).filter(fits)
-    best = met.groupBy("line_id").agg(F.min(F.struct(level.alias("level"), (-F.unix_date("_from")).alias("age"), F.col("_rate").alias("rate"))).alias("b"))
+    # the rate depends on these four alone, so it is looked up once for each different set of them
+    asked = [*keys, "payer", "plan"]
+    met = lines.select(*asked).distinct().join(r, keys).filter(fits)
+    best = met.groupBy(*asked).agg(F.min(F.struct(level.alias("level"), (-F.unix_date("_from")).alias("age"), F.col("_rate").alias("rate"))).alias("b"))
     name = F.get(F.array(F.lit("plan"), F.lit("payer"), F.lit("facility")), F.col("b.level"))
-    return lines.join(best.select("line_id", F.col("b.rate").alias("facility_rate"), name.alias("facility_rate_by")), "line_id", "left")
+    found = best.select(*[F.col(c).alias(f"_k_{c}") for c in asked], F.col("b.rate").alias("facility_rate"), name.alias("facility_rate_by"))
+    same = [F.col(c) == F.col(f"_k_{c}") for c in keys] + [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in ("payer", "plan")]
+    return lines.join(found, same, "left").drop(*[f"_k_{c}" for c in asked])
 
 
 def drug_reference_price(lines: DataFrame, nadac: DataFrame, conversion: DataFrame) -> DataFrame:
     """Add nadac_reference: the newest unit price of the line's NDC times units per code, units and weight."""
-    newest = nadac.groupBy("ndc11").agg(F.max_by("unit_price", "as_of").alias("unit_price"), F.max("as_of").alias("nadac_as_of"))
+    # of two prices of one day the higher
+    newest = nadac.groupBy("ndc11").agg(F.max(F.struct("as_of", "unit_price")).alias("n")).select("ndc11", F.col("n.unit_price").alias("unit_price"), F.col("n.as_of").alias("nadac_as_of"))
     out = lines.join(newest, "ndc11", "left").join(conversion.select("ndc11", "code", "units_per_hcpcs"), ["ndc11", "code"], "left")
     return out.withColumn("nadac_reference", F.col("unit_price") * F.col("units_per_hcpcs") * F.col("units") * F.col("utilization_weight"))

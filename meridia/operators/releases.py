@@ -209,7 +209,7 @@ def latency_profile(df: DataFrame, value: str, ok: Column) -> DataFrame:
 def geography_health(geography: DataFrame, state: DataFrame, today, *, least_rows: int = 1, most_age_days: int = 120) -> DataFrame:
     """One row: counts, the snapshot in force, how many days ago data began, and a status by what is missing."""
     g = geography_stats(geography)
-    s = state.filter((F.col("dataset") == "geography") & (F.to_date("created_at") <= F.lit(today))).agg(F.max_by("name", "created_at").alias("active_snapshot"), F.count("*").alias("n_snapshots"))
+    s = state.filter((F.col("dataset") == "geography") & (F.to_date("created_at") <= F.lit(today))).agg(F.max(F.struct("created_at", "name")).getField("name").alias("active_snapshot"), F.count("*").alias("n_snapshots"))
     out = g.crossJoin(s).withColumn("age_days", F.datediff(F.lit(today), F.col("first_day")))  # one row each
     status = F.when(F.col("n_rows") < least_rows, "critical").when(F.col("active_snapshot").isNull() | (F.col("age_days") > most_age_days), "degraded").otherwise("healthy")
     return out.withColumn("status", status)

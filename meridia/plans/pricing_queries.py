@@ -135,6 +135,14 @@ def reference_tables(t: Tables) -> dict[str, DataFrame]:
     }
 
 
+def engine_lines(t: Tables) -> DataFrame:
+    """Lines with all that the engine asks for."""
+    return claim_lines(t).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), "setting", "code", F.col("nation").alias("locality"), F.col("nation").alias("cbsa"), F.when(F.col("nation") % 2 == 0, "R").otherwise("U").alias("rural_flag"),
+        F.when(F.col("l_linenumber") % 2 == 1, "11").otherwise("22").alias("pos"), "units", P.dbl(1).alias("utilization_weight"), "modifiers", F.lit(True).alias("professional_component"),
+    )
+
+
 _FEE = "CASE WHEN code % 3 = 0 THEN price * 1.1::DOUBLE WHEN code % 5 = 0 THEN NULL ELSE price END"
 _WAGE = "(0.8::DOUBLE + nation * 0.02::DOUBLE)"
 _SEVEN = f"""CASE kind
@@ -155,15 +163,60 @@ def price_lines_with_fees(t: Tables) -> DataFrame:
     """Every line priced by the engine, from effective-dated tables of all seven settings in the second quarter of 1997."""
     import datetime as dt
 
-    lines = claim_lines(t).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), "setting", "code", F.col("nation").alias("locality"), F.col("nation").alias("cbsa"), F.when(F.col("nation") % 2 == 0, "R").otherwise("U").alias("rural_flag"),
-        F.when(F.col("l_linenumber") % 2 == 1, "11").otherwise("22").alias("pos"), "units", P.dbl(1).alias("utilization_weight"), "modifiers", F.lit(True).alias("professional_component"),
-    )
+    lines = engine_lines(t)
     priced = P.priced(lines, reference_tables(t), dt.date(1997, 4, 1), dt.date(1997, 6, 30))
     sums = ("allowed_cents", "beneficiary_total_cents", "program_payment_cents", "professional_allowed_cents")
     return priced.groupBy("setting").agg(F.count("*").alias("n_lines"), F.count("reject_reason").alias("n_rejected"), F.count_if("packaged").alias("n_packaged"), *[F.sum(c).alias(c) for c in sums])
 
 
+@query(
+    f"""WITH {LINES}, f AS (SELECT *, {_FEE} AS v, CASE WHEN kind = 4 AND code % 2 = 0 THEN 'OTHER' WHEN kind = 6 AND code % 2 = 0 THEN NULL ELSE ['MPFS', 'OPPS', 'ASC', 'IPPS', 'CLFS', 'DMEPOS', 'DRUGS'][kind + 1] END AS setting FROM lines),
+r AS (SELECT setting, CASE WHEN setting IS NULL OR setting = 'OTHER' THEN 'unknown setting' WHEN setting IN ('MPFS', 'IPPS', 'CLFS') THEN 'no table for this setting' WHEN v IS NULL THEN 'no fee for this code and period' END AS reject_reason, CASE WHEN setting = 'ASC' THEN trunc(v * 0.9::DOUBLE * factor * units * 100)::BIGINT END AS asc_cents FROM f)
+SELECT setting, reject_reason, count(*) AS n_lines, sum(asc_cents)::BIGINT AS asc_cents FROM r GROUP BY ALL"""
+)
+def price_lines_absent_tables(t: Tables) -> DataFrame:
+    """Every line comes out where tables are absent (no gpci, base rates or laboratory fees), and where its setting is unknown or null."""
+    import datetime as dt
+
+    refs = {k: v for k, v in reference_tables(t).items() if k not in ("gpci", "ipps_base", "clfs")}
+    odd = F.when((F.col("setting") == "CLFS") & (F.col("code") % 2 == 0), "OTHER").when((F.col("setting") == "DRUGS") & (F.col("code") % 2 == 0), None).otherwise(F.col("setting"))
+    out = P.priced(engine_lines(t).withColumn("setting", odd), refs, dt.date(1997, 4, 1), dt.date(1997, 6, 30))
+    return out.groupBy("setting", "reject_reason").agg(F.count("*").alias("n_lines"), F.sum(F.when(F.col("setting") == "ASC", F.col("allowed_cents"))).alias("asc_cents"))
+
+
+@query(
+    """WITH p AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice * 1.1::DOUBLE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_retailprice END AS v FROM part WHERE p_partkey = 7),
+a AS (SELECT v * (0.8::DOUBLE + 3 * 0.02::DOUBLE) * 1.5::DOUBLE * 2 AS allowed FROM p)
+SELECT 'OPPS' AS setting, 7::BIGINT AS code, trunc(allowed * 100)::BIGINT AS allowed_cents, trunc(allowed * 0.2::DOUBLE * 100)::BIGINT AS beneficiary_total_cents, NULL::VARCHAR AS reject_reason FROM a"""
+)
+def price_single_code(t: Tables) -> DataFrame:
+    """One code by itself, from the same tables as all lines."""
+    import datetime as dt
+
+    out = P.price_single(t.spark, reference_tables(t), dt.date(1997, 4, 1), dt.date(1997, 6, 30), code=7, setting="OPPS", locality=3, cbsa=3, units=2.0, modifiers=["-50"])
+    return out.select("setting", F.col("code").cast("long").alias("code"), "allowed_cents", "beneficiary_total_cents", "reject_reason")
+
+
+@query(
+    """WITH lines AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey % 10 + 1 ELSE l_suppkey END AS ccn, l_partkey AS code, l_returnflag AS payer, l_linestatus AS plan FROM lineitem),
+rates AS (SELECT p_partkey % 10 + 1 AS ccn, p_partkey AS code, NULL AS payer, NULL AS plan, p_retailprice AS rate, 2 AS level FROM part UNION ALL SELECT p_partkey % 10 + 1, p_partkey, 'A', NULL, p_retailprice * 0.5::DOUBLE, 1 FROM part
+  UNION ALL SELECT p_partkey % 10 + 1, p_partkey, 'N', 'F', p_retailprice * 0.25::DOUBLE, 0 FROM part),
+asked AS (SELECT DISTINCT ccn, code, payer, plan FROM lines),
+met AS (SELECT a.*, rate, level FROM asked a JOIN rates r USING (ccn, code) WHERE (r.payer IS NULL OR r.payer = a.payer) AND (r.plan IS NULL OR r.plan = a.plan) QUALIFY row_number() OVER (PARTITION BY a.ccn, a.code, a.payer, a.plan ORDER BY level) = 1)
+SELECT line_id, rate AS facility_rate, ['plan', 'payer', 'facility'][level + 1] AS facility_rate_by FROM lines LEFT JOIN met USING (ccn, code, payer, plan)"""
+)
+def facility_rate_lines(t: Tables) -> DataFrame:
+    """Lines with the negotiated rate of their facility: of their plan, else of their payer, else of the facility."""
+    import datetime as dt
+
+    place = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey") % 10 + 1).otherwise(F.col("l_suppkey"))
+    lines = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), place.alias("ccn"), F.col("l_partkey").alias("code"), F.col("l_returnflag").alias("payer"), F.col("l_linestatus").alias("plan"))
+    level = lambda payer, plan, share: F.struct(F.lit(payer).cast("string").alias("payer"), F.lit(plan).cast("string").alias("plan"), (F.col("p_retailprice") * P.dbl(share)).alias("rate"))
+    rates = t.part.select((F.col("p_partkey") % 10 + 1).alias("ccn"), F.col("p_partkey").alias("code"), F.inline(F.array(level(None, None, 1), level("A", None, 0.5), level("N", "F", 0.25))))
+    rates = rates.withColumns({"effective_from": F.lit(dt.date(1997, 1, 1)), "effective_to": F.lit(None).cast("date")})
+    return P.facility_rates(lines, rates, dt.date(1997, 4, 1), dt.date(1997, 6, 30)).select("line_id", "facility_rate", "facility_rate_by")
+
+
 @query(
     f"""WITH {LINES}, n AS (SELECT p_partkey AS code, p_size * 1.5::DOUBLE AS unit_price FROM part WHERE p_size > 10)
 SELECT l_orderkey, l_linenumber, round(unit_price * (1 + code % 3) * units, 6) AS nadac_reference FROM lines LEFT JOIN n USING (code)"""

@@ -210,3 +210,13 @@ def test_digest_of_copies_equals_a_plain_one_and_gathers_no_rows(spark):
             own.setdefault(int(h[:3], 16) % n, []).append(h)
         want = hashlib.sha256("\n".join(hashlib.sha256("\n".join(sorted(own[b])).encode()).hexdigest() for b in sorted(own)).encode()).hexdigest()
         assert tuple(O.dataset_digest(rows, [F.col("id")], n).first()) == (10_053, want)
+
+
+@pytest.mark.parametrize("given", [[], ["clfs"], ["mpfs", "clfs", "ipps", "ipps_base"]])
+def test_every_line_comes_out_whatever_tables_there_are(spark, given):
+    """A setting without its table, or without one that its formula needs, is rejected and not lost."""
+    lines = spark.createDataFrame([(i, s, "80053", "01", "1", None, None, 1.0, 1.0, [], True) for i, s in enumerate(["CLFS", "DRUGS", "XX", None, "MPFS", "IPPS"])], "line_id long, setting string, code string, locality string, cbsa string, rural_flag string, pos string, units double, utilization_weight double, modifiers array<string>, professional_component boolean")
+    refs = {k: v for k, v in references(spark).items() if k in given}
+    got = {r["line_id"]: (r["reject_reason"], r["allowed_cents"]) for r in P.priced(lines, refs, dt.date(2025, 1, 1), dt.date(2025, 12, 31)).collect()}
+    none = ("no table for this setting", None)
+    assert got == {0: (None, 1000) if "clfs" in given else none, 1: none, 2: ("unknown setting", None), 3: ("unknown setting", None), 4: none, 5: none}
