@@ -48,13 +48,16 @@ def _cell(lat: Column, lon: Column, size: Column, around: Column) -> list[Column
     return [F.floor((lat + 90) / size).alias("_y"), F.pmod(F.floor((lon + 180) / size), around).alias("_x")]
 
 
-def nearest_in_state(sources: DataFrame, candidates: DataFrame, key: str, state: str, *, miles: float | None = None) -> DataFrame:
+def nearest_in_state(sources: DataFrame, candidates: DataFrame, key: str, state: str, *, miles: float | None = None, beyond: float = 0.0) -> DataFrame:
     """For each source the nearest other candidate of its state: key, nearest, distance. Ties go to the smaller key.
 
+    beyond: candidates within so many miles do not count (none are left out at 0).
+
     Both sides are put into grid cells, and a source meets only the cells within a radius. With `miles` that is the
     radius, and cells are about as large. Without, the grid has LEVELS of cells, each a quarter as wide as those of the
     level before; a source uses the finest level where its own cell holds another candidate, whose diagonal bounds the
-    distance to the nearest one. Of candidates at one place the two smallest keys are enough.
+    distance to the nearest one. Of candidates at one place the two smallest keys are enough. With `beyond`, a cell counts
+    if a candidate in it is surely far enough north or south; the coarsest level, which holds all, is there for the rest.
     """
     c = candidates.select(F.col(state).alias("_s"), F.col(key).alias("nearest"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).filter("_lat is not null and _lon is not null")
     c = c.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_lat", "_lon").orderBy("nearest"))).filter("_n <= 2").drop("_n")
@@ -70,25 +73,48 @@ def nearest_in_state(sources: DataFrame, candidates: DataFrame, key: str, state:
         radius = size * (2**0.5 * MILES_PER_DEGREE)
         c = c.select("*", levels)
         own = ["_s", "_level", "_y", "_x"]
-        held = c.select("*", *_cell(F.col("_lat"), F.col("_lon"), size, around)).groupBy(*own).agg(F.min("nearest").alias("_lo"), F.max("nearest").alias("_hi"))
-        s = s.select("*", levels).select("*", *_cell(F.col("lat"), F.col("lon"), size, around)).join(held, own).filter((F.col("_lo") != F.col(key)) | (F.col("_hi") != F.col(key)))
+        held = c.select("*", *_cell(F.col("_lat"), F.col("_lon"), size, around)).groupBy(*own).agg(F.min("nearest").alias("_lo"), F.max("nearest").alias("_hi"), F.min("_lat").alias("_south"), F.max("_lat").alias("_north"))
+        others = (F.col("_lo") != F.col(key)) | (F.col("_hi") != F.col(key))
+        if beyond:
+            far = F.greatest(F.col("lat") - F.col("_south"), F.col("_north") - F.col("lat")) * MILES_PER_DEGREE * (1 - 1e-9) > beyond
+            others = others & (far | (F.col("_level") == 0))
+        s = s.select("*", levels).select("*", *_cell(F.col("lat"), F.col("lon"), size, around)).join(held, own).filter(others)
         s = s.groupBy(key, "_s", "lat", "lon").agg(F.max("_level").alias("_level"))
     at = c.select("*", *_cell(F.col("_lat"), F.col("_lon"), size, around))
     near = s.select("*", F.inline(F.transform(_cells(F.col("lat"), F.col("lon"), size, around, radius), lambda x: F.struct(x["y"].alias("_y"), x["x"].alias("_x")))))
     d = near.join(at, ["_s", *level, "_y", "_x"]).filter(F.col("nearest") != F.col(key)).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
+    if beyond:
+        d = d.filter(F.col("distance") > beyond)
     best = (d.filter(F.col("distance") <= miles) if miles else d).groupBy(key).agg(F.min(F.struct("distance", "nearest")).alias("b"))
     return best.select(key, F.col("b.nearest").alias("nearest"), F.col("b.distance").alias("distance"))
 
 
-def zip_candidates(sources: DataFrame, mapping: DataFrame, localities: DataFrame, metadata: DataFrame, zip5: str = "zip5", state: str = "state") -> DataFrame:
-    """The other ZIP codes of each source's state that have a ZCTA and a locality, with their PO-box flag and population.
+def within_radius(sources: DataFrame, candidates: DataFrame, key: str, state: str) -> DataFrame:
+    """Pairs of each source (key, lat, lon, miles) with the other candidates of its state (under their columns) within its own radius, and their distance.
 
-    Pairs of a state grow with the square of its ZIP codes; there are at most some thousands in one (see nearest_in_state
-    for a search that does not pair them all).
+    A source meets the cells of the grid level whose cells are about as large as its radius.
+    """
+    radius = F.greatest(F.col("miles"), F.lit(1e-6))
+    own_level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.floor(F.log(F.lit(360 * MILES_PER_DEGREE) / radius) / F.log(F.lit(4.0))))).cast("int")
+    around = F.pow(F.lit(4.0), F.col("_level")).cast("long")
+    size = F.lit(360.0) / around
+    s = sources.select(key, F.col(state).alias("_s"), "lat", "lon", "miles").filter("lat is not null and lon is not null").withColumn("_level", own_level)
+    cells = F.transform(_cells(F.col("lat"), F.col("lon"), size, around, F.col("miles")), lambda x: F.struct(x["y"].alias("_y"), x["x"].alias("_x")))
+    near = s.select(F.col(key).alias("_key"), "_s", F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "miles", "_level", F.inline(cells))
+    c = candidates.filter("lat is not null and lon is not null").withColumnRenamed(state, "_s").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    c = c.select("*", *_cell(F.col("lat"), F.col("lon"), size, around))
+    d = near.join(c, ["_s", "_level", "_y", "_x"]).filter(F.col("_key") != F.col(key)).withColumn("distance", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon")))
+    return d.filter(F.col("distance") <= F.col("miles")).drop("_s", "_level", "_y", "_x", "miles")
+
+
+def zip_candidates(mapping: DataFrame, localities: DataFrame, metadata: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """zip5, state, lat, lon, zcta5, locality, has_locality, is_pobox, population: what a search among ZIP codes looks at, a row each.
+
+    mapping: zip5, zcta5, relationship, weight, state. localities: zip5, locality. metadata: zip5, is_pobox, population.
+    coordinates: zcta5, lat, lon.
     """
-    c = preferred_zcta(mapping).select(zip5, "zcta5").join(localities.select(zip5, state, "locality"), zip5).join(metadata.select(zip5, "is_pobox", "population"), zip5, "left")
-    c = c.withColumnsRenamed({zip5: "candidate", "zcta5": "candidate_zcta", "locality": "candidate_locality"})
-    return sources.join(c, state).filter(F.col(zip5) != F.col("candidate"))
+    c = preferred_zcta(mapping).select("zip5", "state", "zcta5").join(coordinates.select("zcta5", "lat", "lon"), "zcta5").join(localities.groupBy("zip5").agg(F.min("locality").alias("locality")), "zip5", "left")
+    return c.join(metadata.select("zip5", F.coalesce("is_pobox", F.lit(False)).alias("is_pobox"), "population"), "zip5", "left").withColumns({"is_pobox": F.coalesce("is_pobox", F.lit(False)), "has_locality": F.col("locality").isNotNull()})
 
 
 def zcta_coordinates(zctas: DataFrame, gazetteer: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -108,12 +134,45 @@ def nearest_by_radius(pairs: DataFrame, key: str) -> DataFrame:
     is taken, else the nearest PO box; a candidate without a locality row makes the search go on.
     """
     inside = pairs.filter(F.col("distance") <= LAST_RADIUS).withColumn("is_pobox", F.coalesce("is_pobox", F.lit(False)))
-    kinds = inside.groupBy(key).agg(F.min(F.when(~F.col("is_pobox"), F.struct("distance", "candidate", "has_locality"))).alias("z"), F.min(F.when(F.col("is_pobox"), F.struct("distance", "candidate", "has_locality"))).alias("p"))
+    return _picked(inside.groupBy(key).agg(F.min(F.when(~F.col("is_pobox"), F.struct("distance", "candidate", "has_locality"))).alias("z"), F.min(F.when(F.col("is_pobox"), F.struct("distance", "candidate", "has_locality"))).alias("p")), key)
+
+
+def _picked(kinds: DataFrame, key: str) -> DataFrame:
+    """kinds: key and the nearest candidate that is no PO box (z) and that is one (p), as structs of distance, candidate, has_locality."""
     earlier = F.col("p").isNotNull() & F.col("p.has_locality") & (F.col("z").isNull() | (radius_step(F.col("p.distance")) < radius_step(F.col("z.distance"))))
     pick = F.when(earlier, F.col("p")).when(F.col("z").isNotNull() & F.col("z.has_locality"), F.col("z"))
     return kinds.withColumn("k", pick).filter("k is not null").select(key, F.col("k.candidate").alias("nearest"), F.col("k.distance").alias("distance"), F.coalesce(F.col("k.candidate") == F.col("p.candidate"), F.lit(False)).alias("is_pobox"))
 
 
+def nearest_with_boxes(sources: DataFrame, candidates: DataFrame, key: str, state: str) -> DataFrame:
+    """nearest_by_radius without pairs: the pick needs only the nearest candidate of either kind, and each is a search on the grid.
+
+    sources: key, state, lat, lon. candidates: the same, is_pobox and has_locality.
+    """
+    flagged = candidates.withColumn("is_pobox", F.coalesce("is_pobox", F.lit(False)))
+    told = candidates.select(F.col(key).alias("candidate"), "has_locality")
+    kinds = None
+    for name, own in (("z", flagged.filter(~F.col("is_pobox"))), ("p", flagged.filter("is_pobox"))):
+        found = nearest_in_state(sources, own, key, state).filter(F.col("distance") <= LAST_RADIUS).withColumnRenamed("nearest", "candidate")
+        one = found.join(told, "candidate").select(key, F.struct("distance", "candidate", "has_locality").alias(name))
+        kinds = one if kinds is None else kinds.join(one, key, "full")
+    return _picked(kinds, key)
+
+
+def nearest_by_table_search(sources: DataFrame, candidates: DataFrame, known: DataFrame, key: str, state: str) -> DataFrame:
+    """nearest_by_table without pairs of a state. sources, candidates: key, state, lat, lon, zcta, population. known: a, b, miles.
+
+    A table's distance counts only where it is within TABLE_TOLERANCE of the great circle's. So if a candidate beyond the
+    tolerance lies at d, whatever is nearest lies within d and two tolerances on the circle: d is found on the grid, and
+    only candidates within that radius are looked up in the table. A source with none beyond the tolerance looks so far.
+    """
+    bound = nearest_in_state(sources, candidates, key, state, beyond=TABLE_TOLERANCE).select(key, F.col("distance").alias("_d"))
+    reach = sources.join(bound, key, "left").withColumn("miles", (F.coalesce("_d", F.lit(TABLE_TOLERANCE)) + 2 * TABLE_TOLERANCE) * (1 + 1e-9))
+    near = within_radius(reach, candidates, key, state)
+    pairs = near.join(sources.select(F.col(key).alias("_key"), F.col("zcta").alias("zcta_a")), "_key").withColumnsRenamed({key: "zip", "zcta": "zcta_b", "lat": "lat_b", "lon": "lon_b"}).withColumnRenamed("_key", key).drop("distance")
+    return nearest_by_table(pairs, known, key)
+
+
 def nearest_by_table(pairs: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Nearest ZIP by ZCTA: a table's distance unless it is missing or more than a mile off the great circle.
 

@@ -44,35 +44,36 @@ def nearest_reverse_asymmetry(t: Tables) -> DataFrame:
     return G.asymmetric(G.nearest_in_state(p, p, "c_custkey", "c_nationkey"), "c_custkey").select("c_custkey", "nearest", "is_asymmetric")
 
 
-def radius_pairs(t: Tables) -> DataFrame:
-    """Pairs of one nation with a made-up distance of 0 to 120 miles."""
-    c = t.customer.select("c_custkey", "c_nationkey")
-    pairs = c.join(c.withColumnRenamed("c_custkey", "candidate"), "c_nationkey").filter("c_custkey <> candidate")
-    return pairs.select("c_custkey", "candidate", ((F.col("c_custkey") * 31 + F.col("candidate") * 17) % 1200 / 10.0).alias("distance"), (F.col("candidate") % 3 == 0).alias("is_pobox"), (F.col("candidate") % 7 != 0).alias("has_locality"))
+def near_customers(t: Tables) -> DataFrame:
+    """Customers on a twentieth of the globe's width and height, so that many are within the widest radius of each other."""
+    return customers(t).withColumns({"lat": F.col("lat") * 0.05, "lon": F.col("lon") * 0.05})
+
+
+NEAR_PLACES = PLACES[:-1].replace("p AS (", "q AS (") + "), p AS (SELECT c_custkey, c_nationkey, lat * 0.05::DOUBLE AS lat, lon * 0.05::DOUBLE AS lon FROM q)"
 
 
 @query(
-    """WITH x AS (SELECT a.c_custkey, b.c_custkey AS candidate, (a.c_custkey * 31 + b.c_custkey * 17) % 1200 / 10.0::DOUBLE AS distance, b.c_custkey % 3 = 0 AS is_pobox, b.c_custkey % 7 <> 0 AS has_locality FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey),
+    f"""WITH {NEAR_PLACES}, x AS (SELECT a.c_custkey, b.c_custkey AS candidate, {MILES} AS distance, b.c_custkey % 3 = 0 AS is_pobox, b.c_custkey % 7 <> 0 AS has_locality FROM p a JOIN p b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey),
 r AS (SELECT unnest([25, 35, 45, 55, 65, 75, 85, 95]) AS radius),
 tried AS (SELECT c_custkey, radius, candidate, distance, is_pobox, has_locality FROM x JOIN r ON distance <= radius QUALIFY row_number() OVER (PARTITION BY c_custkey, radius ORDER BY is_pobox, distance, candidate) = 1)
-SELECT c_custkey, candidate AS nearest, distance, is_pobox FROM tried WHERE has_locality QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY radius) = 1"""
+SELECT c_custkey, candidate AS nearest, round(distance, 3) AS distance, is_pobox FROM tried WHERE has_locality QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY radius) = 1"""
 )
 def nearest_radius_pobox(t: Tables) -> DataFrame:
-    return G.nearest_by_radius(radius_pairs(t), "c_custkey")
+    p = near_customers(t)
+    candidates = p.withColumns({"is_pobox": F.col("c_custkey") % 3 == 0, "has_locality": F.col("c_custkey") % 7 != 0})
+    return G.nearest_with_boxes(p, candidates, "c_custkey", "c_nationkey").withColumn("distance", F.round("distance", 3))
 
 
 @query(
-    f"""WITH {PLACES}, k AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, min(miles) AS miles FROM (SELECT c_custkey AS a, c_custkey + 25 AS b, (c_custkey % 50)::DOUBLE AS miles FROM customer) GROUP BY ALL),
+    f"""WITH {NEAR_PLACES}, k AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, min(miles) AS miles FROM (SELECT c_custkey AS a, c_custkey + 25 AS b, (c_custkey % 50)::DOUBLE AS miles FROM customer) GROUP BY ALL),
 d AS (SELECT a.c_custkey, b.c_custkey AS zip, {MILES} AS circle, miles, b.c_custkey % 10 AS population FROM p a JOIN p b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey LEFT JOIN k ON lo = least(a.c_custkey, b.c_custkey) AND hi = greatest(a.c_custkey, b.c_custkey)),
 e AS (SELECT *, CASE WHEN miles IS NOT NULL AND abs(miles - circle) <= 1.0 THEN miles ELSE circle END AS distance, CASE WHEN miles IS NOT NULL AND abs(miles - circle) <= 1.0 THEN 'table' ELSE 'great circle' END AS method FROM d)
 SELECT c_custkey, zip AS nearest, round(distance, 3) AS distance, method, distance < 1.0 AS is_coincident, distance > 10.0 AS is_far FROM e WHERE distance > 0 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY distance, population, zip) = 1"""
 )
 def nearest_by_table_distance(t: Tables) -> DataFrame:
-    p = customers(t)
-    b = p.toDF("zip", "c_nationkey", "lat_b", "lon_b")
-    pairs = p.toDF("c_custkey", "c_nationkey", "lat_a", "lon_a").join(b, "c_nationkey").filter("c_custkey <> zip").withColumns({"zcta_a": F.col("c_custkey"), "zcta_b": F.col("zip"), "population": F.col("zip") % 10})
+    p = near_customers(t).withColumns({"zcta": F.col("c_custkey"), "population": F.col("c_custkey") % 10})
     known = t.customer.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 25).alias("b"), (F.col("c_custkey") % 50).cast("double").alias("miles"))
-    return G.nearest_by_table(pairs, known, "c_custkey").withColumn("distance", F.round("distance", 3))
+    return G.nearest_by_table_search(p, p, known, "c_custkey", "c_nationkey").withColumn("distance", F.round("distance", 3))
 
 
 @query(

@@ -220,3 +220,28 @@ def test_every_line_comes_out_whatever_tables_there_are(spark, given):
     got = {r["line_id"]: (r["reject_reason"], r["allowed_cents"]) for r in P.priced(lines, refs, dt.date(2025, 1, 1), dt.date(2025, 12, 31)).collect()}
     none = ("no table for this setting", None)
     assert got == {0: (None, 1000) if "clfs" in given else none, 1: none, 2: ("unknown setting", None), 3: ("unknown setting", None), 4: none, 5: none}
+
+
+def test_searches_by_predicate_against_all_pairs(spark):
+    """Clusters of coinciding and close places, in which most of what is near does not count, and lonely ones far away."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(220):
+        base = rng.choice([(40.0, -75.0), (40.3, -75.2), (41.5, -74.0), (10.0, 179.99), (10.0, -179.99)])
+        spread = rng.choice([0.0, 0.005, 0.2])
+        rows.append((i, rng.choice(["A", "B"]), base[0] + rng.uniform(-spread, spread), base[1] + rng.uniform(-spread, spread), rng.random() < 0.5, rng.random() < 0.6, rng.choice([None, 1, 2]), f"z{i}"))
+    rows += [(900, "C", 0.0, 0.0, False, True, 1, "z900"), (901, "D", 5.0, 5.0, True, True, 1, "z901"), (902, "D", 5.0, 6.0, False, False, 1, "z902"), (903, "E", None, None, False, True, 1, "z903"), (904, "F", 1.0, 1.0, False, True, 1, "z904"), (905, "F", 1.0, 1.01, False, True, 1, "z905")]
+    df = spark.createDataFrame(rows, "k int, state string, lat double, lon double, is_pobox boolean, has_locality boolean, population int, zcta string")
+    known = spark.createDataFrame([(f"z{rng.randrange(220)}", f"z{rng.randrange(220)}", float(rng.choice([0, 0.5, 1, 3, 14]))) for _ in range(4000)], "a string, b string, miles double")
+    left = df.select(F.col("k"), "state", F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("zcta").alias("zcta_a"))
+    right = df.select(F.col("k").alias("zip"), "state", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("zcta").alias("zcta_b"), "population", "is_pobox", "has_locality")
+    pairs = left.join(right, "state").filter("k <> zip and lat_a is not null and lat_b is not null").withColumn("distance", G.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")))
+    table = lambda d: sorted((r["k"], r["nearest"], round(r["distance"], 6), *r[3:]) for r in d.collect())
+    want = table(G.nearest_by_radius(pairs.withColumn("candidate", F.col("zip")), "k"))
+    assert table(G.nearest_with_boxes(df, df, "k", "state")) == want and len(want) > 150
+    want = table(G.nearest_by_table(pairs.drop("distance"), known, "k"))
+    assert table(G.nearest_by_table_search(df, df, known, "k", "state")) == want and {r[3] for r in want} == {"table", "great circle"}
+    far = pairs.filter("distance > 1").groupBy("k").agg(F.min(F.struct("distance", "zip")).alias("b")).select("k", F.col("b.zip").alias("nearest"), F.col("b.distance").alias("distance"))
+    assert table(G.nearest_in_state(df, df, "k", "state", beyond=1.0)) == table(far)

@@ -27,12 +27,22 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["range_override_join", "numeric_range_join", "symmetric_pair_lookup", "asof_latest_price", "nearest_within_miles", "resolution_cascade"])
+@pytest.mark.parametrize("name", ["range_override_join", "numeric_range_join", "symmetric_pair_lookup", "asof_latest_price", "nearest_within_miles", "nearest_radius_pobox", "nearest_by_table_distance", "resolution_cascade"])
 def test_joins_have_keys(spark, name):
     text = plan(QUERIES[name](spark, SF)).replace("BroadcastNestedLoopJoin BuildRight, Inner, NOT (a", "")
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["nearest_in_state", "nearest_radius_pobox", "nearest_by_table_distance"])
+def test_no_search_pairs_all_of_a_state(spark, name):
+    """Where both sides of a join have coordinates, its keys name a cell of the grid."""
+    import re
+
+    for keys in re.findall(r"Join \[([^\]]*)\]", plan(QUERIES[name](spark, SF))):
+        names = {k.split("#")[0] for k in keys.split(", ")}
+        assert names not in ({"_s"}, {"c_nationkey"}), keys
+
+
 @pytest.mark.parametrize("name", ["price_lines_with_fees", "price_lines_absent_tables"])
 def test_the_pricing_engine_reads_lines_once(spark, name):
     text = plan(QUERIES[name](spark, SF))
