@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from .windows import first_by
+from pyspark.sql.types import DateType
 
 
 def enriched(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str = "left", *, defaults: dict[str, object] | None = None, null_keys_match: bool = False, flag: str | None = None) -> DataFrame:
@@ -50,21 +49,53 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return points.withColumn("_key", bucket(point)).join(cut, "_key").filter(inside).drop("_key")
 
 
+#: Days of a bucket of an as-of join by finer times: what falls into one bucket of a key is walked by one task.
+BUCKET_DAYS = 64
+
+
 def as_of(facts: DataFrame, records: DataFrame, keys: list[str], day: str, start: str, end: str | None, fact_id: list[str], *ties: str, strict: bool = False) -> DataFrame:
     """For each fact the newest record that covers its day; if none does, the newest that began (strict: no record).
 
-    The record depends on the keys and the day alone, so it is looked up once for each different day of a key, however
-    many facts ask for it: records that began by then are joined on the keys and ranked, and the facts join the pick.
-    fact_id is not needed for that; it stays for callers that name it.
+    The record depends on the keys and the day alone, so it is looked up once for each different day of a key, and
+    records are first brought down to the best of each key and start. Both are walked in order of time: the last record
+    that came up is the newest that began, and the greatest end that came up tells whether any can hold. So versions and
+    days never meet as pairs, and a key has at most two rows a day however many versions and facts it has. Times finer
+    than days are not so few; they are cut into buckets of BUCKET_DAYS that are walked by themselves, with what holds at
+    the beginning of a bucket carried over from those before it. Only days that the newest record has left and an older,
+    longer one may cover are looked up among the records that hold.
+    Records with a null start, and facts with a null day or key, find nothing. fact_id is not needed; it stays for
+    callers that name it.
     """
-    asked = facts.select(*keys, day).distinct()
-    found = asked.join(records, keys).filter(F.col(start) <= F.col(day))
-    holds = F.coalesce(F.col(end).isNull() | (F.col(end) >= F.col(day)), F.lit(False)) if end else F.lit(True)
-    if strict:
-        found = found.filter(holds)
-    picked = first_by(found, [*keys, day], [F.desc(holds), F.desc_nulls_last(start), *[F.desc_nulls_last(t) for t in ties]])
     own = [c for c in records.columns if c not in keys]
-    return facts.join(picked.select(*keys, day, *own), [*keys, day], "left")
+    far = F.lit("9999-12-31").cast(records.schema[start].dataType)
+    order = [start, *[t for t in ties if t != start], *[c for c in own if c not in (start, *ties)]]
+    given = records.filter(F.col(start).isNotNull())
+    until = F.coalesce(end, far) if end else far
+    best = given.groupBy(*keys, F.col(start).alias("_at")).agg(F.max(F.struct(*order)).alias("_r"), F.max(until).alias("_until"))
+    asked = facts.select(*keys, F.col(day).alias("_at")).filter(F.col("_at").isNotNull()).distinct()
+    daily = {records.schema[start].dataType, facts.schema[day].dataType} == {DateType()}
+    nothing = [F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("_r", "_until")]
+    walk = best.select(*keys, "_at", F.lit(0).alias("_kind"), "_r", "_until").unionByName(asked.select(*keys, "_at", F.lit(1).alias("_kind"), *nothing))
+    by = list(keys)
+    if not daily:
+        by.append("_bucket")
+        walk = walk.withColumn("_bucket", F.floor(F.unix_date(F.to_date("_at")) / BUCKET_DAYS))
+    so_far = Window.partitionBy(*by).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = walk.withColumns({"_r": F.last("_r", ignorenulls=True).over(so_far), "_until": F.max("_until").over(so_far)}).filter("_kind = 1")
+    if not daily:
+        before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = walk.groupBy(*by).agg(F.max("_r").alias("_r"), F.max("_until").alias("_until")).select(*[F.col(k).alias(f"_k_{k}") for k in by], F.max("_r").over(before).alias("_r0"), F.max("_until").over(before).alias("_until0"))
+        held = held.join(carried, [F.col(k) == F.col(f"_k_{k}") for k in by]).withColumns({"_r": F.coalesce("_r", "_r0"), "_until": F.greatest("_until", "_until0")})
+    held = held.select(*keys, "_at", "_r", "_until").filter("_r is not null")
+
+    covers_day = F.coalesce(F.col(f"_r.{end}"), far) >= F.col("_at") if end else F.lit(True)
+    none_does = F.col("_until") < F.col("_at")
+    picked = held.filter(covers_day if strict else covers_day | none_does).select(*keys, "_at", "_r")
+    if end:
+        open_ = held.filter(~covers_day & ~none_does).select(*keys, "_at")
+        older = open_.join(given, keys).filter((F.col(start) <= F.col("_at")) & (until >= F.col("_at"))).groupBy(*keys, "_at").agg(F.max(F.struct(*order)).alias("_r"))
+        picked = picked.unionByName(older)
+    return facts.join(picked.select(*keys, F.col("_at").alias(day), *[F.col(f"_r.{c}").alias(c) for c in own]), [*keys, day], "left")
 
 
 def pair_lookup(pairs: DataFrame, known: DataFrame, a: str, b: str, ka: str, kb: str, value: str, name: str) -> DataFrame:

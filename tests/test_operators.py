@@ -245,3 +245,40 @@ def test_searches_by_predicate_against_all_pairs(spark):
     assert table(G.nearest_by_table_search(df, df, known, "k", "state")) == want and {r[3] for r in want} == {"table", "great circle"}
     far = pairs.filter("distance > 1").groupBy("k").agg(F.min(F.struct("distance", "zip")).alias("b")).select("k", F.col("b.zip").alias("nearest"), F.col("b.distance").alias("distance"))
     assert table(G.nearest_in_state(df, df, "k", "state", beyond=1.0)) == table(far)
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp"])
+@pytest.mark.parametrize("strict", [False, True])
+def test_as_of_against_all_pairs(spark, strict, kind):
+    """Windows that follow each other, nest, overlap, begin together and never end, over many buckets of time."""
+    import random
+
+    rng = random.Random(8)
+    day = lambda n: dt.date(2015, 1, 1) + dt.timedelta(days=n)
+    records, facts = [], []
+    for i in range(600):
+        k, f = rng.choice(["a", "a", "a", "b", "c", None]), rng.randrange(1500)
+        records.append((k, None if rng.random() < 0.02 else day(f), rng.choice([None, day(f + rng.choice([-3, 0, 2, 30, 700]))]) if k == "c" else day(f + rng.choice([-3, 0, 2, 2, 30, 700])), rng.randrange(3), i))
+    for i in range(500):
+        facts.append((i, rng.choice(["a", "b", "c", "d", None]), rng.choice([None, *map(day, range(-5, 2000, 7))])))
+    rec = spark.createDataFrame(records, "k string, f date, t date, tie int, v int")
+    cast = lambda df, *c: df.withColumns({x: F.col(x).cast(kind) for x in c})
+    got = J.as_of(cast(spark.createDataFrame(facts, "id int, k string, day date"), "day"), cast(rec, "f", "t"), ["k"], "day", "f", "t", ["id"], "tie", "v", strict=strict)
+    want = {}
+    for i, k, d in facts:
+        began = [(t is None or t >= d, f, tie, v) for rk, f, t, tie, v in records if k is not None and d is not None and rk == k and f is not None and f <= d]
+        began = [b for b in began if b[0]] if strict else began
+        want[i] = max(began)[3] if began else None
+    assert {r["id"]: r["v"] for r in got.collect()} == want and len(set(want.values())) > 60
+
+
+def test_as_of_of_a_hot_key_makes_no_pairs(spark):
+    """One key with thousands of versions and days that each hold one day: no join sees more than a row for each."""
+    n = 4000
+    rec = spark.range(n).select(F.lit("hot").alias("k"), F.date_add(F.lit(dt.date(2000, 1, 1)), F.col("id").cast("int")).alias("f"), F.date_add(F.lit(dt.date(2000, 1, 1)), F.col("id").cast("int")).alias("t"), F.col("id").alias("v"))
+    facts = rec.select("k", F.date_add("f", 0).alias("day"), F.col("v").alias("id"))
+    out = J.as_of(facts, rec, ["k"], "day", "f", "t", ["id"])
+    assert out.filter("id = v").count() == n == out.count()
+    # windows that lie apart leave nothing to look up among older records
+    apart = J.as_of(facts.withColumn("day", F.date_add("day", 5000)), rec, ["k"], "day", "f", "t", ["id"])
+    assert apart.filter(f"v = {n - 1}").count() == n
