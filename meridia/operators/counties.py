@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,21 +13,68 @@ from ..functions.text import county_key, exception_list, set_logic, split_list
 FUZZY_LEAST, FUZZY_GAP = 0.95, 0.02
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """2 LCS / (|a| + |b|): the share of characters that insertions and deletions leave."""
-    if not a or not b:
-        return float(a == b)
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            row[j], diagonal = (diagonal + 1 if x == y else max(row[j], row[j - 1])), row[j]
-    return 2 * row[-1] / (len(a) + len(b))
+#: Characters of a q-gram, and the least likeness that a match or its closest rival can have.
+GRAM, RIVAL_LEAST = 2, FUZZY_LEAST - FUZZY_GAP
+
+
+def _common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, with one whole number for a row of the table."""
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    v = full = (1 << len(a)) - 1
+    for y in b:
+        u = v & masks.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """2 LCS / (|a| + |b|) of pairs: the share of characters that insertions and deletions leave.
+
+    All pairs go side by side: a row of the table of one pair is the bits of one word, and a step takes the next character
+    of every b. Names of over 64 characters have more than a word and go one by one.
+    """
+    size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    total = size_a + size_b
+    common = np.zeros(len(a), np.int64)
+    word = (size_a > 0) & (size_b > 0) & (size_a <= 64)
+    for i in np.flatnonzero(size_a > 64):
+        common[i] = _common(a[i], b[i])
+    if word.any():
+        own = np.flatnonzero(word)
+        codes = lambda x: np.array([x[i] for i in own]).view(np.uint32).reshape(len(own), -1)
+        x, y = codes(a), codes(b)
+        bits = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64)
+        v = np.full(len(own), 2**64 - 1, np.uint64)
+        for j in range(y.shape[1]):
+            met = ((x == y[:, j : j + 1]) & (x != 0)) @ bits
+            u = v & met
+            v = (v + u) | (v - u)
+        low = np.where(size_a[own] == 64, np.uint64(2**64 - 1), (np.uint64(1) << (size_a[own] % 64).astype(np.uint64)) - np.uint64(1))
+        common[own] = np.bitwise_count(~v & low)
+    return np.where(total > 0, 2 * common / np.maximum(total, 1), 1.0)
 
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)])
+    return pd.Series(indel_ratios(a.fillna("").tolist(), b.fillna("").tolist()))
+
+
+def grams(name: str) -> Column:
+    """The q-grams of a name that a name like it must share one of.
+
+    Two names of m characters together with a likeness of r differ by (1 - r) m insertions and deletions, and each of
+    them spoils GRAM q-grams at most. So in any one order of q-grams the first GRAM * (1 - r) m + 1 of either name have one
+    in common. Repeated q-grams of a name are told apart by their number; the order is that of their hashes.
+    """
+    n = F.char_length(name)
+    # a name of length r' = (2 - l) / l times as long is the longest that the lengths allow at the likeness l
+    most = F.floor((1 - RIVAL_LEAST) * (1 + (2 - FUZZY_LEAST) / FUZZY_LEAST) * n + 1e-9).cast("int")
+    own = F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(name, i, F.lit(GRAM)))
+    numbered = F.transform(own, lambda g, i: F.concat(g, F.size(F.filter(F.slice(own, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+    ordered = F.array_sort(F.transform(numbered, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    return F.when(n >= GRAM, F.transform(F.slice(ordered, F.lit(1), GRAM * most + 1), lambda x: x.g)).otherwise(F.array().cast("array<string>"))
 
 
 def type_rank(kind: Column, city_hint: Column) -> Column:
@@ -66,28 +114,36 @@ def matched(names: DataFrame, counties: DataFrame, aliases: DataFrame, *, fuzzy:
     """names (…, state_fips, key, fee_area) with county_fips and method: exact, alias, fuzzy, or a reject reason.
 
     counties: state_fips, county_key, county_fips, county_type. aliases: state_fips, alias_key, county_key.
-    Fuzzy matching meets names with the counties of their state whose lengths allow the score (a state has at most some
-    hundreds of counties), and needs a score of 0.95 and a lead of 0.02.
+    Fuzzy matching needs a score of 0.95 and a lead of 0.02. A name meets the counties of its state that it shares one of
+    its first q-grams with and whose lengths allow the score; both the match and any rival within the lead are among them.
     """
-    hint = F.upper(F.coalesce("fee_area", F.lit(""))).contains("CITY")
-    names = names.withColumn("_id", F.monotonically_increasing_id()) if "name_id" not in names.columns else names.withColumn("_id", F.col("name_id"))
+    # what a name finds depends on its state, the name and the hint alone: each is looked up once, however many rows ask
     c = counties.select("state_fips", F.col("county_key").alias("key"), "county_fips", "county_type")
-    pick = lambda df, order: df.withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy(*order))).filter("_r = 1").drop("_r")
-    exact = pick(names.join(c, ["state_fips", "key"]), [type_rank(F.col("county_type"), hint), "county_fips"]).withColumn("method", F.lit("exact"))
-    left = names.join(exact.select("_id"), "_id", "left_anti")
-    by_alias = left.join(aliases.select("state_fips", F.col("alias_key").alias("key"), F.col("county_key").alias("_to")), ["state_fips", "key"]).withColumnRenamed("key", "_said").withColumnRenamed("_to", "key")
-    alias = pick(by_alias.join(c, ["state_fips", "key"]), [type_rank(F.col("county_type"), hint), "county_fips"]).drop("key").withColumnRenamed("_said", "key").withColumn("method", F.lit("alias"))
-    left = left.join(alias.select("_id"), "_id", "left_anti")
-    found = exact.unionByName(alias)
+    ranked = c.withColumn("_hint", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("_rank", type_rank(F.col("county_type"), F.col("_hint")))
+    best = lambda df, name, out: df.groupBy("state_fips", F.col(name).alias("key"), "_hint").agg(F.min(F.struct("_rank", "county_fips", "county_type")).alias(out))
+    said = aliases.select("state_fips", "alias_key", F.col("county_key").alias("key")).join(ranked, ["state_fips", "key"])
+    told = names.withColumn("_hint", F.upper(F.coalesce("fee_area", F.lit(""))).contains("CITY"))
+    told = told.join(best(ranked, "key", "_exact"), ["state_fips", "key", "_hint"], "left").join(best(said, "alias_key", "_alias"), ["state_fips", "key", "_hint"], "left")
+    found = [(f"{m}", F.col(f"_{m}")) for m in ("exact", "alias")]
     if fuzzy:
-        near = left.join(c.withColumnRenamed("key", "_to"), "state_fips").filter(2 * F.least(F.length("key"), F.length("_to")) >= FUZZY_LEAST * (F.length("key") + F.length("_to")))
-        # each pair of names is scored once, however many rows ask for it
-        near = near.join(near.select("key", "_to").distinct().withColumn("score", _ratio("key", "_to")), ["key", "_to"])
-        w = Window.partitionBy("_id").orderBy(F.desc("score"), "county_fips")
-        close = near.withColumn("_lead", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))).withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) & (F.col("score") >= FUZZY_LEAST) & (F.col("_lead") >= FUZZY_GAP))
-        found = found.unionByName(close.withColumn("method", F.lit("fuzzy")).select(found.columns))
-    out = names.join(found.select("_id", "county_fips", "county_type", "method"), "_id", "left")
-    return out.withColumn("reject_reason", F.when(F.col("county_fips").isNull(), "no county of this name in the state")).drop("_id")
+        left = told.filter("_exact is null and _alias is null").select("state_fips", "key").distinct()
+        told = told.join(_alike(left, c), ["state_fips", "key"], "left")
+        found.append(("fuzzy", F.col("_fuzzy")))
+    own = [F.coalesce(*[x[f] for _, x in found]).alias(f) for f in ("county_fips", "county_type")]
+    method = F.coalesce(*[F.when(x.isNotNull(), m) for m, x in found]).alias("method")
+    out = told.select(*names.columns, *own, method)
+    return out.withColumn("reject_reason", F.when(F.col("county_fips").isNull(), "no county of this name in the state"))
+
+
+def _alike(names: DataFrame, c: DataFrame) -> DataFrame:
+    """state_fips, key, _fuzzy of the names (once each) that one county of their state is like, with a lead over all others."""
+    side = lambda df, name: df.select("state_fips", F.col("key").alias(name)).distinct().withColumn("gram", F.explode(grams(name)))
+    pairs = side(names, "key").join(side(c, "_to"), ["state_fips", "gram"]).select("state_fips", "key", "_to").distinct()
+    pairs = pairs.filter(2 * F.least(F.length("key"), F.length("_to")) >= FUZZY_LEAST * (F.length("key") + F.length("_to"))).withColumn("score", _ratio("key", "_to")).filter(F.col("score") >= RIVAL_LEAST)
+    near = pairs.join(c.withColumnRenamed("key", "_to"), ["state_fips", "_to"])
+    w = Window.partitionBy("state_fips", "key").orderBy(F.desc("score"), "county_fips")
+    first = near.withColumn("_lead", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))).withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) & (F.col("score") >= FUZZY_LEAST) & (F.col("_lead") >= FUZZY_GAP))
+    return first.select("state_fips", "key", F.struct(F.lit(0).alias("_rank"), "county_fips", "county_type").alias("_fuzzy"))
 
 
 def normalized(rows: DataFrame, counties: DataFrame, aliases: DataFrame, *, fuzzy: bool = True) -> DataFrame:
