@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, number
@@ -67,6 +68,57 @@ def numbered_lines(spark: SparkSession, path: str, member_pattern: str = "") ->
     return files.mapInArrow(_to_lines(member_pattern), _LINES)
 
 
+_RAW = pa.schema([("path", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("utf8", pa.string()), ("cp1252", pa.string()), ("latin1", pa.string()), ("wide", pa.bool_())])
+
+
+def _one_byte(raw: bytes, name: str) -> str | None:
+    try:
+        return raw.decode(name)
+    except UnicodeDecodeError:
+        return None
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines numbered inside their part of a file, in all encodings they could have; of plain ASCII lines only the first."""
+    at, n = None, 0
+    for batch in batches:
+        paths, blocks, raws = (batch.column(c).to_pylist() for c in ("path", "block", "raw"))
+        rows = []
+        for path, block, raw in zip(paths, blocks, raws):
+            n = n + 1 if at == (path, block) else 0
+            at = (path, block)
+            wide = block == 0 and n == 0 and raw[:2] in (b"\xff\xfe", b"\xfe\xff")
+            if raw.isascii():
+                rows.append((path, block, n, raw.decode("ascii"), None, None, wide))
+            else:
+                rows.append((path, block, n, _one_byte(raw, "utf-8"), _one_byte(raw, "cp1252"), raw.decode("latin-1"), wide))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_RAW), _RAW)], schema=_RAW)
+
+
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, member (''), line_no, line, encoding of plain text files that many tasks read, however large a file is.
+
+    A file is cut into parts at line ends (LF, CR LF or CR). Lines are numbered inside their part; the parts' line counts
+    (a row for each) add up to what comes before each. UTF-8 holds for a file if all its lines are valid, else CP1252, else
+    Latin-1. Line ends of two-byte encodings are no bytes of their own: such a file is an error here and one for
+    numbered_lines, as archives are. A byte-order mark of UTF-8 is dropped.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"))
+    lines = raw.mapInArrow(_in_blocks, "path string, block long, n long, utf8 string, cp1252 string, latin1 string, wide boolean")
+    odd = F.col("latin1").isNotNull()
+    parts = lines.groupBy("path", "block").agg((F.max("n") + 1).alias("n"), F.bool_and(F.col("utf8").isNotNull()).alias("u"), F.bool_and(~odd | F.col("cp1252").isNotNull()).alias("c"), F.bool_or("wide").alias("w"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("path")
+    encoding = F.when(F.bool_and("u").over(whole), "utf-8").when(F.bool_and("c").over(whole), "cp1252").otherwise("latin-1")
+    named = F.when(F.bool_or("w").over(whole), F.raise_error(F.concat(F.lit("two-byte encoding, use numbered_lines: "), "path"))).otherwise(encoding)
+    told = parts.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"), named.alias("encoding"))
+    joined = lines.join(told, ["path", "block"], "left")
+    # both passes cut the files alike unless the cluster's size changed between them: then a part has no count
+    before = F.when(F.col("_before").isNull(), F.raise_error(F.lit("files were cut in another way; read them again"))).otherwise(F.col("_before"))
+    text = F.when(~odd, F.col("utf8")).when(F.col("encoding") == "utf-8", F.col("utf8")).when(F.col("encoding") == "cp1252", F.col("cp1252")).otherwise(F.col("latin1"))
+    return joined.select("path", F.lit("").alias("member"), (before + F.col("n")).alias("line_no"), text.alias("line"), "encoding")
+
+
 def fixed_width(lines: DataFrame, contract: Contract, *, line: str = "line", skip_prefix: str = "HDR") -> DataFrame:
     """Slice lines by the contract; headers, blank and short lines go. Empty fields are null, bad numbers too."""
     kept = lines.filter((F.length(line) >= contract.min_length) & ~F.col(line).startswith(skip_prefix))
@@ -141,18 +193,22 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.inline(F.when(wrapped.isNotNull(), wrapped).otherwise(listed)))
 
 
-def excel_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """path, member (sheet), line_no, cells of Excel files; needs openpyxl on the executors."""
+def excel_rows(spark: SparkSession, path: str, sheet: str | None = None, *, batch_rows: int = 10_000) -> DataFrame:
+    """path, member (sheet), line_no, cells of Excel workbooks; sheet: only the one of that name (others are not opened).
+
+    Workbooks without the sheet have no rows. A workbook is read by one task, row by row (see workbooks).
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import openpyxl
+        from .workbooks import Workbook
 
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                book = openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True)
-                for own in [sheet] if sheet else book.sheetnames:
-                    rows = [[None if v is None else str(v) for v in r] for r in book[own].iter_rows(values_only=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([own] * len(rows)), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["path", "member", "line_no", "cells"])
+                book = Workbook(content)
+                for own in [s for s in book.sheets if sheet in (None, s)]:
+                    rows = book.rows(own)
+                    while part := list(itertools.islice(rows, batch_rows)):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([own] * len(part)), pa.array([n for n, _ in part], pa.int64()), pa.array([c for _, c in part], pa.list_(pa.string()))], names=["path", "member", "line_no", "cells"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, member string, line_no long, cells array<string>")
 
