@@ -355,3 +355,25 @@ def upsert_manifest(t: Tables) -> DataFrame:
 @query("SELECT p_partkey, substr(md5('{\"p_brand\":\"' || p_brand || '\",\"p_partkey\":' || p_partkey || '}'), 1, 16) AS record_id FROM part")
 def record_ids(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", record_id(t.part, ["p_partkey", "p_brand"]).alias("record_id"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) // 1000 AS ms, event_type = 'error' AS holds, CASE WHEN value > 20 THEN 'high' ELSE 'medium' END AS severity,
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_type = 'error', CASE WHEN value > 20 THEN 0 ELSE 1 END) AS i FROM events WHERE event_type IN ('error', 'purchase')),
+r AS (SELECT DISTINCT key, 0::BIGINT AS i, NULL::BIGINT AS ms, NULL::BIGINT AS raised, NULL::VARCHAR AS sev, false AS esc, false AS open, NULL::BIGINT AS esc_at, NULL::BIGINT AS esc_raised, NULL::VARCHAR AS esc_sev, false AS up, false AS done FROM e
+  UNION ALL SELECT key, i, ms, CASE WHEN up THEN ms ELSE raised END, CASE WHEN up THEN severity WHEN due THEN higher ELSE sev END, CASE WHEN up THEN false ELSE esc OR due END, CASE WHEN up THEN true WHEN holds THEN open ELSE false END,
+    CASE WHEN due THEN raised + 172800000 END, CASE WHEN due THEN raised END, CASE WHEN due THEN higher END, up, open AND NOT holds
+  FROM (SELECT e.key, e.i, e.ms, e.holds, e.severity, r.raised, r.sev, r.esc, r.open, CASE WHEN r.sev = 'medium' THEN 'high' ELSE 'critical' END AS higher,
+    coalesce(r.open AND NOT r.esc AND r.raised + 172800000 <= e.ms, false) AS due, e.holds AND NOT coalesce(r.open AND e.ms - r.raised <= 86400000, false) AS up FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)),
+out AS (SELECT key, 'raised' AS event, ms, sev AS severity, raised FROM r WHERE up UNION ALL SELECT key, 'resolved', ms, sev, raised FROM r WHERE done UNION ALL SELECT key, 'escalated', esc_at, esc_sev, esc_raised FROM r WHERE esc_at IS NOT NULL
+  UNION ALL SELECT key, 'escalated', raised + 172800000, CASE WHEN sev = 'medium' THEN 'high' ELSE 'critical' END, raised FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1) WHERE open AND NOT esc)
+SELECT key, event, make_timestamp(ms * 1000) AS at, severity, make_timestamp(raised * 1000) AS raised_at FROM out"""
+)
+def alert_log(t: Tables) -> DataFrame:
+    """Alerts of each user's log: errors raise them, purchases end them, and what is open for two days is escalated."""
+    import datetime as dt
+
+    from ..streaming import alert_log as A
+
+    own = t.events.filter(F.col("event_type").isin("error", "purchase")).select("user_id", "ts", (F.col("event_type") == "error").alias("holds"), F.when(F.col("value") > 20, "high").otherwise("medium").alias("severity"))
+    return A.raised_alerts(own, A.Policy({}, other_cooldown=1440, escalate_after=2880), dt.datetime(2100, 1, 1), key="user_id", at="ts")

@@ -7,7 +7,7 @@ from .compare import difference
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: Queries whose rows depend on how many points, versions or fees there are: they are held against more rows too.
 BY_SIZE = [
-    "asof_latest_price", "compare_two_localities", "component_defaults", "facility_rate_lines", "county_exact_match", "cross_anomalies", "default_candidates", "failure_samples", "latency_p95_floor_index", "nearest_by_table_distance", "nearest_in_state",
+    "alert_log", "asof_latest_price", "compare_two_localities", "component_defaults", "facility_rate_lines", "county_exact_match", "cross_anomalies", "default_candidates", "failure_samples", "latency_p95_floor_index", "nearest_by_table_distance", "nearest_in_state",
     "nearest_radius_pobox", "nearest_reverse_asymmetry", "nearest_within_miles", "numeric_range_join", "opps_release_rules", "plan_totals", "price_lines_absent_tables", "price_lines_by_setting", "price_lines_with_fees", "range_override_join", "run_state", "trace_summary", "zip_locality_rules",
 ]
 
