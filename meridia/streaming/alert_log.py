@@ -85,11 +85,9 @@ class Alert:
 
 def _rows(found: list[tuple[str, tuple]]) -> pd.DataFrame:
     """Alerts (key, (event, ms, severity, raised ms)) as rows of OUTPUT."""
-    keys, events = zip(*found) if found else ((), ())
-    out = pd.DataFrame({"key": keys, "event": [e[0] for e in events], "at": [e[1] for e in events], "severity": [e[2] for e in events], "raised_at": [e[3] for e in events]}, columns=_COLUMNS)
-    for c in ("at", "raised_at"):
-        out[c] = pd.to_datetime(out[c].astype("int64"), unit="ms")
-    return out
+    text = lambda values: pd.Series(values, dtype=object)
+    time = lambda values: pd.to_datetime(pd.Series(values, dtype="int64"), unit="ms")
+    return pd.DataFrame({"key": text([k for k, _ in found]), "event": text([e[0] for _, e in found]), "at": time([e[1] for _, e in found]), "severity": text([e[2] for _, e in found]), "raised_at": time([e[3] for _, e in found])}, columns=_COLUMNS)
 
 
 def _log(df: DataFrame, key: str, at: str, holds: str, severity: str) -> DataFrame:
