@@ -19,8 +19,8 @@ before each shuffle: a line that a third of all documents share is one row from
 Cases: a null text stays null and an empty one empty; blank lines are kept and never counted; a line repeated inside
 one document counts once, and only other documents lose it; rows that repeat a doc_id count as one document and are
 each cleaned, exact repeats alike; rows with a null doc_id are returned unchanged and not counted; a text without line
-breaks is one line; an empty table gives no rows; other columns pass through whatever their names, but columns named
-n_lines or n_dropped are replaced by the operator's.
+breaks is one line; an empty table gives no rows; other columns pass through whatever their names; where one is named
+n_lines or n_dropped, the operator's own, which stand last, get leading underscores.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def recurring_lines(docs: DataFrame, *, depth: int = 4, min_docs: int = 2, perce
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """docs with the lines of recurring templates dropped from their texts, plus n_lines and n_dropped."""
+    """docs with the lines of recurring templates dropped from their texts, plus n_lines and n_dropped as the last columns."""
     lines, again = recurring_lines(docs, **options)
     lost = lines.select("doc_id", "row", "line", "k1", "k2").join(again.select("k1", "k2", "t_first"), ["k1", "k2"]).filter(F.col("doc_id") != F.col("t_first"))
     # exact repeats of a row share their doc_id and hash, so their places form one set
@@ -184,5 +184,5 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     kept = F.filter(own, lambda x, i: ~F.coalesce(F.element_at(places, i), F.lit(False)))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(own)).cast("long")
-    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
+    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
+    return joined.select(*columns, n_lines.alias(free_name("n_lines", docs)), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(free_name("n_dropped", docs)))

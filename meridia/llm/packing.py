@@ -1,15 +1,15 @@
 """Best-fit packing of documents into sequences under several capacities at once.
 
 Texts are encoded where they are read; documents longer than a sequence are cut into full pieces and a rest. Pieces
-(their lengths, and their ids if asked for) are dealt by a hash into groups of about `group_rows`, which are even
-however the documents are keyed, and each group is packed on its own: pieces from long to short, each into the open
+(their lengths, and their ids if asked for) are dealt by a hash of their place into groups of about `group_rows`, which
+are even however the documents are keyed or repeated, and each group is packed on its own: pieces from long to short, each into the open
 sequence where the weighted norm of what remains (tokens, documents, attention cost, each as a share of its
 capacity) is least, or where the weighted dot product of piece and residual is largest, among the sequences where
 no capacity is exceeded. A group leaves at most about one sequence unfilled, a share of 1 in thousands.
 
 Cases: a null or empty text is a piece of the end id alone; documents of exactly the capacity stay whole; repeated
 rows are packed each; a null doc_id keeps its pieces; equal lengths are ordered by doc_id and piece, so results are
-the same on every run; an empty table gives no rows; other columns are not read.
+the same on every run over the same parts of the input; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import frugal, parts, small_batches, written
+from .shared import free_name, frugal, parts, small_batches, written
 
 TOKENS = 4096
 
@@ -86,15 +86,16 @@ def vector_best_fit(lengths: np.ndarray, capacities: tuple[float, float, float],
 
 def packed(cut: DataFrame, *, capacity: int = TOKENS, max_documents: int = TOKENS, max_attention: int = TOKENS * TOKENS, weights: tuple[float, float, float] = (1.0, 0.001, 0.001), rule: str = "norm", group_rows: int = 8_000) -> DataFrame:
     """Add sequence_id and offset to pieces. max_attention bounds the sum of squared lengths in a sequence."""
-    cut = written(cut, "pieces")
+    columns, place, group = cut.columns, free_name("_place", cut), free_name("_group", cut)
+    # rows are dealt by their place in the written table: any number of equal rows is spread over all groups
+    cut = written(cut.withColumn(place, F.monotonically_increasing_id()), "pieces")
     n_groups = max(1, -(-cut.count() // group_rows))
-    columns = cut.columns
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         bins, offsets = vector_best_fit(rows["length"].to_numpy(), (capacity, max_documents, max_attention), weights, rule)
-        return rows[columns].assign(sequence_id=bins + (int(rows["_group"].iloc[0]) << 32), offset=offsets)
+        return rows[columns].assign(sequence_id=bins + (int(rows[group].iloc[0]) << 32), offset=offsets)
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)))
-    return dealt.groupBy("_group").applyInPandas(pack, f"{kinds}, sequence_id long, offset long")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name != place)
+    dealt = cut.withColumn(group, F.pmod(F.xxhash64(place), F.lit(n_groups))).drop(place)
+    return dealt.groupBy(group).applyInPandas(pack, f"{kinds}, sequence_id long, offset long")

@@ -120,7 +120,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, id_by
     small_batches(docs.sparkSession)
     folder = folder or shared_folder(docs.sparkSession, "token-files")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = read.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id (or of none) are dealt by how their texts begin, so that they are not one task's
+    ordered = read.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(_writer(folder, tokenizer, end_id, id_bytes, shard_bytes), _INDEX_DDL), "token-index")
 
 

@@ -43,3 +43,10 @@ def test_each_stage_against_a_plain_version(spark):
 
 def test_whole_run_keeps_the_same_documents(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() > 100
+
+
+def test_lines_keep_columns_whatever_their_names(spark):
+    docs = spark.createDataFrame([(i, f"{['alpha beta', 'gamma delta epsilon', 'zeta'][i]}\na line that all of them have here", "mine", True) for i in range(3)], "doc_id long, text string, n_lines string, n_dropped boolean")
+    got = corpus_pipeline.lines(spark, docs, SF)
+    rows = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"].count("\n")) for r in got.collect()}
+    assert got.columns == docs.columns and rows == {0: ("mine", True, 1), 1: ("mine", True, 0), 2: ("mine", True, 0)}

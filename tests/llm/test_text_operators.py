@@ -191,10 +191,10 @@ def test_repeated_rows_and_clashing_columns_of_lines(spark):
     rows = [(1, f"own one\n{line}"), (2, f"{line}\nown two\n{line}"), (2, f"{line}\nown two\n{line}"), (2, f"other text\n{line}"), (3, None)]
     docs = spark.createDataFrame([(*r, "x", True, 7, 8, "t") for r in rows], "doc_id long, text string, _hash string, _gone boolean, n_lines int, _doc int, line string")
     got = line_dedup.without_repeats(docs)
-    assert got.columns == ["doc_id", "text", "_hash", "_gone", "_doc", "line", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "_hash", "_gone", "n_lines", "_doc", "line", "_n_lines", "n_dropped"] and {r["n_lines"] for r in got.collect()} == {7}
     want = [(1, rows[0][1], 2, 0), (2, "own two", 3, 2), (2, "own two", 3, 2), (2, "other text", 2, 1), (3, None, 0, 0)]
     key = lambda r: (r[0], r[1] or "")
-    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert sorted(((r["doc_id"], r["text"], r["_n_lines"], r["n_dropped"]) for r in got.collect()), key=key) == sorted(want, key=key)
     assert all(r["_hash"] == "x" and r["_gone"] and r["_doc"] == 8 and r["line"] == "t" for r in got.collect())
 
 

@@ -308,3 +308,28 @@ def test_classes_are_judged_by_size_in_their_slots():
     assert parts([t(6, 4, 8, 2), t(7, 4, 8, 2), t(8, 5, 8, 1)]) == [[1, 2, 3], [6, 7]]
     # an element of a rejected class holds no slot of its own
     assert parts([t(6, 4, 8, 1), t(7, 6, 7, 2), t(8, 4, 7, 1)]) == [[1, 2, 3], [7, 8]]
+
+
+def test_equal_rows_are_many_groups(spark):
+    """20,000 equal pieces are dealt as evenly as different ones, and packed without loss."""
+    cut = spark.range(20_000).selectExpr("7L as doc_id", "0 as piece", "0L as start", "1000L as length", "5L as ids_crc32")
+    got = packing.packed(cut, group_rows=2_000)
+    sizes = [r["count"] for r in got.groupBy((got["sequence_id"] / 2**32).cast("long").alias("g")).count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 20_000 and max(sizes) < 2 * min(sizes)
+    assert got.select("sequence_id").distinct().count() <= 5_010 and got.columns == [*cut.columns, "sequence_id", "offset"]
+
+
+def test_rows_of_one_doc_id_are_many_tasks(spark):
+    from meridia.llm import token_files
+    from meridia.llm.queries import tokenizer_path
+
+    docs = spark.range(400).selectExpr("cast(if(id % 4 = 0, null, 3) as long) as doc_id", "concat('text ', id) as text").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = token_files.write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index.select("path").distinct().count() > 2
+    rows = token_files.read_token_files(index).orderBy("start").collect()
+    assert len(rows) == 400 and [r["doc_id"] is None for r in rows] == [True] * 100 + [False] * 300
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
