@@ -22,8 +22,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = line_dedup.without_repeats(docs)
-    lost_all = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    return clean.filter(~lost_all).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_dropped = F.col(clean.columns[-1])
+    kept = clean.filter(~((n_dropped > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(n_dropped > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
