@@ -24,16 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import free_name, frugal, parts, small_batches, written
+from .subwords import KEEP_PIECES
 
 TOKENS = 4096
 
 
-def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
+def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool, keep_pieces: int):
     @frugal(encodes=True)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .subwords import encoder
 
         enc = encoder(tokenizer, "word")
+        enc.keep_pieces = keep_pieces
         for whole in batches:
             for batch in parts(whole, "text", 1_000_000):
                 rows = []
@@ -48,11 +50,14 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
     return cut
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = TOKENS, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32[, ids] of every piece of every document."""
+def pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = TOKENS, with_ids: bool = False, keep_pieces: int = KEEP_PIECES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32[, ids] of every piece of every document.
+
+    keep_pieces: the sub-word pieces that a worker remembers; fewer take less memory and more time, for the same rows.
+    """
     small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return read.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return read.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids, keep_pieces), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def vector_best_fit(lengths: np.ndarray, capacities: tuple[float, float, float], weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:

@@ -10,13 +10,14 @@ call are numbered, encoded and gathered together, so that nothing but a table lo
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Pieces and ids that a worker remembers, and the longest piece that is worth remembering.
 KEEP_PIECES, KEEP_IDS, KEEP_CHARS = 1_000_000, 8_000_000, 48
-#: Pieces in one library call.
-BLOCK = 50
+#: Pieces in one text for the library, and such texts in one library call: a call's results take some 100 bytes a token.
+BLOCK, CALL = 50, 100
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _RARE_BLANK = re.compile(r"[^\S \n]")
@@ -71,6 +72,8 @@ class SubwordEncoder:
         #: The ids of piece i are flat[ends[i - 1]:ends[i]].
         self.flat, self.size = np.zeros(1 << 16, np.int32), 0
         self.ends, self.held = np.zeros(1 << 16, np.int64), 1
+        #: The most pieces that are remembered; ids are the same for any number.
+        self.keep_pieces = KEEP_PIECES
 
     def pieces(self, text: str) -> tuple[list[str], bool]:
         """The pieces, and whether each but the first has lost the blank before it."""
@@ -78,6 +81,12 @@ class SubwordEncoder:
             return _CUT.split(text), False
         return text.split(" "), self.keeps_blanks
 
+    def _called(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The library's ids of each text, by calls of bounded size."""
+        for at in range(0, len(texts), CALL):
+            for got in self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False):
+                yield np.array(got.ids, np.int32)
+
     def _encode(self, pieces: list[str]) -> list[np.ndarray]:
         """The library's ids of each piece. Plain pieces go in blocks with the mark between them."""
         out: list = [None] * len(pieces)
@@ -85,8 +94,7 @@ class SubwordEncoder:
         for i, p in enumerate(pieces):
             (odd if self.mark in p or "<|" in p or not p or p.isspace() else plain).append(i)
         blocks = [plain[at : at + BLOCK] for at in range(0, len(plain), BLOCK)]
-        for block, got in zip(blocks, self.tokenizer.encode_batch_fast([self.joint.join([pieces[i] for i in b]) for b in blocks], add_special_tokens=False)):
-            ids = np.array(got.ids, np.int32)
+        for block, ids in zip(blocks, self._called([self.joint.join([pieces[i] for i in b]) for b in blocks])):
             marks = np.flatnonzero(ids == self.mark_id[0])
             if len(self.mark_id) != 1 or len(marks) != len(block) - 1:
                 odd += block
@@ -95,8 +103,8 @@ class SubwordEncoder:
             for i, end in zip(block, [*marks.tolist(), len(ids)]):
                 out[i] = ids[begin:end]
                 begin = end + 1
-        for i, got in zip(odd, self.tokenizer.encode_batch_fast([pieces[i] for i in odd], add_special_tokens=False)):
-            out[i] = np.array(got.ids, np.int32)
+        for i, ids in zip(odd, self._called([pieces[i] for i in odd])):
+            out[i] = ids
         return out
 
     def _append(self, ids: list[np.ndarray]) -> None:
@@ -128,7 +136,7 @@ class SubwordEncoder:
             n = self.ends[at] - begin
             done = np.concatenate([[0], np.cumsum(n)])
             flat = self.flat[np.repeat(begin - done[:-1], n) + np.arange(done[-1])]
-            kept = self.held <= KEEP_PIECES and self.size <= KEEP_IDS
+            kept = self.held <= self.keep_pieces and self.size <= KEEP_IDS
         finally:  # what there is no room for, and what could not be encoded, is forgotten
             for table, p in self.fresh:
                 if not kept or len(p) > KEEP_CHARS:

@@ -333,3 +333,22 @@ def test_rows_of_one_doc_id_are_many_tasks(spark):
     rows = token_files.read_token_files(index).orderBy("start").collect()
     assert len(rows) == 400 and [r["doc_id"] is None for r in rows] == [True] * 100 + [False] * 300
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
+
+
+def test_ids_do_not_depend_on_what_a_worker_remembers(monkeypatch):
+    """Calls of one text, odd pieces among plain ones, and tables with no room: the library's own ids."""
+    from tokenizers import Tokenizer
+
+    from meridia.llm import subwords
+    from meridia.llm.queries import tokenizer_path
+
+    texts = ["", " ".join(f"word{i} number {i * 7919 % 1013}" for i in range(3000)), "a \x01 b  <|x|> \n c" * 40, "word1 number again " + "z" * 5000]
+    monkeypatch.setattr(subwords, "CALL", 2)
+    for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
+        plain = Tokenizer.from_file(tokenizer_path(name))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        for keep in (1, 500, 1_000_000):
+            enc = subwords.SubwordEncoder(tokenizer_path(name), kind)
+            enc.keep_pieces = keep
+            for _ in range(2):
+                assert [x.tolist() for x in enc.ids(texts)] == want
