@@ -38,7 +38,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), end_id=1))
+    # four stages have left their memory in the executors, so that workers remember fewer pieces than in a job of their own
+    return packing.packed(packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, keep_pieces=600_000))
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("pack", pack)]
