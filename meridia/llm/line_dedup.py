@@ -1,9 +1,12 @@
 """Line deduplication with a log-template tree of fixed depth.
 
 A line's tokens stand between white space; those with a digit are fields, <*>. Its leaf in the tree is its token count
-and its leading tokens: `depth` of them, or half of a line of fewer tokens than twice that. In a leaf, a token is
-constant at a place where it stands in at least min_docs and constant_percent of the leaf's lines (each counted once a
-document); a share of the leaf means the same for few documents and for many. All other places are fields too. A line
+and its leading tokens: `depth` of them, or half of a line of fewer tokens than twice that. A leaf holds any number of
+templates, told apart by what stands around a place: a token is constant where it stands in at least min_docs and
+constant_percent of the lines (each counted once a document) that have the same two neighbours there, as NEIGHBOURS
+lists them, or of all lines of the leaf. Other templates and single lines of the leaf have other neighbours, so they
+do not change these shares however many there are; a share means the same for few documents and for many.
+All other places are fields too. A line
 whose fields are at most 100 - percent of its tokens (or one, of three tokens and more) has as template its tokens with
 <*> for each field; any other line, and one without fields, stands for itself, by its own tokens. A template recurs if
 min_docs documents have a line of it (short_min_docs for lines of under short_tokens tokens, which meet by chance). The
@@ -40,6 +43,8 @@ _LINES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int
 _LINES_DDL = "doc_id long, row long, line int, k1 long, k2 long, leaf long, n_tokens int, masked string"
 #: Bits of the largest bitmap of leaves with several documents: 4 MB.
 LEAF_BITS = 25
+#: Places of two neighbours, counted from a token's own. Past the ends of a line stands nothing, which is a neighbour too.
+NEIGHBOURS = ((-2, -1), (1, 2), (-1, 1), (-2, 2))
 _FIELD_HASH = W.words(np.frombuffer(FIELD.encode(), np.uint8), np.array([0, len(FIELD)]), W.BLANKS, lower=False).hash[0]
 
 
@@ -142,22 +147,31 @@ def recurring_lines(docs: DataFrame, *, depth: int = 4, min_docs: int = 2, perce
 
     distinct = written(lines.groupBy("k1", "k2", "doc_id").agg(F.min("leaf").alias("leaf"), F.min("n_tokens").alias("n_tokens")).groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.min("leaf").alias("leaf"), F.min("n_tokens").alias("n_tokens")), "distinct-lines")
     needed = F.when(F.col("n_tokens") < short_tokens, short_min_docs).otherwise(min_docs)
-    mixed = distinct.groupBy("leaf").agg(F.count("*").alias("n_lines"), F.sum("n_docs").alias("leaf_docs")).filter("n_lines > 1").select("leaf", "leaf_docs")
+    mixed = distinct.groupBy("leaf").agg(F.count("*").alias("n_lines")).filter("n_lines > 1").select("leaf")
     counted = distinct.select("k1", "k2", "n_docs", "n_tokens", "leaf").join(mixed, "leaf")
     texts = lines.filter("masked is not null").select("k1", "k2", "masked").dropDuplicates(["k1", "k2"])
     texts = written(texts.join(counted, ["k1", "k2"]).withColumn("token", F.split("masked", " ")).drop("masked").withColumn("lead", F.least(F.lit(depth), F.floor((F.col("n_tokens") + 1) / 2)).cast("int")), "line-texts")
 
     # the leading tokens are the leaf's own; only the places after them can differ in a leaf
-    rest = texts.select("leaf", "leaf_docs", "k1", "k2", "n_docs", "lead", F.posexplode(F.slice("token", F.col("lead") + 1, F.col("n_tokens"))).alias("at", "own"))
-    constant = rest.filter(F.col("own") != FIELD).groupBy("leaf", "at", "own").agg(F.sum("n_docs").alias("n"), F.max("leaf_docs").alias("leaf_docs"))
-    constant = written(constant.filter((F.col("n") >= min_docs) & (F.col("n") * 100 >= F.col("leaf_docs") * constant_percent)).select("leaf", "at", "own", F.lit(True).alias("constant")), "constants")
-    tails = rest.join(constant, ["leaf", "at", "own"], "left").groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("constant"), F.col("own")).otherwise(FIELD).alias("own")))).alias("tail"))
-    tokens = F.concat(F.slice("token", 1, F.col("lead")), F.coalesce(F.col("tail.own"), F.array().cast("array<string>")))
+    after = F.sequence("lead", F.col("n_tokens") - 1)
+    rest = texts.filter("lead < n_tokens").withColumn("at", F.explode(after))
+    near = [F.xxhash64(F.lit(a), F.lit(b), "leaf", "at", *(F.coalesce(F.get("token", F.col("at") + k), F.lit("")) for k in (a, b))) for a, b in NEIGHBOURS]
+    own = F.get("token", F.col("at"))
+    rest = rest.select("k1", "k2", "at", "n_docs", F.when(own != FIELD, F.xxhash64(own)).alias("own"), F.explode(F.array(F.xxhash64("leaf", "at"), *near)).alias("around"))
+    counts = written(rest.groupBy("around", "own").agg(F.sum("n_docs").alias("n")), "token-counts")
+    around = counts.groupBy("around").agg(F.sum("n").alias("of")).filter(F.col("of") >= min_docs)
+    constant = counts.filter(F.col("own").isNotNull() & (F.col("n") >= min_docs)).join(around, "around")
+    constant = written(constant.filter(F.col("n") * 100 >= F.col("of") * constant_percent).select("around", "own"), "constants")
+    tails = rest.join(constant, ["around", "own"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("places"))
+    fixed = F.coalesce("places", F.array().cast("array<int>"))
+    at = lambda p, token: F.struct(p.alias("at"), token.alias("own"))
+    tail = F.array_sort(F.concat(F.transform(fixed, lambda p: at(p, F.get("token", p))), F.transform(F.array_except(after, fixed), lambda p: at(p, F.lit(FIELD)))))
+    tokens = F.when(F.col("lead") < F.col("n_tokens"), F.concat(F.slice("token", 1, F.col("lead")), F.transform(tail, lambda x: x["own"]))).otherwise(F.col("token"))
     named = texts.join(tails, ["k1", "k2"], "left").withColumn("token", tokens).withColumn("fields", F.size(F.filter("token", lambda t: t == FIELD)))
     fits = (F.col("fields") * 100 <= F.col("n_tokens") * (100 - percent)) | ((F.col("fields") == 1) & (F.col("n_tokens") >= 3))
     general = named.filter((F.col("fields") > 0) & fits).withColumn("template", F.array_join("token", " "))
     general = written(general.select("k1", "k2", F.xxhash64("template").alias("t1"), F.xxhash64(F.lit(1), "template").alias("t2"), "template", "n_tokens"), "general")
-    dropped(texts, constant, several)
+    dropped(texts, counts, constant, several)
 
     # documents of a template: several lines of it in one document count once
     of = lines.select("k1", "k2", "doc_id").join(general.select("k1", "k2", "t1", "t2", "n_tokens"), ["k1", "k2"])

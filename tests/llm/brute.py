@@ -66,12 +66,16 @@ def line_templates(rows, depth=4, min_docs=2, percent=70, constant_percent=10, s
         leaves.setdefault((len(t), shown[: min(depth, (len(t) + 1) // 2)]), []).append((t, shown))
     group = {}
     for (n, lead), own in leaves.items():
-        total = sum(len(docs[t]) for t, _ in own)
         for t, shown in own:
             name = list(shown)
             for i in range(len(lead), n):
-                count = sum(len(docs[o]) for o, s in own if s[i] == shown[i])
-                if not (count >= min_docs and 100 * count >= constant_percent * total):
+                constant = False
+                for places in ((), (-2, -1), (1, 2), (-1, 1), (-2, 2)):
+                    around = lambda s: [s[i + k] if 0 <= i + k < n else "" for k in places]  # noqa: E731, B023
+                    alike = [(len(docs[o]), s[i] == shown[i]) for o, s in own if around(s) == around(shown)]
+                    count = sum(c for c, same in alike if same)
+                    constant |= count >= min_docs and 100 * count >= constant_percent * sum(c for c, _ in alike)
+                if not constant:
                     name[i] = "<*>"
             fields = name.count("<*>")
             general = fields and (100 * fields <= (100 - percent) * n or (fields == 1 and n >= 3))

@@ -220,6 +220,26 @@ def test_the_same_boilerplate_goes_at_any_size(spark, n):
     assert all(got[i] == "\n".join(rows[i][1].split("\n")[2:4]) for i in range(1, n)), "numbers alone are no template"
 
 
+@pytest.mark.parametrize("templates,strangers", [(1, 0), (1, 600), (12, 0), (12, 3_000), (200, 0), (3, 100_000)])
+def test_templates_of_one_leaf_go_whatever_else_is_in_it(spark, templates, strangers):
+    """Templates that begin alike and are of one length, each of 20 documents, beside other lines of that beginning and length."""
+    rng = random.Random(templates + strangers)
+    word = lambda: "".join(rng.choices("abcdefgh", k=2))
+    kinds = [[word() for _ in range(9)] for _ in range(templates)]
+    names = ["".join(rng.choices("klmnop", k=4)) for _ in range(20)]
+    rows = []
+    for d in range(20):
+        for k, kind in enumerate(kinds):
+            line = list(kind)
+            line[4] = names[(d + k) % 20]
+            rows.append((k * 20 + d, "please note that the " + " ".join(line)))
+    rows += [(10**6 + i, "please note that the " + " ".join(word() for _ in range(9))) for i in range(strangers)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(table(spark, rows)).collect()}
+    assert {i for i, t in got.items() if t == ""} == {i for i in range(templates * 20) if i % 20}
+    if templates * 20 + strangers < 700:
+        assert sorted(got.items()) == sorted(brute.line_templates(rows))
+
+
 def test_words_across_windows(monkeypatch):
     monkeypatch.setattr(W, "WINDOW", 7)
     text = "Ab cdé--fgh " + "x" * 40 + " 12\n"
