@@ -147,22 +147,30 @@ def recurring_lines(docs: DataFrame, *, depth: int = 4, min_docs: int = 2, perce
 
     distinct = written(lines.groupBy("k1", "k2", "doc_id").agg(F.min("leaf").alias("leaf"), F.min("n_tokens").alias("n_tokens")).groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.min("leaf").alias("leaf"), F.min("n_tokens").alias("n_tokens")), "distinct-lines")
     needed = F.when(F.col("n_tokens") < short_tokens, short_min_docs).otherwise(min_docs)
-    mixed = distinct.groupBy("leaf").agg(F.count("*").alias("n_lines")).filter("n_lines > 1").select("leaf")
+    mixed = distinct.groupBy("leaf").agg(F.count("*").alias("n_lines"), F.sum("n_docs").alias("leaf_docs")).filter("n_lines > 1").select("leaf", "leaf_docs")
     counted = distinct.select("k1", "k2", "n_docs", "n_tokens", "leaf").join(mixed, "leaf")
     texts = lines.filter("masked is not null").select("k1", "k2", "masked").dropDuplicates(["k1", "k2"])
     texts = written(texts.join(counted, ["k1", "k2"]).withColumn("token", F.split("masked", " ")).drop("masked").withColumn("lead", F.least(F.lit(depth), F.floor((F.col("n_tokens") + 1) / 2)).cast("int")), "line-texts")
 
     # the leading tokens are the leaf's own; only the places after them can differ in a leaf
     after = F.sequence("lead", F.col("n_tokens") - 1)
-    rest = texts.filter("lead < n_tokens").withColumn("at", F.explode(after))
-    near = [F.xxhash64(F.lit(a), F.lit(b), "leaf", "at", *(F.coalesce(F.get("token", F.col("at") + k), F.lit("")) for k in (a, b))) for a, b in NEIGHBOURS]
     own = F.get("token", F.col("at"))
-    rest = rest.select("k1", "k2", "at", "n_docs", F.when(own != FIELD, F.xxhash64(own)).alias("own"), F.explode(F.array(F.xxhash64("leaf", "at"), *near)).alias("around"))
-    counts = written(rest.groupBy("around", "own").agg(F.sum("n_docs").alias("n")), "token-counts")
+    here = F.when(own != FIELD, F.xxhash64(own)).alias("own")
+    rest = texts.filter("lead < n_tokens").withColumn("at", F.explode(after)).select("leaf", "leaf_docs", "k1", "k2", "n_docs", "at", here).filter("own is not null")
+    alike = rest.groupBy("leaf", "at", "own").agg(F.sum("n_docs").alias("n"), F.max("leaf_docs").alias("leaf_docs")).filter(F.col("n") >= min_docs)
+    alike = written(alike.select("leaf", "at", "own", (F.col("n") * 100 >= F.col("leaf_docs") * constant_percent).alias("often")), "token-counts")
+
+    # neighbours are asked only at places of a leaf where a token of several documents has no share of the whole leaf
+    asked = alike.filter("not often").groupBy("leaf").agg(F.collect_set("at").alias("asked"))
+    near = [F.xxhash64(F.lit(a), F.lit(b), "leaf", "at", *(F.coalesce(F.get("token", F.col("at") + k), F.lit("")) for k in (a, b))) for a, b in NEIGHBOURS]
+    beside = texts.join(asked, "leaf").withColumn("at", F.explode("asked")).select("k1", "k2", "n_docs", "at", here, F.explode(F.array(*near)).alias("around"))
+    counts = written(beside.groupBy("around", "own").agg(F.sum("n_docs").alias("n")), "neighbour-counts")
     around = counts.groupBy("around").agg(F.sum("n").alias("of")).filter(F.col("of") >= min_docs)
     constant = counts.filter(F.col("own").isNotNull() & (F.col("n") >= min_docs)).join(around, "around")
     constant = written(constant.filter(F.col("n") * 100 >= F.col("of") * constant_percent).select("around", "own"), "constants")
-    tails = rest.join(constant, ["around", "own"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("places"))
+    common = rest.join(alike.filter("often"), ["leaf", "at", "own"]).select("k1", "k2", "at")
+    places = common.unionByName(beside.join(constant, ["around", "own"]).select("k1", "k2", "at"))
+    tails = places.groupBy("k1", "k2").agg(F.collect_set("at").alias("places"))
     fixed = F.coalesce("places", F.array().cast("array<int>"))
     at = lambda p, token: F.struct(p.alias("at"), token.alias("own"))
     tail = F.array_sort(F.concat(F.transform(fixed, lambda p: at(p, F.get("token", p))), F.transform(F.array_except(after, fixed), lambda p: at(p, F.lit(FIELD)))))
@@ -171,7 +179,7 @@ def recurring_lines(docs: DataFrame, *, depth: int = 4, min_docs: int = 2, perce
     fits = (F.col("fields") * 100 <= F.col("n_tokens") * (100 - percent)) | ((F.col("fields") == 1) & (F.col("n_tokens") >= 3))
     general = named.filter((F.col("fields") > 0) & fits).withColumn("template", F.array_join("token", " "))
     general = written(general.select("k1", "k2", F.xxhash64("template").alias("t1"), F.xxhash64(F.lit(1), "template").alias("t2"), "template", "n_tokens"), "general")
-    dropped(texts, counts, constant, several)
+    dropped(texts, alike, counts, constant, several)
 
     # documents of a template: several lines of it in one document count once
     of = lines.select("k1", "k2", "doc_id").join(general.select("k1", "k2", "t1", "t2", "n_tokens"), ["k1", "k2"])
