@@ -2,10 +2,11 @@
 
 A line's tokens stand between white space; those with a digit are fields, <*>. Its leaf in the tree is its token count
 and its leading tokens: `depth` of them, or half of a line of fewer tokens than twice that. A leaf holds any number of
-templates, told apart by what stands around a place: a token is constant where it stands in at least min_docs and
-constant_percent of the lines (each counted once a document) that have the same two neighbours there, as NEIGHBOURS
-lists them, or of all lines of the leaf. Other templates and single lines of the leaf have other neighbours, so they
-do not change these shares however many there are; a share means the same for few documents and for many.
+templates. First, a token is constant at a place where it stands in at least min_docs and constant_percent of the leaf's
+lines (each counted once a document). The lines that get no template this way are then told apart by what stands around
+a place: a token of theirs is constant, too, where it has that share of those among them with the same two neighbours,
+as NEIGHBOURS lists them. Other templates and single lines of the leaf have other neighbours, so they do not change
+these shares however many there are; a share means the same for few documents and for many.
 All other places are fields too. A line
 whose fields are at most 100 - percent of its tokens (or one, of three tokens and more) has as template its tokens with
 <*> for each field; any other line, and one without fields, stands for itself, by its own tokens. A template recurs if
@@ -160,26 +161,30 @@ def recurring_lines(docs: DataFrame, *, depth: int = 4, min_docs: int = 2, perce
     alike = rest.groupBy("leaf", "at", "own").agg(F.sum("n_docs").alias("n"), F.max("leaf_docs").alias("leaf_docs")).filter(F.col("n") >= min_docs)
     alike = written(alike.select("leaf", "at", "own", (F.col("n") * 100 >= F.col("leaf_docs") * constant_percent).alias("often")), "token-counts")
 
-    # neighbours are asked only at places of a leaf where a token of several documents has no share of the whole leaf
-    asked = alike.filter("not often").groupBy("leaf").agg(F.collect_set("at").alias("asked"))
+    def shaped(lines: DataFrame) -> DataFrame:
+        fixed = F.coalesce("places", F.array().cast("array<int>"))
+        at = lambda p, token: F.struct(p.alias("at"), token.alias("own"))
+        tail = F.array_sort(F.concat(F.transform(fixed, lambda p: at(p, F.get("token", p))), F.transform(F.array_except(after, fixed), lambda p: at(p, F.lit(FIELD)))))
+        name = F.when(F.col("lead") < F.col("n_tokens"), F.concat(F.slice("token", 1, F.col("lead")), F.transform(tail, lambda x: x["own"]))).otherwise(F.col("token"))
+        fields = F.size(F.filter("name", lambda t: t == FIELD))
+        fits = (F.col("fields") * 100 <= F.col("n_tokens") * (100 - percent)) | ((F.col("fields") == 1) & (F.col("n_tokens") >= 3))
+        return lines.withColumn("name", name).withColumn("fields", fields).withColumn("fits", fits).filter("fields > 0")
+
+    places = written(rest.join(alike.filter("often"), ["leaf", "at", "own"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("places")), "places")
+    first = shaped(texts.join(places, ["k1", "k2"], "left"))
+    others = written(first.filter("not fits").select(*texts.columns, "places"), "other-lines")
     near = [F.xxhash64(F.lit(a), F.lit(b), "leaf", "at", *(F.coalesce(F.get("token", F.col("at") + k), F.lit("")) for k in (a, b))) for a, b in NEIGHBOURS]
-    beside = texts.join(asked, "leaf").withColumn("at", F.explode("asked")).select("k1", "k2", "n_docs", "at", here, F.explode(F.array(*near)).alias("around"))
+    beside = others.filter("lead < n_tokens").withColumn("at", F.explode(after)).select("k1", "k2", "n_docs", "at", here, F.explode(F.array(*near)).alias("around"))
     counts = written(beside.groupBy("around", "own").agg(F.sum("n_docs").alias("n")), "neighbour-counts")
     around = counts.groupBy("around").agg(F.sum("n").alias("of")).filter(F.col("of") >= min_docs)
     constant = counts.filter(F.col("own").isNotNull() & (F.col("n") >= min_docs)).join(around, "around")
     constant = written(constant.filter(F.col("n") * 100 >= F.col("of") * constant_percent).select("around", "own"), "constants")
-    common = rest.join(alike.filter("often"), ["leaf", "at", "own"]).select("k1", "k2", "at")
-    places = common.unionByName(beside.join(constant, ["around", "own"]).select("k1", "k2", "at"))
-    tails = places.groupBy("k1", "k2").agg(F.collect_set("at").alias("places"))
-    fixed = F.coalesce("places", F.array().cast("array<int>"))
-    at = lambda p, token: F.struct(p.alias("at"), token.alias("own"))
-    tail = F.array_sort(F.concat(F.transform(fixed, lambda p: at(p, F.get("token", p))), F.transform(F.array_except(after, fixed), lambda p: at(p, F.lit(FIELD)))))
-    tokens = F.when(F.col("lead") < F.col("n_tokens"), F.concat(F.slice("token", 1, F.col("lead")), F.transform(tail, lambda x: x["own"]))).otherwise(F.col("token"))
-    named = texts.join(tails, ["k1", "k2"], "left").withColumn("token", tokens).withColumn("fields", F.size(F.filter("token", lambda t: t == FIELD)))
-    fits = (F.col("fields") * 100 <= F.col("n_tokens") * (100 - percent)) | ((F.col("fields") == 1) & (F.col("n_tokens") >= 3))
-    general = named.filter((F.col("fields") > 0) & fits).withColumn("template", F.array_join("token", " "))
+    more = beside.join(constant, ["around", "own"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("more"))
+    none = F.array().cast("array<int>")
+    second = shaped(others.join(more, ["k1", "k2"], "left").withColumn("places", F.array_union(F.coalesce("places", none), F.coalesce("more", none))).drop("more"))
+    general = first.filter("fits").unionByName(second.filter("fits")).withColumn("template", F.array_join("name", " "))
     general = written(general.select("k1", "k2", F.xxhash64("template").alias("t1"), F.xxhash64(F.lit(1), "template").alias("t2"), "template", "n_tokens"), "general")
-    dropped(texts, alike, counts, constant, several)
+    dropped(texts, alike, places, others, counts, constant, several)
 
     # documents of a template: several lines of it in one document count once
     of = lines.select("k1", "k2", "doc_id").join(general.select("k1", "k2", "t1", "t2", "n_tokens"), ["k1", "k2"])

@@ -41,13 +41,18 @@ t AS (SELECT doc_id, place, line, list_filter(regexp_split_to_array(line, '[\x09
 lines AS (SELECT w, len(w) AS n, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS shown, count(DISTINCT doc_id) AS n_docs FROM t WHERE len(w) >= {short_tokens} OR len(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9]'))) > 0 GROUP BY w),
 placed AS (SELECT *, least({depth}, (n + 1) // 2) AS lead, shown[1:least({depth}, (n + 1) // 2)] AS head, row_number() OVER () AS id FROM lines),
 tokens AS (SELECT id, n, head, lead, n_docs, shown, unnest(shown) AS token, unnest(range(0, n)) AS place FROM placed),
-near AS (SELECT id, n, head, place, token, n_docs, a, b, CASE WHEN a <> b AND place + a BETWEEN 0 AND n - 1 THEN shown[place + a + 1] ELSE '' END AS x, CASE WHEN a <> b AND place + b BETWEEN 0 AND n - 1 THEN shown[place + b + 1] ELSE '' END AS y
-         FROM tokens, (VALUES (0, 0), (-2, -1), (1, 2), (-1, 1), (-2, 2)) neighbours(a, b) WHERE place >= lead),
+leaves AS (SELECT n, head, sum(n_docs) AS leaf_docs FROM placed GROUP BY n, head),
+often AS (SELECT n, head, place, token, true AS is_often FROM tokens JOIN leaves USING (n, head) WHERE token <> '<*>' GROUP BY n, head, place, token HAVING sum(n_docs) >= {min_docs} AND 100 * sum(n_docs) >= {constant_percent} * max(leaf_docs)),
+marked AS (SELECT tokens.*, place < lead OR coalesce(is_often, false) AS fixed FROM tokens LEFT JOIN often USING (n, head, place, token)),
+first AS (SELECT id, n, count(*) FILTER (token = '<*>' OR NOT fixed) AS fields FROM marked GROUP BY id, n),
+others AS (SELECT id FROM first WHERE fields > 0 AND NOT (100 * fields <= {100 - percent} * n OR (fields = 1 AND n >= 3))),
+near AS (SELECT id, n, head, place, token, n_docs, a, b, CASE WHEN place + a BETWEEN 0 AND n - 1 THEN shown[place + a + 1] ELSE '' END AS x, CASE WHEN place + b BETWEEN 0 AND n - 1 THEN shown[place + b + 1] ELSE '' END AS y
+         FROM tokens SEMI JOIN others USING (id), (VALUES (-2, -1), (1, 2), (-1, 1), (-2, 2)) neighbours(a, b) WHERE place >= lead),
 counts AS (SELECT n, head, place, a, b, x, y, token, sum(n_docs) AS c FROM near GROUP BY ALL),
 shares AS (SELECT *, sum(c) OVER (PARTITION BY n, head, place, a, b, x, y) AS total FROM counts),
 constants AS (SELECT n, head, place, a, b, x, y, token FROM shares WHERE token <> '<*>' AND c >= {min_docs} AND 100 * c >= {constant_percent} * total),
-fixed AS (SELECT DISTINCT id, place, true AS is_fixed FROM near JOIN constants USING (n, head, place, a, b, x, y, token)),
-shapes AS (SELECT id, list(CASE WHEN place < lead OR is_fixed THEN token ELSE '<*>' END ORDER BY place) AS template FROM tokens LEFT JOIN fixed USING (id, place) GROUP BY id),
+more AS (SELECT DISTINCT id, place, true AS is_more FROM near JOIN constants USING (n, head, place, a, b, x, y, token)),
+shapes AS (SELECT id, list(CASE WHEN fixed OR is_more THEN token ELSE '<*>' END ORDER BY place) AS template FROM marked LEFT JOIN more USING (id, place) GROUP BY id),
 general AS (SELECT w, n, template, len(list_filter(template, lambda x: x = '<*>')) AS fields FROM placed JOIN shapes USING (id)),
 named AS (SELECT w, n, fields > 0 AND (100 * fields <= {100 - percent} * n OR (fields = 1 AND n >= 3)) AS is_general, CASE WHEN fields > 0 AND (100 * fields <= {100 - percent} * n OR (fields = 1 AND n >= 3)) THEN template ELSE w END AS name FROM general),
 totals AS (SELECT is_general, name, min(doc_id) AS t_first FROM t JOIN named USING (w) GROUP BY ALL HAVING count(DISTINCT doc_id) >= CASE WHEN min(n) < {short_tokens} THEN {short_min_docs} ELSE {min_docs} END),

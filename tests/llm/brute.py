@@ -66,20 +66,21 @@ def line_templates(rows, depth=4, min_docs=2, percent=70, constant_percent=10, s
         leaves.setdefault((len(t), shown[: min(depth, (len(t) + 1) // 2)]), []).append((t, shown))
     group = {}
     for (n, lead), own in leaves.items():
-        for t, shown in own:
-            name = list(shown)
-            for i in range(len(lead), n):
-                constant = False
-                for places in ((), (-2, -1), (1, 2), (-1, 1), (-2, 2)):
-                    around = lambda s: [s[i + k] if 0 <= i + k < n else "" for k in places]  # noqa: E731, B023
-                    alike = [(len(docs[o]), s[i] == shown[i]) for o, s in own if around(s) == around(shown)]
-                    count = sum(c for c, same in alike if same)
-                    constant |= count >= min_docs and 100 * count >= constant_percent * sum(c for c, _ in alike)
-                if not constant:
-                    name[i] = "<*>"
-            fields = name.count("<*>")
-            general = fields and (100 * fields <= (100 - percent) * n or (fields == 1 and n >= 3))
-            group.setdefault((True, tuple(name)) if general else (False, t), []).append(t)
+        lead = len(lead)
+        fits = lambda name: 100 * name.count("<*>") <= (100 - percent) * n or (name.count("<*>") == 1 and n >= 3)  # noqa: E731, B023
+
+        def constant(lines, shown, i, near):
+            around = lambda s: [s[i + k] if 0 <= i + k < n else "" for k in near]  # noqa: E731, B023
+            alike = [(len(docs[o]), s[i] == shown[i]) for o, s in lines if around(s) == around(shown)]
+            count = sum(c for c, same in alike if same)
+            return count >= min_docs and 100 * count >= constant_percent * sum(c for c, _ in alike)
+
+        names = {t: [x if i < lead or constant(own, s, i, ()) else "<*>" for i, x in enumerate(s)] for t, s in own}  # noqa: B023
+        others = [(t, s) for t, s in own if not fits(names[t])]
+        for t, s in others:
+            names[t] = [y if y != "<*>" or not any(constant(others, s, i, near) for near in ((-2, -1), (1, 2), (-1, 1), (-2, 2))) else s[i] for i, y in enumerate(names[t])]
+        for t, name in names.items():
+            group.setdefault((True, tuple(name)) if "<*>" in name and fits(name) else (False, t), []).append(t)
     lost = {}
     for own in group.values():
         having = set().union(*(docs[t] for t in own))
