@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import joined_hash, record_id
@@ -279,12 +279,19 @@ def zip_locality_rules(t: Tables) -> DataFrame:
     return Q.zip_locality_results(z, dt.date(2024, 6, 1)).select("rule", "n_rows", "n_failed", "passed")
 
 
+def part_code(k: Column) -> tuple[Column, Column]:
+    """The last five digits of a key to the base 36, and those before them: a code and a modifier of its own for any key."""
+    text = F.lpad(F.conv(k.cast("string"), 10, 36), 13, "0")
+    return F.substring(text, 9, 5), F.ltrim(F.substring(text, 1, 8), F.lit("0"))
+
+
 def addenda(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Brands as ambulatory groups with their mean price, and parts as codes of them."""
     k = F.col("p_partkey")
+    hcpcs, modifier = part_code(k)
     apc = F.lpad(F.regexp_extract("p_brand", r"(\d+)", 1), 4, "0")
     a = t.part.groupBy(apc.alias("apc")).agg(F.round(F.avg("p_retailprice"), 2).alias("rate"))
-    b = t.part.select(F.when(k % 100 == 0, "bad").otherwise(F.lpad(k.cast("string"), 5, "0")).alias("hcpcs"), F.lit("").alias("modifier"), F.when(k % 40 == 1, "9999").otherwise(apc).alias("apc"), F.when(k % 60 == 2, "?").otherwise("S").alias("status_indicator"), F.lit(dt.date(2024, 1, 1)).alias("effective_from"), F.lit(dt.date(2024, 3, 31)).alias("effective_to"))
+    b = t.part.select(F.when(k % 100 == 0, "bad").otherwise(hcpcs).alias("hcpcs"), F.when(k % 100 == 0, "").otherwise(modifier).alias("modifier"), F.when(k % 40 == 1, "9999").otherwise(apc).alias("apc"), F.when(k % 60 == 2, "?").otherwise("S").alias("status_indicator"), F.lit(dt.date(2024, 1, 1)).alias("effective_from"), F.lit(dt.date(2024, 3, 31)).alias("effective_to"))
     return a, b
 
 
@@ -297,7 +304,7 @@ def opps_release_rules(t: Tables) -> DataFrame:
     a, b = addenda(t)
     spark = a.sparkSession
     files = spark.createDataFrame([("a.csv", "addendum_a"), ("b.xlsx", "addendum_b"), ("note.docx", "readme")], "name string, kind string")
-    codes = t.part.select(F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("hcpcs"))
+    codes = t.part.select(part_code(F.col("p_partkey"))[0].alias("hcpcs"))
     before = a.withColumn("rate", F.col("rate") * 1.05)
     out = Q.opps_release_results(files, a, b, codes, before, b, columns_a={"apc": "string", "rate": "double"}, columns_b={c: "string" for c in ("hcpcs", "modifier", "apc", "status_indicator")} | {c: "date" for c in ("effective_from", "effective_to")})
     return out.select("rule", "n_rows", "n_failed")

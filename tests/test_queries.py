@@ -23,6 +23,25 @@ def test_query_equals_its_sql_on_more_rows(spark, name):
     assert difference(QUERIES[name](spark, LARGER), ORACLES[name], LARGER) == ""
 
 
+def with_rows(folder, name: str, df) -> str:
+    """A folder with all tables of SF, one of them replaced."""
+    import os
+
+    for table in os.listdir(SF):
+        if table != f"{name}.parquet":
+            os.symlink(f"{SF}/{table}", folder / table)
+    df.write.parquet(str(folder / f"{name}.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("shift", [120_000, 36**5, 40**8])
+def test_release_rules_of_parts_with_longer_keys(spark, tmp_path, shift):
+    """Keys of more digits than a code has are still codes of their own."""
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    folder = with_rows(tmp_path, "part", part.unionByName(part.withColumn("p_partkey", part.p_partkey + shift)))
+    assert difference(QUERIES["opps_release_rules"](spark, folder), ORACLES["opps_release_rules"], folder) == ""
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
