@@ -119,6 +119,16 @@ def missing(df: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(reference.select(*keys).distinct(), keys, "left_anti")
 
 
+def missing_pairs(df: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, on: list[str]) -> DataFrame:
+    """The different (a, b) of df that are no pair of left (a, on) joined to right (b, on), without making those pairs.
+
+    Each pair asked for takes what its own a says of `on`, and looks that up with its b.
+    """
+    known = right.select(b, *on).distinct().withColumn("_known", F.lit(True))
+    asked = df.select(a, b).distinct().join(left.select(a, *on).distinct(), a, "left").join(known, [b, *on], "left")
+    return asked.groupBy(a, b).agg(F.max("_known").alias("_known")).filter("_known is null").select(a, b)
+
+
 def conflicts(left: DataFrame, right: DataFrame, key: str, compared: list[str]) -> DataFrame:
     """Rows of equal key that differ in a compared column, with the first that differs."""
     r = right.select(key, *[F.col(c).alias(f"{c}_other") for c in compared])

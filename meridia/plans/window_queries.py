@@ -155,8 +155,9 @@ def missing_reference_anti(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_partkey % 10 = s_suppkey % 10) g WHERE g.p_partkey = l.l_partkey AND g.s_suppkey = l.l_suppkey)")
 def referential_anti(t: Tables) -> DataFrame:
-    pairs = t.part.select("p_partkey", (F.col("p_partkey") % 10).alias("m")).join(t.supplier.select("s_suppkey", (F.col("s_suppkey") % 10).alias("m")), "m").select(F.col("p_partkey").alias("l_partkey"), F.col("s_suppkey").alias("l_suppkey"))
-    return J.missing(t.lineitem.select("l_partkey", "l_suppkey"), pairs, ["l_partkey", "l_suppkey"]).distinct()
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 10).alias("m"))
+    suppliers = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_suppkey") % 10).alias("m"))
+    return J.missing_pairs(t.lineitem, parts, suppliers, "l_partkey", "l_suppkey", ["m"])
 
 
 @query(

@@ -338,3 +338,14 @@ def test_fuzzy_names_against_all_counties_of_a_state(spark):
         assert got[i] == ((scored[0][1], "fuzzy") if good else (None, None)), (i, s, k)
         fuzzy += bool(good)
     assert fuzzy > 40
+
+
+def test_missing_pairs_against_all_pairs(spark):
+    """Keys that occur in several groups, repeated rows, keys without a partner, and nulls, which equal nothing."""
+    left = [(1, 0), (1, 1), (1, 1), (2, 0), (3, None), (None, 0), (4, 2)]
+    right = [(10, 0), (11, 1), (11, 1), (12, None), (None, 0), (13, 0), (13, 1)]
+    asked = [(a, b) for a in (1, 2, 3, 4, 5, None) for b in (10, 11, 12, 13, 14, None)] * 2
+    df = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    got = J.missing_pairs(df(asked, "ab"), df(left, "am"), df(right, "bm"), "a", "b", ["m"]).collect()
+    pairs = {(a, b) for a, m in left for b, n in right if None not in (a, b, m) and m == n}
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, set(asked) - pairs))

@@ -62,6 +62,14 @@ def test_no_search_pairs_all_of_a_state(spark, name):
         assert names not in ({"_s"}, {"c_nationkey"}), keys
 
 
+def test_no_pairs_of_parts_and_suppliers_are_made(spark):
+    """The remainder that parts and suppliers share is never the only key of a join."""
+    import re
+
+    joins = re.findall(r"Join \[([^\]]*)\]", plan(QUERIES["referential_anti"](spark, SF)))
+    assert joins and all({k.split("#")[0] for k in keys.split(", ")} != {"m"} for keys in joins)
+
+
 @pytest.mark.parametrize("name", ["price_lines_with_fees", "price_lines_absent_tables"])
 def test_the_pricing_engine_reads_lines_once(spark, name):
     text = plan(QUERIES[name](spark, SF))
