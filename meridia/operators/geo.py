@@ -56,7 +56,8 @@ def nearest_in_state(sources: DataFrame, candidates: DataFrame, key: str, state:
     Both sides are put into grid cells, and a source meets only the cells within a radius. With `miles` that is the
     radius, and cells are about as large. Without, the grid has LEVELS of cells, each a quarter as wide as those of the
     level before; a source uses the finest level where its own cell holds another candidate, whose diagonal bounds the
-    distance to the nearest one. Of candidates at one place the two smallest keys are enough. With `beyond`, a cell counts
+    distance to the nearest one. Joins with rows of cells are by shuffle: their size is reckoned from the tables', which
+    have a row where these have many. Of candidates at one place the two smallest keys are enough. With `beyond`, a cell counts
     if a candidate in it is surely far enough north or south; the coarsest level, which holds all, is there for the rest.
     """
     c = candidates.select(F.col(state).alias("_s"), F.col(key).alias("nearest"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).filter("_lat is not null and _lon is not null")
@@ -78,11 +79,11 @@ def nearest_in_state(sources: DataFrame, candidates: DataFrame, key: str, state:
         if beyond:
             far = F.greatest(F.col("lat") - F.col("_south"), F.col("_north") - F.col("lat")) * MILES_PER_DEGREE * (1 - 1e-9) > beyond
             others = others & (far | (F.col("_level") == 0))
-        s = s.select("*", levels).select("*", *_cell(F.col("lat"), F.col("lon"), size, around)).join(held, own).filter(others)
+        s = s.select("*", levels).select("*", *_cell(F.col("lat"), F.col("lon"), size, around)).join(held.hint("merge"), own).filter(others)
         s = s.groupBy(key, "_s", "lat", "lon").agg(F.max("_level").alias("_level"))
     at = c.select("*", *_cell(F.col("_lat"), F.col("_lon"), size, around))
     near = s.select("*", F.inline(F.transform(_cells(F.col("lat"), F.col("lon"), size, around, radius), lambda x: F.struct(x["y"].alias("_y"), x["x"].alias("_x")))))
-    d = near.join(at, ["_s", *level, "_y", "_x"]).filter(F.col("nearest") != F.col(key)).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
+    d = near.join(at.hint("merge"), ["_s", *level, "_y", "_x"]).filter(F.col("nearest") != F.col(key)).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
     if beyond:
         d = d.filter(F.col("distance") > beyond)
     best = (d.filter(F.col("distance") <= miles) if miles else d).groupBy(key).agg(F.min(F.struct("distance", "nearest")).alias("b"))

@@ -62,6 +62,16 @@ def test_no_search_pairs_all_of_a_state(spark, name):
         assert names not in ({"_s"}, {"c_nationkey"}), keys
 
 
+@pytest.mark.parametrize("name", ["nearest_in_state"])
+def test_rows_of_a_search_are_not_broadcast(spark, name):
+    """Cells and pairs have more rows than the size of the table tells: what is joined to them is joined by shuffle."""
+    import re
+
+    kinds = re.findall(r"(\w+Join) \[([^\]]*)\]", plan(QUERIES[name](spark, SF)))
+    kinds = [(kind, names) for kind, keys in kinds if (names := {k.split("#")[0] for k in keys.split(", ")}) not in ({"c_custkey"}, {"nearest"})]
+    assert any("_y" in names for _, names in kinds) and {kind for kind, _ in kinds} == {"SortMergeJoin"}, kinds
+
+
 def test_no_pairs_of_parts_and_suppliers_are_made(spark):
     """The remainder that parts and suppliers share is never the only key of a join."""
     import re
