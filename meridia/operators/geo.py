@@ -155,7 +155,7 @@ def nearest_with_boxes(sources: DataFrame, candidates: DataFrame, key: str, stat
     kinds = None
     for name, own in (("z", flagged.filter(~F.col("is_pobox"))), ("p", flagged.filter("is_pobox"))):
         found = nearest_in_state(sources, own, key, state).filter(F.col("distance") <= LAST_RADIUS).withColumnRenamed("nearest", "candidate")
-        one = found.join(told, "candidate").select(key, F.struct("distance", "candidate", "has_locality").alias(name))
+        one = found.join(told.hint("merge"), "candidate").select(key, F.struct("distance", "candidate", "has_locality").alias(name))
         kinds = one if kinds is None else kinds.join(one, key, "full")
     return _picked(kinds, key)
 
