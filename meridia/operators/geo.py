@@ -104,7 +104,7 @@ def within_radius(sources: DataFrame, candidates: DataFrame, key: str, state: st
     near = s.select(F.col(key).alias("_key"), "_s", F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "miles", "_level", F.inline(cells))
     c = candidates.filter("lat is not null and lon is not null").withColumnRenamed(state, "_s").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
     c = c.select("*", *_cell(F.col("lat"), F.col("lon"), size, around))
-    d = near.join(c, ["_s", "_level", "_y", "_x"]).filter(F.col("_key") != F.col(key)).withColumn("distance", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon")))
+    d = near.join(c.hint("merge"), ["_s", "_level", "_y", "_x"]).filter(F.col("_key") != F.col(key)).withColumn("distance", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon")))
     return d.filter(F.col("distance") <= F.col("miles")).drop("_s", "_level", "_y", "_x", "miles")
 
 
@@ -170,8 +170,8 @@ def nearest_by_table_search(sources: DataFrame, candidates: DataFrame, known: Da
     bound = nearest_in_state(sources, candidates, key, state, beyond=TABLE_TOLERANCE).select(key, F.col("distance").alias("_d"))
     reach = sources.join(bound, key, "left").withColumn("miles", (F.coalesce("_d", F.lit(TABLE_TOLERANCE)) + 2 * TABLE_TOLERANCE) * (1 + 1e-9))
     near = within_radius(reach, candidates, key, state)
-    pairs = near.join(sources.select(F.col(key).alias("_key"), F.col("zcta").alias("zcta_a")), "_key").withColumnsRenamed({key: "zip", "zcta": "zcta_b", "lat": "lat_b", "lon": "lon_b"}).withColumnRenamed("_key", key).drop("distance")
-    return nearest_by_table(pairs, known, key)
+    pairs = near.join(sources.select(F.col(key).alias("_key"), F.col("zcta").alias("zcta_a")).hint("merge"), "_key").withColumnsRenamed({key: "zip", "zcta": "zcta_b", "lat": "lat_b", "lon": "lon_b"}).withColumnRenamed("_key", key).drop("distance")
+    return nearest_by_table(pairs.hint("merge"), known, key)
 
 
 def nearest_by_table(pairs: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -62,7 +62,7 @@ def test_no_search_pairs_all_of_a_state(spark, name):
         assert names not in ({"_s"}, {"c_nationkey"}), keys
 
 
-@pytest.mark.parametrize("name", ["nearest_in_state", "nearest_within_miles", "nearest_reverse_asymmetry", "nearest_radius_pobox"])
+@pytest.mark.parametrize("name", ["nearest_in_state", "nearest_within_miles", "nearest_reverse_asymmetry", "nearest_radius_pobox", "nearest_by_table_distance"])
 def test_rows_of_a_search_are_not_broadcast(spark, name):
     """Cells and pairs have more rows than the size of the table tells: what is joined to them is joined by shuffle."""
     import re
