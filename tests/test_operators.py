@@ -349,3 +349,23 @@ def test_missing_pairs_against_all_pairs(spark):
     got = J.missing_pairs(df(asked, "ab"), df(left, "am"), df(right, "bm"), "a", "b", ["m"]).collect()
     pairs = {(a, b) for a, m in left for b, n in right if None not in (a, b, m) and m == n}
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, set(asked) - pairs))
+
+
+@pytest.mark.parametrize("beyond", [0.0, 1.0, 400.0])
+def test_bounded_searches_against_all_pairs_of_the_globe(spark, beyond):
+    """Coinciding, close, antipodal and polar places, and both sides of the date line."""
+    import random
+
+    rng = random.Random(11)
+    bases = [(0.0, 0.0), (0.0, 180.0), (0.0, -180.0), (90.0, 10.0), (-90.0, -20.0), (89.999, 100.0), (45.0, 179.999), (-30.0, 60.0)]
+    rows = []
+    for i in range(240):
+        (lat, lon), spread = rng.choice(bases), rng.choice([0.0, 1e-6, 0.01, 3.0])
+        rows.append((i, rng.choice("AB"), max(-90.0, min(90.0, lat + rng.uniform(-spread, spread))), max(-180.0, min(180.0, lon + rng.uniform(-spread, spread)))))
+    rows += [(900, "C", 10.0, 20.0), (901, "C", -10.0, -160.0)]
+    df = spark.createDataFrame(rows, "k int, state string, lat double, lon double")
+    pairs = df.join(df.select("state", F.col("k").alias("nearest"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b")), "state").filter("k <> nearest")
+    pairs = pairs.withColumn("distance", G.haversine(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))).filter(F.col("distance") > beyond if beyond else F.lit(True))
+    want = {r["k"]: (r["b"]["nearest"], r["b"]["distance"]) for r in pairs.groupBy("k").agg(F.min(F.struct("distance", "nearest")).alias("b")).collect()}
+    got = {r["k"]: (r["nearest"], r["distance"]) for r in G.nearest_in_state(df, df, "k", "state", beyond=beyond).collect()}
+    assert got == want and len(want) == len(rows)
