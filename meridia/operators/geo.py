@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,43 +57,40 @@ def nearest_in_state(sources: DataFrame, candidates: DataFrame, key: str, state:
 
     beyond: candidates within so many miles do not count (none are left out at 0).
 
-    Both sides are put into grid cells, and a source meets only the cells within a radius. With `miles` that is the
-    radius, and cells are about as large. Without, the grid has LEVELS of cells, each a quarter as wide as those of the
-    level before; a source uses the finest level where its own cell holds another candidate, whose diagonal bounds the
-    distance to the nearest one, as does the distance to any candidate: those of the smallest and largest key of its cells
-    are measured, so that few cells are left to look into. Of candidates at one place the two smallest keys are enough.
-    With `beyond`, a cell counts if a candidate in it is surely far enough north or south; the coarsest level, which holds
-    all, is there for the rest. Joins with rows of cells are by shuffle: their size is reckoned from the tables', which
-    have a row where these have many.
+    Both sides are put into grid cells, and a source meets only the cells within a radius. The grid has LEVELS of cells,
+    each a quarter as wide as those of the level before; a source uses the finest level where its own cell holds another
+    candidate, whose diagonal bounds the distance to the nearest one, as does the distance to any candidate: those of the
+    smallest and largest key of its cells are measured, so that few cells are left to look into. With `miles`, levels begin
+    where cells are about as large, a source alone in its cell uses that one, and no radius is larger. Of candidates at one
+    place the two smallest keys are enough. With `beyond`, a cell counts if a candidate in it is surely far enough north or
+    south; the coarsest level is there for the rest: it holds all, or all within `miles`. Joins with rows of cells are by
+    shuffle: their size is reckoned from the tables', which have a row where these have many.
     """
     c = candidates.select(F.col(state).alias("_s"), F.col(key).alias("nearest"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).filter("_lat is not null and _lon is not null")
     c = c.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_lat", "_lon").orderBy("nearest"))).filter("_n <= 2").drop("_n")
     s = sources.select(key, F.col(state).alias("_s"), "lat", "lon").filter("lat is not null and lon is not null")
+    first = max(0, min(LEVELS - 1, int(math.log(max(1.0, 360 * MILES_PER_DEGREE / miles), 4)))) if miles else 0
+    levels = F.explode(F.sequence(F.lit(first), F.lit(LEVELS - 1))).alias("_level")
+    around = F.pow(F.lit(4.0), F.col("_level")).cast("long")
+    size = F.lit(360.0) / around
+    c = c.select("*", levels)
+    own = ["_s", "_level", "_y", "_x"]
+    by_key, by_lat = F.struct("nearest", "_lat", "_lon"), F.struct("_lat", "_lon", "nearest")
+    held = c.select("*", *_cell(F.col("_lat"), F.col("_lon"), size, around)).groupBy(*own).agg(F.min(by_key).alias("_lo"), F.max(by_key).alias("_hi"), *([F.min(by_lat).alias("_south"), F.max(by_lat).alias("_north")] if beyond else []))
+    others = (F.col("_lo.nearest") != F.col(key)) | (F.col("_hi.nearest") != F.col(key))
+    told = [F.when(F.col(f"{r}.nearest") != F.col(key), haversine(F.col("lat"), F.col("lon"), F.col(f"{r}._lat"), F.col(f"{r}._lon"))) for r in ("_lo", "_hi", *(["_south", "_north"] if beyond else []))]
+    bound = F.least(*[F.when(d > beyond, d) for d in told] if beyond else told)
+    if beyond:
+        far = F.greatest(F.col("lat") - F.col("_south._lat"), F.col("_north._lat") - F.col("lat")) * MILES_PER_DEGREE * (1 - 1e-9) > beyond
+        others = others & (far | (F.col("_level") == 0))
     if miles:
-        n = max(1, int(360 * MILES_PER_DEGREE / miles))
-        size, around, radius, level = F.lit(360.0 / n), F.lit(n).cast("long"), F.lit(float(miles)), []
-    else:
-        level = ["_level"]
-        levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_level")
-        around = F.pow(F.lit(4.0), F.col("_level")).cast("long")
-        size = F.lit(360.0) / around
-        radius = size * (2**0.5 * MILES_PER_DEGREE)
-        c = c.select("*", levels)
-        own = ["_s", "_level", "_y", "_x"]
-        by_key, by_lat = F.struct("nearest", "_lat", "_lon"), F.struct("_lat", "_lon", "nearest")
-        held = c.select("*", *_cell(F.col("_lat"), F.col("_lon"), size, around)).groupBy(*own).agg(F.min(by_key).alias("_lo"), F.max(by_key).alias("_hi"), *([F.min(by_lat).alias("_south"), F.max(by_lat).alias("_north")] if beyond else []))
-        others = (F.col("_lo.nearest") != F.col(key)) | (F.col("_hi.nearest") != F.col(key))
-        told = [F.when(F.col(f"{r}.nearest") != F.col(key), haversine(F.col("lat"), F.col("lon"), F.col(f"{r}._lat"), F.col(f"{r}._lon"))) for r in ("_lo", "_hi", *(["_south", "_north"] if beyond else []))]
-        bound = F.least(*[F.when(d > beyond, d) for d in told] if beyond else told)
-        if beyond:
-            far = F.greatest(F.col("lat") - F.col("_south._lat"), F.col("_north._lat") - F.col("lat")) * MILES_PER_DEGREE * (1 - 1e-9) > beyond
-            others = others & (far | (F.col("_level") == 0))
-        s = s.select("*", levels).select("*", *_cell(F.col("lat"), F.col("lon"), size, around)).join(held.hint("merge"), own).filter(others)
-        s = s.withColumn("_bound", bound + BOUND_SLACK).groupBy(key, "_s", "lat", "lon").agg(F.max("_level").alias("_level"), F.min("_bound").alias("_bound"))
-        radius = F.least(radius, F.col("_bound"))
+        others = F.coalesce(others, F.lit(False)) | (F.col("_level") == first)
+    s = s.select("*", levels).select("*", *_cell(F.col("lat"), F.col("lon"), size, around)).join(held.hint("merge"), own, "left" if miles else "inner").filter(others)
+    s = s.withColumn("_bound", bound + BOUND_SLACK).groupBy(key, "_s", "lat", "lon").agg(F.max("_level").alias("_level"), F.min("_bound").alias("_bound"))
+    radius = F.least(size * (2**0.5 * MILES_PER_DEGREE), F.col("_bound"), *([F.lit(float(miles))] if miles else []))
     at = c.select("*", *_cell(F.col("_lat"), F.col("_lon"), size, around))
     near = s.select("*", F.inline(F.transform(_cells(F.col("lat"), F.col("lon"), size, around, radius), lambda x: F.struct(x["y"].alias("_y"), x["x"].alias("_x")))))
-    d = near.drop("_bound").join(at.hint("merge"), ["_s", *level, "_y", "_x"]).filter(F.col("nearest") != F.col(key)).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
+    d = near.drop("_bound").join(at.hint("merge"), own).filter(F.col("nearest") != F.col(key)).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
     if beyond:
         d = d.filter(F.col("distance") > beyond)
     best = (d.filter(F.col("distance") <= miles) if miles else d).groupBy(key).agg(F.min(F.struct("distance", "nearest")).alias("b"))

@@ -369,3 +369,42 @@ def test_bounded_searches_against_all_pairs_of_the_globe(spark, beyond):
     want = {r["k"]: (r["b"]["nearest"], r["b"]["distance"]) for r in pairs.groupBy("k").agg(F.min(F.struct("distance", "nearest")).alias("b")).collect()}
     got = {r["k"]: (r["nearest"], r["distance"]) for r in G.nearest_in_state(df, df, "k", "state", beyond=beyond).collect()}
     assert got == want and len(want) == len(rows)
+
+
+@pytest.mark.parametrize("miles, beyond", [(0.02, 0.0), (1.0, 0.0), (300.0, 0.0), (300.0, 1.0), (5000.0, 400.0), (30000.0, 0.0)])
+def test_searches_within_miles_against_all_pairs_of_the_globe(spark, miles, beyond):
+    """Coinciding, close, lonely, antipodal and polar places, both sides of the date line, and sources that are no candidates."""
+    import random
+
+    rng = random.Random(12)
+    bases = [(0.0, 0.0), (0.0, 180.0), (0.0, -180.0), (90.0, 10.0), (-90.0, -20.0), (89.999, 100.0), (45.0, 179.999), (-30.0, 60.0)]
+    rows = []
+    for i in range(240):
+        (lat, lon), spread = rng.choice(bases), rng.choice([0.0, 1e-6, 0.01, 3.0, 40.0])
+        rows.append((i, rng.choice("AB"), max(-90.0, min(90.0, lat + rng.uniform(-spread, spread))), max(-180.0, min(180.0, lon + rng.uniform(-spread, spread)))))
+    rows += [(900, "C", 10.0, 20.0), (901, "C", 14.0, 20.0), (902, "D", 0.0, 0.0), (903, "B", None, None)]
+    df = spark.createDataFrame(rows, "k int, state string, lat double, lon double")
+    candidates = df.filter("k % 3 > 0 or k > 800")
+    pairs = df.join(candidates.select("state", F.col("k").alias("nearest"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b")), "state").filter("k <> nearest and lat is not null and lat_b is not null")
+    pairs = pairs.withColumn("distance", G.haversine(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))).filter((F.col("distance") <= miles) & ((F.col("distance") > beyond) if beyond else F.lit(True)))
+    want = {r["k"]: (r["b"]["nearest"], r["b"]["distance"]) for r in pairs.groupBy("k").agg(F.min(F.struct("distance", "nearest")).alias("b")).collect()}
+    got = {r["k"]: (r["nearest"], r["distance"]) for r in G.nearest_in_state(df, candidates, "k", "state", miles=miles, beyond=beyond).collect()}
+    assert got == want and len(want) > 60
+
+
+@pytest.mark.parametrize("lat, most", [(0, 7), (88, 30)])
+def test_a_search_within_miles_looks_into_few_cells_where_a_candidate_is_close(spark, lat, most):
+    """Where neighbours are a third of a mile apart, 300 miles are not searched: neither nine cells a source, nor a whole row of them at a pole."""
+    n = 400
+    df = spark.range(n).select(F.col("id").alias("k"), F.lit("A").alias("state"), (lat + (F.col("id") % 20) * 0.005).alias("lat"), (F.floor(F.col("id") / 20) * 0.005).alias("lon"))
+    near = G.nearest_in_state(df, df, "k", "state", miles=300.0)
+    assert near.count() == n and near.filter("distance > 0.4").count() == 0
+    near.collect()
+    made, todo = [], [near._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "GenerateExec":
+            made.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    assert made and max(made) <= most * n, made
